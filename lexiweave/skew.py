@@ -36,3 +36,18 @@ def skew_join(many: DataFrame, unique: DataFrame, key: str, hot: DataFrame, how:
     heavy = many.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
     light = many.join(F.broadcast(hot), key, "left_anti").join(unique, key, how)
     return heavy.unionByName(light)
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, spread: str, salts: int = 32) -> DataFrame:
+    """many JOIN few ON key (inner), where neither side is unique.
+
+    Rows of ``many`` with a hot key are dealt to ``salts`` parts by a hash of
+    the column ``spread``, and the rows of ``few`` with that key are copied to
+    each part; other rows meet as in a plain join. Only the list of hot keys,
+    MAX_HOT_KEYS at most, is broadcast.
+    """
+    b = F.broadcast(hot.select(key).distinct().withColumn("_hot", F.lit(True)))
+    dealt = many.join(b, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = few.join(b, key, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
