@@ -20,20 +20,24 @@ QUOTES = (('"', '"'), ("'", "'"), ("“", "”"))
 OPEN, CLOSE = "\ue000", "\ue001"
 
 
-def _span_pattern(delims: str, brackets: str) -> str:
+def _span_pattern(delims: str) -> str:
     """What becomes a placeholder: an enclosed value, an escaped character, a placeholder's own mark.
 
     A quote opens only at a value's start and closes only at its end, so an
-    apostrophe within a word is none.
+    apostrophe within a word is none. Each alternative begins with its mark,
+    so other characters are passed at once.
     """
-    d = "".join("\\" + c if c in r"|[]{}/" else c for c in delims)
-    before = rf"(?<=^[{SPACE}]{{0,9}}|[{d}{brackets}][{SPACE}]{{0,9}})"
+    d = "".join("\\" + c if c in r"|/" else c for c in delims)
+
+    def opened(q: str) -> str:
+        return rf"{q}(?<=(?:^|[{d}\[{{])[{SPACE}]{{0,9}}{q})"
+
     after = rf"(?=[{SPACE}]*(?:[{d}\]}}]|$))"
-    double = rf'{before}"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"{after}'
-    single = rf"{before}'[^'\\]*+(?:\\.[^'\\]*+)*+'{after}"
+    double = rf'{opened('"')}[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"{after}'
+    single = rf"{opened("'")}[^'\\]*+(?:\\.[^'\\]*+)*+'{after}"
     # apostrophes inside single quotes: no delimiter, and the last quote ends the value
-    loose = rf"{before}'[^\\{d}]*'{after}"
-    curly = rf"{before}“[^”\\]*+(?:\\.[^”\\]*+)*+”{after}"
+    loose = rf"{opened("'")}[^\\{d}]*'{after}"
+    curly = rf"{opened("“")}[^”\\]*+(?:\\.[^”\\]*+)*+”{after}"
     return rf"(?s)(?:{double}|{single}|{loose}|{curly}|\\.|[{OPEN}{CLOSE}])"
 
 
@@ -42,44 +46,48 @@ def _restored(span: Column) -> Column:
     last = F.length(span)
     first = F.substring(span, 1, 1)
     inner = F.substring(span, F.lit(2), last - 2)
-    unescaped = F.regexp_replace(inner, r"(?s)\\(.)", "$1")
     return (
         F.when((last > 1) & (first == '"'), F.regexp_replace(inner, r'(?s)\\(.)|"(")', "$1$2"))
-        .when((last > 1) & first.isin("'", "“"), unescaped)
+        .when((last > 1) & first.isin("'", "“"), F.regexp_replace(inner, r"(?s)\\(.)", "$1"))
         .when((last > 1) & (first == "\\"), F.substring(span, F.lit(2), last - 1))
         .otherwise(span)
     )
 
 
-def packed_values(c: Column | str, delimiters: str = DELIMITERS) -> Column:
-    """The non-empty values of a packed field, in order, as ARRAY<STRING>.
+def _whole(part: Column, restored: Column) -> Column:
+    """A part of the text with its placeholders replaced by their spans."""
+    bits = F.split(part, OPEN, -1)
+    tail = F.transform(
+        F.slice(bits, F.lit(2), F.greatest(F.size(bits) - 1, F.lit(0))),
+        lambda b: F.concat(F.element_at(restored, F.substring_index(b, CLOSE, 1).cast("int")), F.substring(b, F.instr(b, CLOSE) + 1, F.length(b))),
+    )
+    return F.concat(F.element_at(bits, 1), F.array_join(tail, ""))
+
+
+def packed_values(df: DataFrame, field: str, out: str, delimiters: str = DELIMITERS) -> DataFrame:
+    """``df`` with the non-empty values of a packed field, in order, as the ARRAY<STRING> ``out``.
 
-    Null gives null; an empty or blank text gives an empty array.
+    Null gives null; an empty or blank text gives an empty array. The steps are
+    columns of their own, so that a text's spans are found once, not once a
+    value; texts without spans need no lookups.
     """
-    c = F.col(c) if isinstance(c, str) else c
-    pattern = _span_pattern(delimiters, r"\[\{")
-    text = trimmed(c)
-    listed = F.regexp_extract(text, r"(?s)^[\[{](.*)[\]}]$", 1)
-    text = F.when(text.rlike(r"(?s)^(\[.*\]|\{.*\})$"), listed).otherwise(text)
-    spans = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    numbered = F.array_join(F.transform(between, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(OPEN), i.cast("string"), F.lit(CLOSE), p))), "")
-    cut = "[" + "".join("\\" + x if x in "|/" else x for x in delimiters) + "]"
-
-    def whole(part: Column) -> Column:
-        bits = F.split(part, OPEN, -1)
-        tail = F.transform(
-            F.slice(bits, F.lit(2), F.greatest(F.size(bits) - 1, F.lit(0))),
-            lambda b: F.concat(
-                _restored(F.element_at(spans, F.substring_index(b, CLOSE, 1).cast("int"))),
-                F.substring(b, F.instr(b, CLOSE) + 1, F.length(b)),
-            ),
-        )
-        return trimmed(F.concat(F.element_at(bits, 1), F.array_join(tail, "")))
-
-    # a text without spans needs no lookups
-    values = F.when(F.size(spans) == 0, F.transform(F.split(text, cut, -1), trimmed)).otherwise(F.transform(F.split(numbered, cut, -1), whole))
-    return F.when(c.isNotNull(), F.filter(values, lambda v: v != ""))
+    pattern, cut = _span_pattern(delimiters), "[" + "".join("\\" + x if x in "|/" else x for x in delimiters) + "]"
+    text = trimmed(F.col(field))
+    text = F.when(text.rlike(r"(?s)^(\[.*\]|\{.*\})$"), F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+    marked = F.col("_text").rlike("[\"'“\\\\" + OPEN + CLOSE + "]")
+    numbered = F.array_join(
+        F.transform(F.split("_text", pattern, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(OPEN), i.cast("string"), F.lit(CLOSE), p))), ""
+    )
+    return (
+        df.withColumn("_text", text)
+        .withColumn("_spans", F.when(marked, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+        .withColumn("_restored", F.transform("_spans", _restored))
+        .withColumn("_parts", F.split(F.when(F.size("_spans") > 0, numbered).otherwise(F.col("_text")), cut, -1))
+        .withColumn("_values", F.when(F.size("_spans") > 0, F.transform("_parts", lambda p: _whole(p, F.col("_restored")))).otherwise(F.col("_parts")))
+        .withColumn("_values", F.transform("_values", trimmed))
+        .withColumn(out, F.filter("_values", lambda v: v != ""))
+        .drop("_text", "_spans", "_restored", "_parts", "_values")
+    )
 
 
 def split_packed(df: DataFrame, field: str, keys: list[str], value: str = "value", delimiters: str = DELIMITERS) -> DataFrame:
@@ -89,4 +97,8 @@ def split_packed(df: DataFrame, field: str, keys: list[str], value: str = "value
     read, so other columns of any name do no harm. There is no shuffle: each
     row is split where it lies.
     """
-    return df.select(*keys, F.posexplode(packed_values(F.col(field), delimiters)).alias("_p", "_v")).select(*keys, (F.col("_p") + 1).cast("int").alias("pos"), F.col("_v").alias(value))
+    kept = df.select(*keys, F.col(field).alias("_field"))
+    split = packed_values(kept, "_field", "_all", delimiters)
+    # not the inner form: for that one the optimizer repeats the whole expression in a filter before it
+    exploded = split.select(*keys, F.posexplode_outer("_all").alias("_p", "_v")).filter(F.col("_v").isNotNull())
+    return exploded.select(*keys, (F.col("_p") + 1).cast("int").alias("pos"), F.col("_v").alias(value))
