@@ -33,8 +33,10 @@ BOM = "\ufeff"
 _BAD_CHARACTER = r"[\x{fffd}\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{9f}]"
 #: A record whose double quotes all enclose a field or stand doubled inside one.
 _WELL_QUOTED = r'\A(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*\z'
-#: Records a block starts with. Smaller ones are more calls on clean data, larger ones more halvings on bad.
-BLOCK_ROWS = 2048
+#: Most records of a block. Blocks grow while they parse and shrink while they fail, so clean data takes few calls and bad data few halvings.
+BLOCK_ROWS = 8192
+#: A failing block of so few records is diagnosed record by record: a call of the parser costs as much as so many strict scans.
+LEAF_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -135,17 +137,23 @@ def parse_block(records: pa.Array, rules: RecordRules) -> pa.Table | None:
     return t
 
 
-def _isolate(records: pa.Array, start: int, stop: int, rules: RecordRules) -> Iterator[tuple[int, int, pa.Table | None]]:
-    """(start, stop, columns) of runs of good records; single bad ones have None."""
-    todo = [(start, stop)]
-    while todo:
-        a, b = todo.pop()
-        t = parse_block(records.slice(a, b - a), rules)
-        if t is not None or b - a == 1:
-            yield a, b, t
-        else:
-            mid = (a + b) // 2
-            todo += [(mid, b), (a, mid)]
+def _isolate(records: pa.Array, rules: RecordRules, block_rows: int) -> Iterator[tuple[int, int, pa.Table | None]]:
+    """(start, stop, columns) of runs of good records; a run that holds bad ones is of LEAF_ROWS at most and has None."""
+    at, size, n = 0, block_rows, len(records)
+    while at < n:
+        end = min(at + size, n)
+        todo, failed = [(at, end)], False
+        while todo:
+            a, b = todo.pop()
+            t = parse_block(records.slice(a, b - a), rules)
+            if t is not None or b - a <= LEAF_ROWS:
+                yield a, b, t
+            else:
+                mid = (a + b) // 2
+                todo += [(mid, b), (a, mid)]
+            failed |= t is None
+        at = end
+        size = max(size // 2, min(LEAF_ROWS, block_rows)) if failed else min(size * 2, block_rows)
 
 
 def load_records(df: DataFrame, record: str = "raw_line", keys: tuple[str, ...] = ("line_id",), rules: RecordRules = RecordRules(), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -162,15 +170,15 @@ def load_records(df: DataFrame, record: str = "raw_line", keys: tuple[str, ...]
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records = batch.column(len(names)).cast(pa.string())
-            for at in range(0, len(records), block_rows):
-                end, out = min(at + block_rows, len(records)), []
-                for a, b, t in _isolate(records, at, end, rules):
-                    if t is None:
-                        reason, fields = diagnose(records[a].as_py(), rules)
-                        cols = [pa.array([reason], pa.string()), *[pa.array([None if fields is None else fields[i]], pa.string()) for i in range(len(rules.columns))]]
-                    else:
-                        cols = [pa.nulls(b - a, pa.string()), *[c.combine_chunks() for c in t.columns]]
-                    out.append(pa.table([*[batch.column(i).slice(a, b - a) for i in range(len(names))], *cols], names=[*names, "reason", *rules.columns]))
+            out = []
+            for a, b, t in _isolate(records, rules, block_rows):
+                if t is None:
+                    judged = [diagnose(x, rules) for x in records.slice(a, b - a).to_pylist()]
+                    cols = [pa.array([r for r, _ in judged], pa.string()), *[pa.array([f and f[i] for _, f in judged], pa.string()) for i in range(len(rules.columns))]]
+                else:
+                    cols = [pa.nulls(b - a, pa.string()), *[c.combine_chunks() for c in t.columns]]
+                out.append(pa.table([*[batch.column(i).slice(a, b - a) for i in range(len(names))], *cols], names=[*names, "reason", *rules.columns]))
+            if out:
                 yield from pa.concat_tables(out).combine_chunks().to_batches()
 
     return kept.mapInArrow(blocks, schema)
