@@ -7,6 +7,6 @@ from types import ModuleType
 
 def modules() -> tuple[ModuleType, ...]:
     """The modules of queries, imported when asked for."""
-    from lexiweave.plans import lookups, neighbours, quality, tiers
+    from lexiweave.plans import graphs, lookups, neighbours, quality, tiers
 
-    return (lookups, neighbours, tiers, quality)
+    return (lookups, neighbours, tiers, graphs, quality)
