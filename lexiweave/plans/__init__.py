@@ -7,6 +7,6 @@ from types import ModuleType
 
 def modules() -> tuple[ModuleType, ...]:
     """The modules of queries, imported when asked for."""
-    from lexiweave.plans import analytics, graphs, lookups, neighbours, quality, tiers
+    from lexiweave.plans import analytics, graphs, lookups, neighbours, quality, tiers, upkeep
 
-    return (lookups, neighbours, tiers, graphs, analytics, quality)
+    return (lookups, neighbours, tiers, graphs, analytics, upkeep, quality)
