@@ -14,6 +14,8 @@ HARD_DEMOTE_TAGS = ("rare", "uncommon", "figuratively", "humorous", "poetic", "l
 SOFT_DEMOTE_TAGS = (
     "informal", "colloquial", "Internet", "US", "UK", "Scotland", "Ireland", "Australia", "Canada", "India", "New-Zealand", "South-Africa", "Philippines", "Northern-England",
 )
+#: Senses of a word that a lookup ranks, the first in dictionary order: the feature's own limit, by which a word of any number of senses stays bounded.
+RANKED_SENSES = 1000
 
 
 @dataclass(frozen=True)

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiweave.operators.ordering import places, running_totals
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, n, rank): each different value of a key with its average rank.
 
-    Rows are counted by value before any window, so a window holds different
-    values, not rows; ties share the mean of their ranks.
-    """
+def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, n, rank): each different value of a key with its average rank; ties share the mean of their ranks."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("n") + 1) / 2)
+    upto = running_totals(counts, keys, [value], F.col("n"), "_upto")
+    return upto.select(*keys, value, "n", (F.col("_upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
 def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
@@ -50,11 +48,17 @@ def ranking_measures(df: DataFrame, keys: list[str], query: str, order: list[Col
 
 
 def cliff(df: DataFrame, keys: list[str], score: str, row_id: str) -> DataFrame:
-    """(keys, gap, after): the largest fall between neighbours in order of score, and the place after which it comes."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(score), row_id)
-    gaps = df.select(*keys, F.row_number().over(w).alias("p"), F.round(F.col(score) - F.lead(score).over(w), 6).alias("gap")).filter("gap IS NOT NULL")
-    best = F.max(F.struct("gap", (-F.col("p")).alias("p")))
-    return gaps.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.gap").alias("gap"), (-F.col("b.p")).alias("after"))
+    """(keys, gap, after): the largest fall between neighbours in order of score, and the place after which it comes.
+
+    Neighbours meet by their places, so a key of any number of rows is spread
+    over all tasks.
+    """
+    rows = df.filter(F.col(score).isNotNull() & F.col(row_id).isNotNull()).withColumn("_neg", -F.col(score))
+    p = places(rows, keys, ["_neg", row_id], "_p").select(F.struct(*keys).alias("_k"), "_p", F.col(score).alias("_s"))
+    after = p.select("_k", (F.col("_p") - 1).alias("_p"), F.col("_s").alias("_t"))
+    gaps = p.join(after, ["_k", "_p"]).select("_k", "_p", F.round(F.col("_s") - F.col("_t"), 6).alias("gap"))
+    best = F.max(F.struct("gap", (-F.col("_p")).alias("p")))
+    return gaps.groupBy("_k").agg(best.alias("b")).select("_k.*", F.col("b.gap").alias("gap"), (-F.col("b.p")).alias("after"))
 
 
 def stable_sample(df: DataFrame, keys: list[str], row_id: str, limit: int, seed: str = "") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiweave.skew import hot_keys, skew_join
+
 #: Order of states and certainties in which a repeat is kept; fixed values.
 STATUS_ORDER = ("reviewed", "unreviewed", "rejected")
 CONFIDENCE_ORDER = ("high", "medium", "low")
@@ -71,14 +73,17 @@ def keep_best(df: DataFrame, key: list[str], row_id: str, order: list[Column] |
     return df.groupBy(*key).agg(best.alias("b"), F.count("*").alias("n_rows")).select(*key, F.col("b.id").alias(row_id), "n_rows")
 
 
-def rekeyed(rows: DataFrame, group: list[str], old_key: str, new_key: str, row_id: str) -> DataFrame:
+def rekeyed(rows: DataFrame, group: list[str], old_key: str, new_key: str, row_id: str, total_rows: int) -> DataFrame:
     """(row_id, action): what a new key makes of each row: same, update, or collapse into another row of that key.
 
-    A row that already has the key stays; else the lowest id takes it.
+    A row that already has the key stays; else the lowest id takes it. The one
+    to stay is found by a minimum, and rows of hot keys meet it by broadcast.
     """
-    w = Window.partitionBy(*group, new_key).orderBy(F.coalesce(F.col(old_key) != F.col(new_key), F.lit(True)), row_id)
-    action = F.when(F.row_number().over(w) > 1, "collapse").when(F.col(old_key).eqNullSafe(F.col(new_key)), "same").otherwise("update")
-    return rows.select(F.col(row_id), action.alias("action"))
+    k = rows.select(F.struct(*group, new_key).alias("k"), F.coalesce(F.col(old_key) != F.col(new_key), F.lit(True)).alias("changed"), F.col(old_key).eqNullSafe(F.col(new_key)).alias("same"), F.col(row_id).alias("i"))
+    stays = k.groupBy("k").agg(F.min(F.struct("changed", "i")).alias("b")).select("k", F.col("b.i").alias("stays"))
+    j = skew_join(k, stays, "k", hot_keys(k, "k", total_rows))
+    action = F.when(F.col("i") != F.col("stays"), "collapse").when(F.col("same"), "same").otherwise("update")
+    return j.select(F.col("i").alias(row_id), action.alias("action"))
 
 
 def append_unseen(base: DataFrame, candidates: DataFrame, key: list[str], accepted: Column) -> DataFrame:

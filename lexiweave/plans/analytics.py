@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.functions import fixed
 from lexiweave.functions.keys import slug_key
 from lexiweave.operators import measures, names, propagation
 from lexiweave.operators.lookup import top_per_key
+from lexiweave.operators.ordering import places
 from lexiweave.plans.registry import Registry
 from lexiweave.session import table
 
@@ -185,7 +186,7 @@ d AS (SELECT word_text, count(*) AS n, max(p) - min(p) AS spread FROM r GROUP BY
 def rank_displacement(spark: SparkSession, d: str) -> DataFrame:
     """How far a word's place differs between sources."""
     a = table(spark, d, "word_senses").groupBy("source_slug", "word_text").agg(F.avg("sense_rank").alias("m")).dropna(subset=["m", "word_text"])
-    r = a.withColumn("p", F.row_number().over(Window.partitionBy("source_slug").orderBy("m", "word_text")))
+    r = places(a, ["source_slug"], ["m", "word_text"], "p")
     s = r.groupBy("word_text").agg(F.count("*").alias("n"), (F.max("p") - F.min("p")).alias("spread")).filter("n >= 2")
     return s.groupBy("n").agg(F.count("*").alias("n_words"), F.round(F.avg("spread"), 6).alias("mean_spread"))
 

@@ -25,9 +25,9 @@ _STAR = """WITH star AS (SELECT s.id AS sense_id, s.lexeme_id, s.sense_index, s.
   WHERE s.visibility_status = 'visible' AND NOT coalesce(o.is_hidden, false))"""
 _DICTIONARY = "pinned_rank ASC NULLS LAST, n_selected DESC, source_order ASC NULLS LAST, sense_index ASC NULLS LAST, sense_id"
 _HARD, _SOFT = (", ".join(f"'{t}'" for t in ts) for ts in (lookup.HARD_DEMOTE_TAGS, lookup.SOFT_DEMOTE_TAGS))
-_SIGNALS = f"""{_STAR}, sig AS (SELECT *, dense_rank() OVER (PARTITION BY language_code, normalized_lemma ORDER BY source_order ASC NULLS LAST, lexeme_id) - 1 AS etymology_rank,
+_SIGNALS = f"""{_STAR}, capped AS (SELECT * FROM star QUALIFY row_number() OVER (PARTITION BY language_code, normalized_lemma ORDER BY {_DICTIONARY}) <= 1000), sig AS (SELECT *, dense_rank() OVER (PARTITION BY language_code, normalized_lemma ORDER BY source_order ASC NULLS LAST, lexeme_id) - 1 AS etymology_rank,
   len(list_distinct(list_filter(coalesce(raw_tags, []), lambda t: t IN ({_HARD})))) AS n_hard, len(list_distinct(list_filter(coalesce(raw_tags, []), lambda t: t IN ({_SOFT})))) AS n_soft,
-  greatest(len(list_filter(coalesce(raw_glosses, []), lambda g: trim(g) <> '')) - 1, 0) AS gloss_depth, CASE WHEN n_selected >= 5 THEN n_selected ELSE 0 END AS tier FROM star),
+  greatest(len(list_filter(coalesce(raw_glosses, []), lambda g: trim(g) <> '')) - 1, 0) AS gloss_depth, CASE WHEN n_selected >= 5 THEN n_selected ELSE 0 END AS tier FROM capped),
 scored AS (SELECT *, round(-0.10 * ln(1 + greatest(0, coalesce(sense_index, 0) - 1)) - 1.00 * etymology_rank - 0.08 * gloss_depth - 0.25 * n_hard - 0.10 * n_soft, 6) AS score FROM sig)"""
 _RANKED = "pinned_rank ASC NULLS LAST, tier DESC, score DESC, source_order ASC NULLS LAST, sense_index ASC NULLS LAST, sense_id"
 
@@ -43,8 +43,9 @@ def lookup_ranked(spark: SparkSession, d: str) -> DataFrame:
 @R.query(f"""{_SIGNALS}, r AS (SELECT *, row_number() OVER (PARTITION BY language_code, normalized_lemma ORDER BY {_RANKED}) AS rank FROM scored)
 SELECT language_code, normalized_lemma, sense_id, etymology_rank, n_hard, n_soft, gloss_depth, tier, score, rank FROM r WHERE rank <= 20""")
 def lookup_rank_signals(spark: SparkSession, d: str) -> DataFrame:
-    """The first 20 senses of every word by score, with the signals."""
-    top = lookup.top_per_key(lookup.signals(star(spark, d), WORD), WORD, lookup.ranked_order(), 20)
+    """The first 20 senses of every word by score, with the signals. As in a single lookup, the 1000 first of the dictionary are ranked."""
+    capped = lookup.top_per_key(star(spark, d), WORD, lookup.dictionary_order(), lookup.RANKED_SENSES).drop("rank")
+    top = lookup.top_per_key(lookup.signals(capped, WORD), WORD, lookup.ranked_order(), 20)
     return top.select(*WORD, "sense_id", "etymology_rank", "n_hard", "n_soft", "gloss_depth", "tier", "score", "rank")
 
 
@@ -159,10 +160,12 @@ def client_sort(spark: SparkSession, d: str) -> DataFrame:
     return lookup.top_per_key(rows, ["language_id"], [F.asc("n_letters"), F.asc("lemma"), F.asc("id")], 50, "place").select("language_id", "id", "n_letters", "place")
 
 
-@R.query("""WITH r AS (SELECT language_id, id, lag(part_of_speech) OVER (PARTITION BY language_id, normalized_lemma ORDER BY id) IS DISTINCT FROM part_of_speech AS changed FROM lexemes)
-SELECT language_id, count(*) FILTER (WHERE changed) AS n_runs, count(*) AS n_rows FROM r GROUP BY language_id""")
+@R.query(f"""{_STAR}, r AS (SELECT language_code, normalized_lemma, part_of_speech, row_number() OVER (PARTITION BY language_code, normalized_lemma ORDER BY {_DICTIONARY}) AS rank FROM star QUALIFY rank <= 20),
+c AS (SELECT *, CASE WHEN lag(part_of_speech) OVER (PARTITION BY language_code, normalized_lemma ORDER BY rank) IS DISTINCT FROM part_of_speech OR rank = 1 THEN 1 ELSE 0 END AS starts FROM r)
+SELECT language_code, normalized_lemma, rank, sum(starts) OVER (PARTITION BY language_code, normalized_lemma ORDER BY rank)::BIGINT AS run FROM c""")
 def run_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of equal part of speech among a word's lexemes in order."""
-    w = Window.partitionBy("language_id", "normalized_lemma").orderBy("id")
-    r = table(spark, d, "lexemes").select("language_id", (~F.lag("part_of_speech").over(w).eqNullSafe(F.col("part_of_speech"))).alias("changed"))
-    return r.groupBy("language_id").agg(F.count_if("changed").alias("n_runs"), F.count("*").alias("n_rows"))
+    """Runs of equal part of speech in a word's first 20 senses."""
+    top = lookup.top_per_key(star(spark, d), WORD, lookup.dictionary_order(), 20).select(*WORD, "part_of_speech", "rank")
+    w = Window.partitionBy(*WORD).orderBy("rank")
+    starts = F.when(~F.lag("part_of_speech").over(w).eqNullSafe(F.col("part_of_speech")) | (F.col("rank") == 1), 1).otherwise(0)
+    return top.withColumn("starts", starts).select(*WORD, "rank", F.sum("starts").over(w).alias("run"))

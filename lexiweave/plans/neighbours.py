@@ -153,3 +153,35 @@ def hedge_and_subset(spark: SparkSession, d: str) -> DataFrame:
         ((F.size("lemma_tokens") > 0) & (F.size(F.array_except("lemma_tokens", "tokens")) == 0)).alias("names_itself"),
         F.size(F.array_except("tokens", F.array(*map(F.lit, fixed.STOPWORDS)))).alias("n_terms"),
     )
+
+
+@R.query(f"""{_VECTORS}, {_pairs()}, j AS (SELECT n.query_id, n.row_id, n.sim, list_has_any(list_distinct(regexp_extract_all(lower(coalesce(q.definition, '')), '[\\p{{L}}\\p{{N}}]+')), {_list(fixed.HEDGES)}) AS hedged,
+  list_distinct(regexp_extract_all(lower(coalesce(c.definition, '')), '[\\p{{L}}\\p{{N}}]+')) AS tokens, list_distinct(regexp_extract_all(q.word, '[\\p{{L}}\\p{{N}}]+')) AS own FROM {_top(5)} n JOIN sv q ON q.id = n.query_id JOIN sv c ON c.id = n.row_id),
+e AS (SELECT query_id, row_id, round(sim + CASE WHEN len(own) > 0 AND list_has_all(tokens, own) AND NOT hedged THEN 0.02 ELSE 0 END, 6) AS effective FROM j)
+SELECT query_id, row_id, effective FROM e QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY effective DESC, row_id) = 1""")
+def display_bonus(spark: SparkSession, d: str) -> DataFrame:
+    """The display sense among the 5 nearest: a definition that holds the query's word counts more, unless the query hedges."""
+    sv, near = _search(spark, d, 5)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    q = sv.select(F.col("id").alias("query_id"), words("word").alias("own"), F.arrays_overlap(words("definition"), F.array(*map(F.lit, fixed.HEDGES))).alias("hedged"))
+    j = near.join(q, "query_id").join(sv.select(F.col("id").alias("row_id"), words("definition").alias("tokens")), "row_id")
+    bonus = F.when((F.size("own") > 0) & (F.size(F.array_except("own", "tokens")) == 0) & ~F.col("hedged"), 0.02).otherwise(0.0)
+    return vectors.best_per_word(j.withColumn("effective", F.round(F.col("sim") + bonus, 6)), ["query_id"], [F.desc("effective"), F.asc("row_id")]).select("query_id", "row_id", "effective")
+
+
+@R.query(f"""{_VECTORS}, f AS (SELECT lexeme_id, min(id) AS id FROM sv GROUP BY 1), p AS (SELECT s.id, round(list_cosine_similarity(s.vector, h.vector), 6) AS sim FROM sv s JOIN f ON f.lexeme_id = s.lexeme_id JOIN sv h ON h.id = f.id WHERE s.id <> h.id),
+r AS (SELECT s.id, round(list_cosine_similarity(s.vector, o.vector), 6) AS sim FROM sv s JOIN sv o ON o.id = s.id + 1)
+SELECT 'same' AS kind, count(*) AS n, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.99), 6) AS p99 FROM p UNION ALL SELECT 'random', count(*), round(quantile_cont(sim, 0.1), 6), round(quantile_cont(sim, 0.5), 6), round(quantile_cont(sim, 0.99), 6) FROM r""")
+def calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Similarities of a lexeme's senses with its first one, and of senses with unrelated ones: what floors are set by."""
+    sv = sense_vectors(spark, d).select("id", "lexeme_id", "vector")
+    first = sv.groupBy("lexeme_id").agg(F.min(F.struct("id", "vector")).alias("h")).select("lexeme_id", F.col("h.id").alias("hid"), F.col("h.vector").alias("other"))
+    same = sv.join(first, "lexeme_id").filter("id <> hid").select("vector", "other")
+    rand = sv.join(sv.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other")), "id").select("vector", "other")
+    out = None
+    for kind, pairs in (("same", same), ("random", rand)):
+        sim = pairs.select(F.round(vectors.cosine(F.col("vector"), F.col("other")), 6).alias("sim"))
+        q = F.percentile("sim", F.array(*map(F.lit, (0.1, 0.5, 0.99))))
+        part = sim.agg(F.count("*").alias("n"), q.alias("q")).select(F.lit(kind).alias("kind"), "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p10", "p50", "p99"))])
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -89,7 +89,7 @@ SELECT id, CASE WHEN p > 1 THEN 'collapse' WHEN old_key IS NOT DISTINCT FROM new
 def key_backfill(spark: SparkSession, d: str) -> DataFrame:
     """What a new policy of keys would do to each lexeme."""
     rows = table(spark, d, "lexemes").filter("lemma IS NOT NULL").select("id", "language_id", F.col("normalized_lemma").alias("old_key"), F.regexp_replace(F.lower("lemma"), r"[-\s]", "").alias("new_key"))
-    return merging.rekeyed(rows, ["language_id"], "old_key", "new_key", "id")
+    return merging.rekeyed(rows, ["language_id"], "old_key", "new_key", "id", rows.count())
 
 
 @R.query("""SELECT id, problem FROM (SELECT id, unnest([CASE WHEN regexp_replace(coalesce(concept_slug, ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') = '' THEN 'concept_slug: missing' END, CASE WHEN confidence NOT IN ('high', 'medium') THEN 'confidence: not allowed' END,
