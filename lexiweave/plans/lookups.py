@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiweave.functions.keys import trimmed
@@ -49,7 +49,8 @@ def lookup_rank_signals(spark: SparkSession, d: str) -> DataFrame:
     return top.select(*WORD, "sense_id", "etymology_rank", "n_hard", "n_soft", "gloss_depth", "tier", "score", "rank")
 
 
-_FIRST = [F.coalesce("source_order", F.lit(2**31 - 1)), F.coalesce("sense_index", F.lit(2**31 - 1))]
+def _first() -> list[Column]:
+    return [F.coalesce(c, F.lit(2**31 - 1)) for c in ("source_order", "sense_index")]
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:
@@ -62,7 +63,7 @@ SELECT language_code, normalized_lemma, def_key, min_by(sense_id, (coalesce(sour
 FROM keyed GROUP BY language_code, normalized_lemma, def_key""")
 def lookup_collapse(spark: SparkSession, d: str) -> DataFrame:
     """One sense for each word and definition, whatever its part of speech."""
-    return lookup.collapse(_keyed(spark, d), [*WORD, "def_key"], _FIRST, "sense_id")
+    return lookup.collapse(_keyed(spark, d), [*WORD, "def_key"], _first(), "sense_id")
 
 
 @R.query(rf"""{_STAR}, keyed AS (SELECT *, lower(regexp_replace(coalesce(base_definition, ''), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS def_key FROM star),
@@ -71,7 +72,7 @@ SELECT kept_id, sense_id AS absorbed_id FROM k WHERE kept_id <> sense_id""")
 def lookup_absorbed(spark: SparkSession, d: str) -> DataFrame:
     """Which senses stand behind which."""
     keyed = _keyed(spark, d)
-    return lookup.absorbed(keyed, [*WORD, "def_key"], lookup.collapse(keyed, [*WORD, "def_key"], _FIRST, "sense_id"), "sense_id")
+    return lookup.absorbed(keyed, [*WORD, "def_key"], lookup.collapse(keyed, [*WORD, "def_key"], _first(), "sense_id"), "sense_id")
 
 
 @R.query(r"""WITH k AS (SELECT id AS sense_id, list_filter(list_transform(coalesce(raw_glosses, []), lambda g: regexp_replace(g, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')), lambda g: g <> '') AS kept FROM senses),
