@@ -4,15 +4,22 @@ In each round every vertex hooks to the member of its closed neighbourhood
 that comes first in a fresh hash order; edges are relabelled and made
 distinct, which leaves about half of the vertices. When no edge is left, the
 rounds' mappings are expanded backwards, and each group is named.
+
+Vertices are 64-bit hashes of their texts, kept apart where two texts share
+one. A round's order is a one-to-one mixing of these numbers, so the least
+mixed number of a neighbourhood tells its vertex, and every round is integer
+aggregation and integer joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.durable import Scratch
-from lexiweave.skew import hot_keys, hot_limit, skew_join
+from lexiweave.skew import MAX_HOT_KEYS, hot_keys, hot_limit, skew_join
 
 #: Rounds after which something is wrong: half of the vertices go in each.
 MAX_ROUNDS = 200
@@ -33,8 +40,51 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _key(k: int) -> tuple[int, int]:
+    """(number, turn) of a round."""
+    return int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little", signed=True), 1 + 11 * k % 63
+
+
+def _mixed(c: Column, k: int) -> Column:
+    r, s = _key(k)
+    x = c.bitwiseXOR(F.lit(r))
+    return F.shiftleft(x, s).bitwiseOR(F.shiftrightunsigned(x, 64 - s))
+
+
+def _unmixed(c: Column, k: int) -> Column:
+    r, s = _key(k)
+    return F.shiftrightunsigned(c, s).bitwiseOR(F.shiftleft(c, 64 - s)).bitwiseXOR(F.lit(r))
+
+
+def vertex_hash(name: Column) -> Column:
+    """The number of a name."""
+    return F.xxhash64(name)
+
+
+def number_vertices(names: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(vertices, apart): (name, id) with one id a name, and those of them whose id is not their plain hash.
+
+    Of names that share a hash all but the first get another one, until none
+    is shared; among ten billion names about three pairs share one.
+    """
+    plain = vertex_hash(F.col("name"))
+    vertices = scratch.write(names.select("name", plain.alias("id")), "vertices0")
+    for k in range(1, MAX_ROUNDS):
+        shared = vertices.groupBy("id").agg(F.count("*").alias("n"), F.min("name").alias("first")).filter("n > 1")
+        n = shared.count()
+        if not n:
+            return vertices, vertices.filter(F.col("id") != plain)
+        if n > MAX_HOT_KEYS:
+            raise RuntimeError(f"{n} ids are shared; the hash of names does not tell them apart")
+        again = vertices.join(F.broadcast(shared.select("id", "first")), "id", "left")
+        moved = F.when(F.col("first").isNotNull() & (F.col("name") != F.col("first")), F.xxhash64(F.lit(k), "name")).otherwise(F.col("id"))
+        vertices = scratch.write(again.select("name", moved.alias("id")), f"vertices{k}")
+        scratch.drop(f"vertices{k - 1}")
+    raise RuntimeError("ids stay shared")
+
+
 def contract(pairs: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
-    """(v, label): a label for each vertex, equal within a component.
+    """(name, label): a label for each vertex, equal within a component.
 
     ``pairs`` may hold null ends (left out), self pairs, and repeats or turned
     pairs in any number. A vertex of any degree is one row a task in the
@@ -42,36 +92,45 @@ def contract(pairs: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
     """
     named = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     first = scratch.write(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    vertices = scratch.write(first.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "vertices")
-    edges, n, rounds = first.filter("a <> b"), first.count(), []
+    vertices, apart = number_vertices(first.select(F.explode(F.array("a", "b")).alias("name")).distinct(), scratch)
+    edges = first.filter("a <> b")
+    moved = apart.count()  # of the MAX_HOT_KEYS names that number_vertices allows in each of its rounds
+    for end in ("a", "b"):
+        plain = vertex_hash(F.col(end))
+        if moved:
+            edges = edges.join(F.broadcast(apart.select(F.col("name").alias(end), "id")), end, "left").withColumn(f"_{end}", F.coalesce("id", plain)).drop("id")
+        else:
+            edges = edges.withColumn(f"_{end}", plain)
+    edges = scratch.write(edges.select(F.col("_a").alias("a"), F.col("_b").alias("b")), "edges")
+    n, rounds = edges.count(), []
     while n:
         k = len(rounds)
         if k >= MAX_ROUNDS:
             raise RuntimeError(f"{n} edges left after {k} rounds")
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
-        order = lambda c: F.struct(F.xxhash64(F.lit(k), F.col(c)).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
-        best = both.groupBy("v").agg(F.min(order("w")).alias("m"), F.count("*").alias("degree"))
-        mapping = best.select("v", F.least("m", order("v"))["x"].alias("rep"), (F.col("degree") >= hot_limit(2 * n)).alias("hot"))
+        best = both.groupBy("v").agg(F.min(_mixed(F.col("w"), k)).alias("m"), F.count("*").alias("degree"))
+        rep = _unmixed(F.least(F.col("m"), _mixed(F.col("v"), k)), k)
+        mapping = best.select("v", rep.alias("rep"), (F.col("degree") >= hot_limit(2 * n)).alias("hot"))
         mapping = scratch.write(mapping.filter("v <> rep OR hot"), f"map{k}")
         rounds.append(mapping)
         shrunk = _relabelled(_relabelled(edges, "a", mapping), "b", mapping)
         edges = scratch.write(_distinct(shrunk), f"edges{k}")
         n = edges.count()
-        scratch.drop(f"edges{k - 1}")
+        scratch.drop("edges", f"edges{k - 1}")
     labels = None
     for k, mapping in reversed(list(enumerate(rounds))):
         step = mapping.select("v", F.col("rep").alias("r"))
         if labels is not None:
             ends = labels.select(F.col("v").alias("r"), "label")
-            moved = skew_join(step, ends, "r", hot_keys(step, "r", step.count()), "left").select("v", F.coalesce("label", "r").alias("label"))
-            step = moved.unionByName(labels.join(mapping.select("v"), "v", "left_anti"))
+            moved_on = skew_join(step, ends, "r", hot_keys(step, "r", step.count()), "left").select("v", F.coalesce("label", "r").alias("label"))
+            step = moved_on.unionByName(labels.join(mapping.select("v"), "v", "left_anti"))
         else:
             step = step.withColumnRenamed("r", "label")
         labels = scratch.write(step, f"labels{k}")
         scratch.drop(f"labels{k + 1}", f"map{k}")
     if labels is None:
-        return vertices.withColumn("label", F.col("v"))
-    return vertices.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label"))
+        return vertices.select("name", F.col("id").alias("label"))
+    return vertices.join(labels.withColumnRenamed("v", "id"), "id", "left").select("name", F.coalesce("label", "id").alias("label"))
 
 
 def group_pairs(pairs: DataFrame, a: str, b: str, member: str = "member", group: str = "group_id") -> DataFrame:
@@ -82,6 +141,6 @@ def group_pairs(pairs: DataFrame, a: str, b: str, member: str = "member", group:
     """
     scratch = Scratch(pairs.sparkSession, "components")
     labels = scratch.write(contract(pairs, a, b, scratch), "labels")
-    names = labels.groupBy("label").agg(F.min("v").alias("name"))
+    names = labels.groupBy("label").agg(F.min("name").alias("first"))
     out = skew_join(labels, names, "label", hot_keys(labels, "label", labels.count()))
-    return out.select(F.col("v").alias(member), F.col("name").alias(group))
+    return out.select(F.col("name").alias(member), F.col("first").alias(group))

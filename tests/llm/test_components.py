@@ -49,6 +49,22 @@ def test_hot_vertices_go_by_broadcast(spark, monkeypatch):
     assert groups(spark, pairs) == union_find(pairs)
 
 
+def test_names_that_share_a_number_stay_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(components, "vertex_hash", lambda c: (F.length(c) * 7).cast("long"))
+    pairs = [("a", "bb"), ("c", "dd"), ("e", "ccc"), ("fff", "g"), ("bb", "gg")]
+    assert groups(spark, pairs) == union_find(pairs)
+
+
+def test_mixing_is_one_to_one(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).select(F.xxhash64("id").alias("x"))
+    for k in (0, 1, 5, 62, 63):
+        assert df.filter(components._unmixed(components._mixed(F.col("x"), k), k) != F.col("x")).count() == 0
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40)), max_size=45))
 def test_random_graphs(spark, edges):
