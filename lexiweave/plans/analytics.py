@@ -200,7 +200,7 @@ def family_concentration(spark: SparkSession, d: str) -> DataFrame:
     return lists.select("source_slug", F.size(sizes).alias("n_families"), F.round(F.array_max(sizes) / F.size("words"), 6).alias("share"))
 
 
-@R.query("""SELECT relationship_type, id, row_number() OVER (PARTITION BY relationship_type ORDER BY md5(CAST(id AS VARCHAR) || 'seed'), id) AS place FROM concept_relationships QUALIFY place <= 20""")
+@R.query("""SELECT relationship_type, id, row_number() OVER (PARTITION BY relationship_type ORDER BY md5(CAST(id AS VARCHAR) || 'seed'), id) AS place FROM concept_relationships QUALIFY place <= 20""", longs=("place",))
 def sample_stable(spark: SparkSession, d: str) -> DataFrame:
     """20 relations of each type, drawn by hash: a sampling operator."""
     return measures.stable_sample(table(spark, d, "concept_relationships").select("relationship_type", "id"), ["relationship_type"], "id", 20, "seed").select("relationship_type", "id", "place")

@@ -125,7 +125,7 @@ def dis1_route(spark: SparkSession, d: str) -> DataFrame:
     """Targets of a relation by its weights for the entry's senses."""
     n = _nested(spark, d, "synonyms").filter("_dis1 IS NOT NULL")
     best, kept = edges.routed(F.transform(F.split("_dis1", " "), lambda x: x.cast("int")))
-    return n.select("sense_id", "pos", "word", best.alias("first_best"), kept.alias("kept"))
+    return n.select("sense_id", "pos", "word", best.alias("first_best"), kept.cast("array<bigint>").alias("kept"))
 
 
 @R.query(f"""WITH n AS ({_nested_sql('synonyms')}), r AS (SELECT sense_id, lexeme_id, o ->> 'word' AS word, list_transform(string_split(o ->> '_dis1', ' '), lambda x: CAST(x AS INTEGER)) AS ws FROM n WHERE o ->> 'word' IS NOT NULL),
@@ -155,7 +155,7 @@ def translation_route(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"""WITH n AS ({_nested_sql('synonyms')}), a AS (SELECT sense_id, lower(o ->> 'word') AS syn FROM n), n2 AS ({_nested_sql('related')}), b AS (SELECT sense_id, lower(o ->> 'word') AS syn FROM n2),
 u AS (SELECT sense_id, syn, min(p) AS priority FROM (SELECT *, 0 AS p FROM a UNION ALL SELECT *, 1 FROM b) WHERE syn IS NOT NULL AND NOT contains(syn, ' ') GROUP BY 1, 2)
-SELECT sense_id, syn, priority, row_number() OVER (PARTITION BY sense_id ORDER BY priority, syn) AS place FROM u JOIN (SELECT s.id, lower(x.lemma) AS lemma FROM senses s JOIN lexemes x ON x.id = s.lexeme_id) l ON l.id = u.sense_id WHERE syn IS DISTINCT FROM l.lemma QUALIFY place <= 10""")
+SELECT sense_id, syn, priority, row_number() OVER (PARTITION BY sense_id ORDER BY priority, syn) AS place FROM u JOIN (SELECT s.id, lower(x.lemma) AS lemma FROM senses s JOIN lexemes x ON x.id = s.lexeme_id) l ON l.id = u.sense_id WHERE syn IS DISTINCT FROM l.lemma QUALIFY place <= 10""", longs=("place",))
 def synonym_union(spark: SparkSession, d: str) -> DataFrame:
     """Up to 10 single words for each sense from two sources in order, without its own lemma."""
     own = table(spark, d, "senses").select(F.col("id").alias("sense_id"), "lexeme_id").join(table(spark, d, "lexemes").select(F.col("id").alias("lexeme_id"), F.lower("lemma").alias("lemma")), "lexeme_id").drop("lexeme_id")
@@ -306,7 +306,7 @@ _ROOTS = f"roots AS (SELECT DISTINCT {_slug('slug')} AS node FROM concepts WHERE
 _CVEC = f"cvec AS (SELECT c.node, CAST(e.embedding AS DOUBLE[]) AS vector FROM (SELECT {_slug('slug')} AS node, min(id) AS id FROM concepts WHERE {_slug('slug')} IS NOT NULL GROUP BY 1) c JOIN embeddings e ON e.vec_id = c.id)"
 
 
-@R.query(f"WITH {_kids('kids', 5, _ALL)} SELECT src, dst, score, place FROM kids")
+@R.query(f"WITH {_kids('kids', 5, _ALL)} SELECT src, dst, score, place FROM kids", longs=("place",))
 def expand_single(spark: SparkSession, d: str) -> DataFrame:
     """The five best targets of every concept by trust and weight, with the penalty for families."""
     return expansion.children(concept_edges(spark, d), 5)
@@ -354,7 +354,7 @@ def tree_metrics(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("root").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("depth"), F.max(F.when(F.col("depth") > 0, F.col("score"))).alias("best"), (F.count("*") <= 40).alias("within_limit"))
 
 
-@R.query(f"{_TREES}, r AS (SELECT root, node, depth, left(node, 3) AS lane, row_number() OVER (PARTITION BY root, left(node, 3) ORDER BY depth, score DESC, node) AS turn FROM trees) SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY depth > 0, turn, lane, node) AS place FROM r")
+@R.query(f"{_TREES}, r AS (SELECT root, node, depth, left(node, 3) AS lane, row_number() OVER (PARTITION BY root, left(node, 3) ORDER BY depth, score DESC, node) AS turn FROM trees) SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY depth > 0, turn, lane, node) AS place FROM r", longs=("place",))
 def interleave(spark: SparkSession, d: str) -> DataFrame:
     """A tree's nodes in turn over lanes, the root first; the beginnings of slugs stand in for languages."""
     t = trees(spark, d).withColumn("lane", F.left("node", F.lit(3)))
@@ -371,7 +371,7 @@ def parked_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"""WITH {_kids('kids', 5, _ALL)}, n AS (SELECT src, count(*) AS n FROM kids GROUP BY src), t AS (SELECT r.src, r.dst, row_number() OVER (PARTITION BY r.src ORDER BY r.dst) AS p FROM
   (SELECT DISTINCT {_slug('target_concept_slug')} AS src, {_slug('source_concept_slug')} AS dst FROM concept_relationships WHERE {_slug('relationship_type')} = 'narrower') r WHERE r.src <> r.dst AND NOT EXISTS (SELECT 1 FROM kids k WHERE k.src = r.src AND k.dst = r.dst) QUALIFY p <= 5)
-SELECT t.src, t.dst, t.p AS fill FROM t LEFT JOIN n ON n.src = t.src WHERE t.p <= 5 - coalesce(n.n, 0)""")
+SELECT t.src, t.dst, t.p AS fill FROM t LEFT JOIN n ON n.src = t.src WHERE t.p <= 5 - coalesce(n.n, 0)""", longs=("fill",))
 def pivot_top_up(spark: SparkSession, d: str) -> DataFrame:
     """Concepts with fewer than five children filled up from the reversed narrower relation."""
     kids = expansion.children(concept_edges(spark, d), 5)

@@ -33,7 +33,7 @@ _RANKED = "pinned_rank ASC NULLS LAST, tier DESC, score DESC, source_order ASC N
 
 
 @R.query(f"""{_STAR}, r AS (SELECT *, row_number() OVER (PARTITION BY language_code, normalized_lemma ORDER BY {_DICTIONARY}) AS rank FROM star)
-SELECT language_code, normalized_lemma, sense_id, coalesce(nullif(override_definition, ''), base_definition) AS definition, n_selected, rank FROM r WHERE rank <= 20""")
+SELECT language_code, normalized_lemma, sense_id, coalesce(nullif(override_definition, ''), base_definition) AS definition, n_selected, rank FROM r WHERE rank <= 20""", longs=("rank",))
 def lookup_ranked(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 senses of every word in dictionary order: all lookups at once."""
     top = lookup.top_per_key(star(spark, d), WORD, lookup.dictionary_order(), 20)
@@ -41,7 +41,7 @@ def lookup_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(f"""{_SIGNALS}, r AS (SELECT *, row_number() OVER (PARTITION BY language_code, normalized_lemma ORDER BY {_RANKED}) AS rank FROM scored)
-SELECT language_code, normalized_lemma, sense_id, etymology_rank, n_hard, n_soft, gloss_depth, tier, score, rank FROM r WHERE rank <= 20""")
+SELECT language_code, normalized_lemma, sense_id, etymology_rank, n_hard, n_soft, gloss_depth, tier, score, rank FROM r WHERE rank <= 20""", longs=("etymology_rank", "n_hard", "n_soft", "gloss_depth", "rank"))
 def lookup_rank_signals(spark: SparkSession, d: str) -> DataFrame:
     """The first 20 senses of every word by score, with the signals. As in a single lookup, the 1000 first of the dictionary are ranked."""
     capped = lookup.top_per_key(star(spark, d), WORD, lookup.dictionary_order(), lookup.RANKED_SENSES).drop("rank")
@@ -110,7 +110,7 @@ def sha1_locator(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(f"""{_STAR}, r AS (SELECT *, row_number() OVER (PARTITION BY language_code ORDER BY n_selected DESC, sense_id) AS rank FROM star)
-SELECT language_code, display_order, sense_id, n_selected, rank FROM r WHERE rank <= 10""")
+SELECT language_code, display_order, sense_id, n_selected, rank FROM r WHERE rank <= 10""", longs=("rank",))
 def directory_order(spark: SparkSession, d: str) -> DataFrame:
     """The most selected senses of each language; the limit comes after the ranking."""
     return lookup.top_per_key(star(spark, d), ["language_code"], [F.desc("n_selected"), F.asc("sense_id")], 10).select("language_code", "display_order", "sense_id", "n_selected", "rank")
@@ -153,7 +153,7 @@ def text_project(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""WITH r AS (SELECT language_id, id, lemma, length(regexp_replace(lemma, '[-\\s'']', '', 'g')) AS n_letters FROM lexemes WHERE lemma IS NOT NULL)
-SELECT language_id, id, n_letters, row_number() OVER (PARTITION BY language_id ORDER BY n_letters, lemma, id) AS place FROM r WHERE n_letters BETWEEN 4 AND 12 QUALIFY place <= 50""")
+SELECT language_id, id, n_letters, row_number() OVER (PARTITION BY language_id ORDER BY n_letters, lemma, id) AS place FROM r WHERE n_letters BETWEEN 4 AND 12 QUALIFY place <= 50""", longs=("n_letters", "place"))
 def client_sort(spark: SparkSession, d: str) -> DataFrame:
     """The shortest words of each language, separators not counted."""
     n = F.length(F.regexp_replace("lemma", r"[-\s']", ""))
@@ -163,7 +163,7 @@ def client_sort(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"""{_STAR}, r AS (SELECT language_code, normalized_lemma, part_of_speech, row_number() OVER (PARTITION BY language_code, normalized_lemma ORDER BY {_DICTIONARY}) AS rank FROM star QUALIFY rank <= 20),
 c AS (SELECT *, CASE WHEN lag(part_of_speech) OVER (PARTITION BY language_code, normalized_lemma ORDER BY rank) IS DISTINCT FROM part_of_speech OR rank = 1 THEN 1 ELSE 0 END AS starts FROM r)
-SELECT language_code, normalized_lemma, rank, sum(starts) OVER (PARTITION BY language_code, normalized_lemma ORDER BY rank)::BIGINT AS run FROM c""")
+SELECT language_code, normalized_lemma, rank, sum(starts) OVER (PARTITION BY language_code, normalized_lemma ORDER BY rank)::BIGINT AS run FROM c""", longs=("rank",))
 def run_groups(spark: SparkSession, d: str) -> DataFrame:
     """Runs of equal part of speech in a word's first 20 senses."""
     top = lookup.top_per_key(star(spark, d), WORD, lookup.dictionary_order(), 20).select(*WORD, "part_of_speech", "rank")

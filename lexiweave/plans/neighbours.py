@@ -63,7 +63,7 @@ scored AS (SELECT *, round(sim + CASE WHEN popular THEN 0.025 ELSE 0 END + CASE
   WHEN len(terms) <= 2 THEN -0.04 ELSE 0 END + CASE WHEN list_has_any(terms, {_list(fixed.BROAD_TERMS)}) OR list_bool_or(list_transform({_list(fixed.BROAD_PHRASES)}, lambda p: contains(lower(definition), p))) THEN -0.05 ELSE 0 END, 6) AS score FROM judged)"""
 
 
-@R.query(f"""{_RERANK} SELECT query_id, row_id, word, sim, popular, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS place FROM scored WHERE score >= -0.2) WHERE place <= 10""")
+@R.query(f"""{_RERANK} SELECT query_id, row_id, word, sim, popular, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS place FROM scored WHERE score >= -0.2) WHERE place <= 10""", longs=("place",))
 def knn_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The neighbours reranked by what is known about them: one sense a word, adjusted, cut at a floor, the best 10."""
     sv, near = _search(spark, d, 100)
@@ -133,7 +133,7 @@ def antonym_anti(spark: SparkSession, d: str) -> DataFrame:
     return j.join(out, ["word", "other"], "left_anti").select("query_id", "row_id")
 
 
-@R.query("""SELECT id, lemma, length(lemma) AS n_chars, length(regexp_replace(lemma, '[-\\s'']', '', 'g')) AS n_letters FROM lexemes WHERE length(lemma) BETWEEN 4 AND 9 AND length(regexp_replace(lemma, '[-\\s'']', '', 'g')) >= 4""")
+@R.query("""SELECT id, lemma, length(lemma) AS n_chars, length(regexp_replace(lemma, '[-\\s'']', '', 'g')) AS n_letters FROM lexemes WHERE length(lemma) BETWEEN 4 AND 9 AND length(regexp_replace(lemma, '[-\\s'']', '', 'g')) >= 4""", longs=("n_chars", "n_letters"))
 def length_filter(spark: SparkSession, d: str) -> DataFrame:
     """Words of 4 to 9 characters with 4 letters or more."""
     n = F.length(F.regexp_replace("lemma", r"[-\s']", ""))
@@ -141,7 +141,7 @@ def length_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(f"""WITH t AS (SELECT s.id AS sense_id, list_distinct(regexp_extract_all(lower(coalesce(s.definition, '')), '[\\p{{L}}\\p{{N}}]+')) AS tokens, list_distinct(regexp_extract_all(lower(coalesce(x.lemma, '')), '[\\p{{L}}\\p{{N}}]+')) AS lemma_tokens FROM senses s JOIN lexemes x ON x.id = s.lexeme_id)
-SELECT sense_id, list_has_any(tokens, {_list((*fixed.HEDGES, 'dated', 'trade'))}) AS hedged, len(lemma_tokens) > 0 AND list_has_all(tokens, lemma_tokens) AS names_itself, len(list_filter(tokens, lambda t: NOT list_contains({_list(fixed.STOPWORDS)}, t))) AS n_terms FROM t""")
+SELECT sense_id, list_has_any(tokens, {_list((*fixed.HEDGES, 'dated', 'trade'))}) AS hedged, len(lemma_tokens) > 0 AND list_has_all(tokens, lemma_tokens) AS names_itself, len(list_filter(tokens, lambda t: NOT list_contains({_list(fixed.STOPWORDS)}, t))) AS n_terms FROM t""", longs=("n_terms",))
 def hedge_and_subset(spark: SparkSession, d: str) -> DataFrame:
     """Whether a definition hedges, whether it holds all of its word, and its terms."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))

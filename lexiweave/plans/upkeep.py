@@ -107,7 +107,7 @@ def repeated_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query("""WITH p AS (SELECT w.id, w.language_code, w.sense_rank, w.gloss FROM word_senses w WHERE w.review_status = 'unreviewed' AND w.gloss <> '' AND EXISTS (SELECT 1 FROM concepts c WHERE c.slug = w.concept_slug AND c.status = 'active'))
-SELECT id, language_code, row_number() OVER (PARTITION BY language_code ORDER BY sense_rank DESC NULLS LAST, id) AS place FROM p QUALIFY place <= 200""")
+SELECT id, language_code, row_number() OVER (PARTITION BY language_code ORDER BY sense_rank DESC NULLS LAST, id) AS place FROM p QUALIFY place <= 200""", longs=("place",))
 def batch_preview(spark: SparkSession, d: str) -> DataFrame:
     """The next 200 rows to look at in each language, by priority."""
     c = table(spark, d, "concepts").filter("status = 'active'").select(F.col("slug").alias("concept_slug"))
@@ -153,7 +153,7 @@ def hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     return counting.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "1 hour", ["event_type"]).withColumn("start", F.unix_micros("start"))
 
 
-@R.query(r"""SELECT doc_id, regexp_extract(text, '(?s)<p>(.*?)</p>', 1) AS inner_text, len(regexp_extract_all(text, '</?[A-Za-z][^<>]*>')) AS n_tags, regexp_replace(text, '</?[A-Za-z][^<>]*>', '', 'g') AS plain FROM documents WHERE contains(text, '<')""")
+@R.query(r"""SELECT doc_id, regexp_extract(text, '(?s)<p>(.*?)</p>', 1) AS inner_text, len(regexp_extract_all(text, '</?[A-Za-z][^<>]*>')) AS n_tags, regexp_replace(text, '</?[A-Za-z][^<>]*>', '', 'g') AS plain FROM documents WHERE contains(text, '<')""", longs=("n_tags",))
 def html_scan(spark: SparkSession, d: str) -> DataFrame:
     """Marked-up documents with their tags counted and taken off."""
     tag = r"</?[A-Za-z][^<>]*>"
