@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiweave.durable import Scratch
 from lexiweave.functions.keys import slug_key, trimmed
 from lexiweave.operators import edges, expansion
 from lexiweave.operators.lookup import top_per_key
@@ -327,8 +328,9 @@ _TREES = f"""WITH {_ROOTS}, {_CVEC}, {_kids('kids', 3, _ALL)}, {_kids('deep', 3,
 def trees(spark: SparkSession, d: str, width: int = 3, depth: int = 3, alpha: float = expansion.ALPHA, decay: float = expansion.DECAY) -> DataFrame:
     """The trees of every hundredth concept; below the first level only synonyms and near synonyms are followed."""
     roots, v = concept_roots(spark, d), concept_vectors(spark, d)
-    kids = expansion.children(concept_edges(spark, d), width)
-    deep = expansion.children(concept_edges(spark, d, ("synonym", "near_synonym")), width)
+    scratch = Scratch(spark, "trees")  # what every level reads is computed once
+    kids = scratch.write(expansion.children(concept_edges(spark, d), width), "kids")
+    deep = scratch.write(expansion.children(concept_edges(spark, d, ("synonym", "near_synonym")), width), "deep")
     nodes = roots.select(F.col("node").alias("root"), "node")
     # the likeness of a root and a node is needed only for nodes within reach of it
     reach = frontier = nodes
@@ -338,7 +340,7 @@ def trees(spark: SparkSession, d: str, width: int = 3, depth: int = 3, alpha: fl
         reach = reach.unionByName(frontier)
     rv, nv = v.select(F.col("node").alias("root"), F.col("vector").alias("rv")), v.select("node", F.col("vector").alias("nv"))
     origin = reach.distinct().join(rv, "root").join(nv, "node").select("root", "node", F.round(cosine(F.col("rv"), F.col("nv")), 6).alias("sim"))
-    return expansion.grow(roots, kids, deep, origin, depth, alpha, decay)
+    return expansion.grow(roots, kids, deep, scratch.write(origin, "origin"), depth, alpha, decay)
 
 
 @R.query(f"{_TREES} SELECT root, depth, node, parent, score, array_to_string(lineage, '.') AS lineage FROM trees")

@@ -10,6 +10,7 @@ from lexiweave.operators import vectors
 from lexiweave.operators.lookup import top_per_key
 from lexiweave.plans.registry import Registry
 from lexiweave.session import table
+from lexiweave.skew import hot_keys, salted_join
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -111,26 +112,24 @@ def _stem_sql(c: str) -> str:
     return "CASE " + " ".join(f"WHEN length({c}) > {len(s) + 2} AND ends_with({c}, '{s}') THEN left({c}, length({c}) - {len(s)})" for s in fixed.SUFFIXES) + f" ELSE {c} END"
 
 
-@R.query(f"""WITH w AS (SELECT DISTINCT lower(lemma) AS word, left(lower(lemma), 5) AS head FROM lexemes WHERE length(lemma) >= 5), s AS (SELECT *, {_stem_sql('word')} AS stem FROM w)
-SELECT a.word AS word, b.word AS variant FROM s a JOIN s b ON a.head = b.head AND a.word < b.word
+@R.query(f"""WITH w AS (SELECT DISTINCT lower(lemma) AS word, left(lower(lemma), 5) AS head FROM lexemes WHERE length(lemma) >= 5), s AS (SELECT *, {_stem_sql('word')} AS stem FROM w),
+q AS (SELECT DISTINCT lower(lemma) AS word FROM lexemes WHERE length(lemma) >= 5 AND id % {EVERY // 10} = 0)
+SELECT a.word AS word, b.word AS variant FROM s a JOIN q ON q.word = a.word JOIN s b ON a.head = b.head AND a.word <> b.word
 WHERE a.stem = b.stem OR (least(length(a.stem), length(b.stem)) >= 5 AND left(a.stem, greatest(5, least(length(a.stem), length(b.stem)) - 1)) = left(b.stem, greatest(5, least(length(a.stem), length(b.stem)) - 1)))""")
 def morph_reject(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of words that are forms of one, among words of five letters or more that begin alike."""
-    w = table(spark, d, "lexemes").filter(F.length("lemma") >= 5).select(F.lower("lemma").alias("word")).distinct().withColumn("head", F.left("word", F.lit(5)))
-    a, b = w.alias("a"), w.alias("b")
-    pairs = a.join(b, F.expr("a.head = b.head AND a.word < b.word")).select(F.col("a.word").alias("word"), F.col("b.word").alias("variant"))
-    return pairs.filter(vectors.same_stem(F.col("word"), F.col("variant")))
+    """Words of five letters or more that are forms of the word of every tenth lexeme, among those that begin alike."""
+    x = table(spark, d, "lexemes").filter(F.length("lemma") >= 5).select(F.lower("lemma").alias("word"), F.left(F.lower("lemma"), F.lit(5)).alias("head"), "id")
+    q = x.filter(F.col("id") % (EVERY // 10) == 0).select("word", "head").distinct()
+    w = x.select(F.col("word").alias("variant"), "head").distinct()
+    return salted_join(w, q, "head", hot_keys(w, "head", x.count()), "variant").filter("word <> variant").filter(vectors.same_stem(F.col("word"), F.col("variant"))).select("word", "variant")
 
 
-@R.query(f"""{_VECTORS}, {_pairs()}, against AS (SELECT DISTINCT a.word AS word, b.word AS other FROM (SELECT DISTINCT word, left(word, 2) AS h FROM sv) a JOIN (SELECT DISTINCT word, left(word, 2) AS h FROM sv) b ON a.h = b.h AND a.word <> b.word)
-SELECT n.query_id, n.row_id FROM {_top(30)} n JOIN sv q ON q.id = n.query_id JOIN sv c ON c.id = n.row_id WHERE NOT EXISTS (SELECT 1 FROM against x WHERE x.word = q.word AND x.other = c.word)""")
+@R.query(f"""{_VECTORS}, {_pairs()}, out AS (SELECT DISTINCT id AS row_id FROM word_senses WHERE equivalence_type IN ('archaic', 'near_equivalent'))
+SELECT n.query_id, n.row_id FROM {_top(30)} n WHERE NOT EXISTS (SELECT 1 FROM out x WHERE x.row_id = n.row_id)""")
 def antonym_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours that are not among the words excluded for the query; words that begin alike stand in for antonyms."""
-    sv, near = _search(spark, d, 30)
-    w = sv.select("word", F.left("word", F.lit(2)).alias("h")).distinct()
-    out = w.join(w.select(F.col("word").alias("other"), "h"), "h").filter("word <> other").select("word", "other")
-    j = near.join(sv.select(F.col("id").alias("query_id"), "word"), "query_id").join(sv.select(F.col("id").alias("row_id"), F.col("word").alias("other")), "row_id")
-    return j.join(out, ["word", "other"], "left_anti").select("query_id", "row_id")
+    """Neighbours without those of an excluded set; word senses of two kinds stand in for antonyms."""
+    out = table(spark, d, "word_senses").filter("equivalence_type IN ('archaic', 'near_equivalent')").select(F.col("id").alias("row_id"))
+    return _search(spark, d, 30)[1].join(out, "row_id", "left_anti").select("query_id", "row_id")
 
 
 @R.query("""SELECT id, lemma, length(lemma) AS n_chars, length(regexp_replace(lemma, '[-\\s'']', '', 'g')) AS n_letters FROM lexemes WHERE length(lemma) BETWEEN 4 AND 9 AND length(regexp_replace(lemma, '[-\\s'']', '', 'g')) >= 4""", longs=("n_chars", "n_letters"))
