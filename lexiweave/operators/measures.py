@@ -17,9 +17,10 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """(keys, n_pos, n_neg, auc): the chance that a positive row scores above another, ties half; null where one kind is missing."""
-    r = value_ranks(df, keys, score).select(*keys, F.col(score).alias("_s"), "rank")
-    per = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    total = per.join(r, [*keys, "_s"]).groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("rank") * F.col("p")).alias("u"))
+    # keys in a struct are equal where both are null
+    r = value_ranks(df, keys, score).select(F.struct(*keys, score).alias("_k"), "rank")
+    per = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count_if(positive).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    total = per.select(*keys, F.struct(*keys, score).alias("_k"), "p", "q").join(r, "_k").groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("rank") * F.col("p")).alias("u"))
     value = (F.col("u") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
     return total.select(*keys, "n_pos", "n_neg", F.round(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), value), 6).alias("auc"))
 
@@ -27,10 +28,10 @@ def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(keys, n, rho): rank correlation with average ranks, over rows with both values."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
-    ra = value_ranks(rows, keys, a).select(*keys, a, F.col("rank").alias("_a"))
-    rb = value_ranks(rows, keys, b).select(*keys, b, F.col("rank").alias("_b"))
-    # rows are counted by pair of values, so the joins see each pair once
-    pairs = rows.groupBy(*keys, a, b).agg(F.count("*").alias("n")).join(ra, [*keys, a]).join(rb, [*keys, b])
+    ra = value_ranks(rows, keys, a).select(F.struct(*keys, a).alias("_ka"), F.col("rank").alias("_a"))
+    rb = value_ranks(rows, keys, b).select(F.struct(*keys, b).alias("_kb"), F.col("rank").alias("_b"))
+    # rows are counted by pair of values, so the joins see each pair once; keys in a struct are equal where both are null
+    pairs = rows.groupBy(*keys, a, b).agg(F.count("*").alias("n")).withColumn("_ka", F.struct(*keys, a)).withColumn("_kb", F.struct(*keys, b)).join(ra, "_ka").join(rb, "_kb")
     x, y, n = F.col("_a"), F.col("_b"), F.col("n")
     s = pairs.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"), F.sum(n * x * y).alias("xy"))
     cov = F.col("xy") - F.col("x") * F.col("y") / F.col("n")

@@ -30,8 +30,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = Non
 
     ``queries`` and ``rows`` have id, vector and, where given, the ``scope``
     within which alone they meet. A query does not find rows equal to it in the
-    BIGINT column ``apart``, its own id as a rule. Vectors that
-    are null or without length find nothing and are not found. Similarities are
+    BIGINT column ``apart``, its own id as a rule and where that is null. What
+    has a null id, vector or scope, or a vector without length, finds nothing
+    and is not found. Similarities are
     rounded before ranking, so ties fall alike in any engine.
 
     The queries go to the workers in blocks of at most ``query_bytes``, each
@@ -40,13 +41,14 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, scope: str | None = Non
     """
     spark = rows.sparkSession
     own = [scope] if scope else []
-    columns = [F.col("id").cast("long").alias("id"), "vector", F.col(apart).cast("long").alias("apart"), *own]
-    q = queries.filter("id IS NOT NULL AND vector IS NOT NULL").select(*columns)
+    columns = [F.col("id").cast("long").alias("id"), "vector", F.coalesce(F.col(apart).cast("long"), F.col("id").cast("long")).alias("apart"), *own]
+    there = " AND ".join(f"{c} IS NOT NULL" for c in ("id", "vector", *own))
+    q = queries.filter(there).select(*columns)
     sizes = q.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("w")).first()
     if not sizes.n:
         return spark.createDataFrame([], NEIGHBOURS)
     passes = max(1, -(-sizes.n * sizes.w * 4 // query_bytes))
-    r = rows.filter("id IS NOT NULL AND vector IS NOT NULL").select(*columns)
+    r = rows.filter(there).select(*columns)
     best = None
     for part in range(passes):
         block = q if passes == 1 else q.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == part)

@@ -217,10 +217,10 @@ def group_extremes(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""SELECT g.code, count(*) AS n, count(x.romanization) AS n_romanized, round(100.0 * count(x.romanization) / count(*), 2) AS coverage, max(length(x.lemma)) AS longest, count(*) FILTER (WHERE x.raw_entry IS NULL) AS n_bare FROM lexemes x JOIN languages g ON g.id = x.language_id GROUP BY g.code""")
 def coverage_report(spark: SparkSession, d: str) -> DataFrame:
     """How much of each language's lexemes is filled in."""
-    x = table(spark, d, "lexemes").groupBy("language_id").agg(
+    g = table(spark, d, "languages").select(F.col("id").alias("language_id"), "code")
+    return table(spark, d, "lexemes").join(g, "language_id").groupBy("code").agg(
         F.count("*").alias("n"), F.count("romanization").alias("n_romanized"), F.round(F.lit(100.0) * F.count("romanization") / F.count("*"), 2).alias("coverage"), F.max(F.length("lemma")).cast("long").alias("longest"), F.count_if(F.col("raw_entry").isNull()).alias("n_bare")
     )
-    return x.join(table(spark, d, "languages").select(F.col("id").alias("language_id"), "code"), "language_id").drop("language_id")
 
 
 @R.query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, count({c}) AS n_filled FROM {t}" for t, c in (("concepts", "domain"), ("word_senses", "concept_slug"), ("lexemes", "lemma"), ("senses", "definition"), ("documents", "text"))))

@@ -116,13 +116,13 @@ def directory_order(spark: SparkSession, d: str) -> DataFrame:
     return lookup.top_per_key(star(spark, d), ["language_code"], [F.desc("n_selected"), F.asc("sense_id")], 10).select("language_code", "display_order", "sense_id", "n_selected", "rank")
 
 
-@R.query("""SELECT code, name, script IN ('Arab', 'Hebr') AS right_to_left, CAST(row_number() OVER (ORDER BY code <> 'en', display_order ASC NULLS LAST, id) AS INTEGER) AS position FROM languages g
+@R.query("""SELECT code, name, script IN ('Arab', 'Hebr') AS right_to_left, CAST(row_number() OVER (ORDER BY coalesce(code <> 'en', true), display_order ASC NULLS LAST, id) AS INTEGER) AS position FROM languages g
 WHERE EXISTS (SELECT 1 FROM lexemes x JOIN senses s ON s.lexeme_id = x.id WHERE x.language_id = g.id AND s.visibility_status = 'visible')""")
 def language_directory(spark: SparkSession, d: str) -> DataFrame:
     """Languages with a visible sense, English first, in display order. The window runs over the language dimension, whose size is fixed."""
     lex = table(spark, d, "lexemes").select(F.col("id").alias("lexeme_id"), "language_id")
     seen = table(spark, d, "senses").filter("visibility_status = 'visible'").select("lexeme_id").join(lex, "lexeme_id").select(F.col("language_id").alias("id")).distinct()
-    order = Window.orderBy(F.col("code") != "en", F.asc_nulls_last("display_order"), "id")
+    order = Window.orderBy(F.coalesce(F.col("code") != "en", F.lit(True)), F.asc_nulls_last("display_order"), "id")
     return table(spark, d, "languages").join(seen, "id", "left_semi").select("code", "name", F.col("script").isin("Arab", "Hebr").alias("right_to_left"), F.row_number().over(order).alias("position"))
 
 

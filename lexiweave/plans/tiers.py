@@ -36,7 +36,7 @@ def _rules(tags: str) -> str:
   WHEN NOT (CASE WHEN language_code IN ('hi', 'sa') THEN regexp_full_match(lem, '[\p{{L}}\p{{Mn}}\p{{Mc}}'' -]*') AND regexp_matches(lem, '\p{{L}}')
     WHEN language_code = 'fa' THEN regexp_full_match(lem, '[\p{{L}}'' \x{{200c}}\x{{200d}}-]*') AND regexp_matches(lem, '\p{{L}}') ELSE regexp_full_match(lem, '[\p{{L}}'' -]*') END) THEN 7
   WHEN regexp_full_match(lem, '[\p{{Latin}}\p{{Cyrillic}}\p{{Greek}}]') THEN 8 WHEN pos IN ('name', 'num') THEN 9 WHEN list_has_any({tags}, {_list(fixed.TIER_B_TAGS)}) THEN 10 WHEN contains(lem, ' ') THEN 11
-  WHEN language_code <> 'de' AND regexp_matches(lem, '^\p{{Lu}}') AND lem <> upper(lem) THEN 12 ELSE 13 END"""
+  WHEN coalesce(language_code, '') <> 'de' AND regexp_matches(lem, '^\p{{Lu}}') AND lem <> upper(lem) THEN 12 ELSE 13 END"""
 
 
 _TIERS = rf"""WITH base AS (SELECT s.id AS sense_id, s.visibility_status, g.code AS language_code, x.normalized_lemma, x.language_id, x.id AS lexeme_id, lower({_TRIM.format('x.part_of_speech')}) AS pos, {_TRIM.format('x.lemma')} AS lem, {_TRIM.format('s.definition')} AS defn,

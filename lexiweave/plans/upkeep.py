@@ -134,7 +134,7 @@ def counters(spark: SparkSession, d: str) -> DataFrame:
     return counting.count_events(table(spark, d, "events"), ["user_id", "event_type"]).withColumn("last_at", F.unix_micros(F.col("last_at").cast("timestamp")))
 
 
-@R.query("SELECT lower(event_type) AS word, count(DISTINCT user_id) AS n, epoch_us(max(ts)) AS last_at FROM events GROUP BY 1")
+@R.query("SELECT lower(event_type) AS word, count(DISTINCT user_id) AS n, epoch_us(max(ts)) AS last_at FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL GROUP BY 1")
 def word_counters(spark: SparkSession, d: str) -> DataFrame:
     """Words counted once a request; users stand in for requests."""
     return counting.count_words(table(spark, d, "events"), "user_id", "event_type").withColumn("last_at", F.unix_micros(F.col("last_at").cast("timestamp")))
@@ -147,7 +147,7 @@ def counter_lookup(spark: SparkSession, d: str) -> DataFrame:
     return counting.counters_of(counting.count_events(e, ["user_id"]), e.select((F.col("user_id") + 500).alias("user_id")), ["user_id"]).select("user_id", "n")
 
 
-@R.query("SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@R.query("SELECT epoch_us(date_trunc('hour', ts)) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def hourly_counts(spark: SparkSession, d: str) -> DataFrame:
     """Events by hour and kind."""
     return counting.windowed_counts(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", "1 hour", ["event_type"]).withColumn("start", F.unix_micros("start"))

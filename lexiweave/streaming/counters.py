@@ -16,8 +16,8 @@ def count_events(events: DataFrame, key: list[str], at: str = "ts") -> DataFrame
 
 
 def count_words(events: DataFrame, request: str, word: str, at: str = "ts") -> DataFrame:
-    """(word, n, last_at): requests that name a word, once each however often they do; blank words do not count."""
-    w = events.select(request, F.lower(trimmed(word)).alias("word"), at).filter("word <> ''")
+    """(word, n, last_at): requests that name a word, once each however often they do; blank words and null requests do not count."""
+    w = events.filter(F.col(request).isNotNull()).select(request, F.lower(trimmed(word)).alias("word"), at).filter("word <> ''")
     once = w.groupBy(request, "word").agg(F.max(at).alias(at))
     return count_events(once, ["word"], at)
 

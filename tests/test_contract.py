@@ -29,9 +29,24 @@ def test_query_equals_its_sql(spark, tiny, name):
     assert compare(CORE[name](spark, tiny), list(rel.columns), rel.fetchall()) == ""
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_with_nulls_equals_its_sql(spark, nulled, name):
+    from oracle_check import compare, connect
+
+    rel = connect(nulled).sql(SQL[name])
+    assert compare(CORE[name](spark, nulled), list(rel.columns), rel.fetchall()) == ""
+
+
 @pytest.mark.parametrize("name", sorted(set(CORE) - set(SQL)))
-def test_query_without_sql_runs(spark, tiny, name):
-    assert CORE[name](spark, tiny).count() >= 0
+def test_query_without_sql_runs(spark, tiny, nulled, name):
+    for d in (tiny, nulled):
+        assert CORE[name](spark, d).count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(CORE))
+def test_query_over_empty_tables(spark, empty_tables, name):
+    rows = CORE[name](spark, empty_tables).collect()
+    assert all(v in (0, None) or isinstance(v, str) for r in rows for v in r), rows[:3]
 
 
 def test_core_stands_without_the_llm_subpackage():
