@@ -14,7 +14,7 @@ import base64
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -44,8 +44,8 @@ SWITCH_COST = 7.0
 #: Scored words kept in a worker; only speed depends on it.
 CACHE_WORDS = 400_000
 
-#: Where sentences end: after a mark, its closing quotes and white space, after an ideographic mark, or at a line's end.
-_SENTENCE_END = regex.compile(r"""(?<=[.!?…]["'”’»)\]*_]{0,3})\s+|(?<=[。！？][」』”]{0,2})(?![」』”])|[\r\n]+|(?<=[.!?…。]["'”’»)\]*_]{0,3})(?=</?[a-z]+>)""")
+#: Where sentences end: behind a mark and its closing quotes before white space or mark-up, behind an ideographic mark, or at a line's end.
+_SENTENCE_END = regex.compile(r"""[.!?…]["'”’»)\]*_]{0,3}(?=\s|</?[a-z])|[。！？][」』”]{0,2}|[\r\n]+""")
 _MARKUP = regex.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _MARKS = regex.compile(r"\p{Mn}+")
@@ -65,14 +65,19 @@ def plain(text: str) -> str:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence; parts without letters belong to none."""
-    out, at = [], 0
+    """(start, end) of each sentence, without white space before it."""
+    out, at, n = [], 0, len(text)
     for m in _SENTENCE_END.finditer(text):
-        if m.start() > at:
-            out.append((at, m.start()))
+        end = m.start() if m[0][0] in "\r\n" else m.end()
+        while at < end and text[at].isspace():
+            at += 1
+        if at < end:
+            out.append((at, end))
         at = m.end()
-    if at < len(text):
-        out.append((at, len(text)))
+    while at < n and text[at].isspace():
+        at += 1
+    if at < n:
+        out.append((at, n))
     return out
 
 
@@ -145,58 +150,101 @@ def _by_length(words: list[str], at_once: int = 20_000) -> Iterator[list[str]]:
 
 @dataclass
 class Model:
-    """Piece probabilities of each language; the size is that of the vocabulary times the languages."""
+    """Piece probabilities of each language; the size is that of the vocabulary times the languages.
+
+    Words scored so far are kept: their rows in ``table`` by word.
+    """
 
     languages: list[str]
     vocabulary: str
     prob: np.ndarray
-    store: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def scores(self, words: list[str]) -> dict[str, np.ndarray]:
-        """The logarithm of each word's probability by language, raised where it falls WORD_CAP below the best."""
-        pieces, new = _vocabulary(self.vocabulary), [w for w in dict.fromkeys(words) if w not in self.store]
-        if len(self.store) + len(new) > CACHE_WORDS:
-            self.store.clear()
-            new = list(dict.fromkeys(words))
-        for group in _by_length(new):
-            s = np.log(_forward(_lattice(group, pieces), self.prob)[:, -1] + 1e-300)
-            s = np.maximum(s, s.max(1, keepdims=True) - WORD_CAP)
-            self.store.update(zip(group, s, strict=True))
-        return self.store
+    rows: dict[str, int] = field(default_factory=dict)
+    table: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+
+    def forget(self) -> None:
+        self.rows.clear()
+
+    def learn(self, groups: Iterable[tuple[list[str], np.ndarray]]) -> None:
+        """Scores words, given by length with their lattices."""
+        for group, grid in groups:
+            s = np.log(_forward(grid, self.prob)[:, -1] + 1e-300)
+            at = len(self.rows)
+            if self.table.shape[0] < at + len(group):
+                grown = np.empty((max(2 * (at + len(group)), 1024), len(self.languages)))
+                if at:
+                    grown[:at] = self.table[:at]
+                self.table = grown
+            self.table[at : at + len(group)] = np.maximum(s, s.max(1, keepdims=True) - WORD_CAP)
+            self.rows.update(zip(group, range(at, at + len(group)), strict=True))
+
+    def gains(self, found: list[list[str]]) -> np.ndarray:
+        """What each sentence, a list of words that is not empty, says for each language: the sum over its words.
+
+        A word says the logarithm of its probability, raised where it falls
+        WORD_CAP below the best language.
+        """
+        if not found:
+            return np.empty((0, len(self.languages)))
+        words = [w for ws in found for w in ws]
+        if len(self.rows) > CACHE_WORDS:
+            self.forget()
+        pieces = _vocabulary(self.vocabulary)
+        self.learn((group, _lattice(group, pieces)) for group in _by_length([w for w in dict.fromkeys(words) if w not in self.rows]))
+        index = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        starts = np.cumsum([0, *map(len, found[:-1])])
+        return np.add.reduceat(self.table[index], starts)
+
+    def segment(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
+        """For each text (start, end, language, confidence) of each longest run of sentences of one language; none where no sentence has a letter."""
+        spans, found, per = [], [], []
+        for t in texts:
+            n = len(spans)
+            for a, b in sentences(t) if t else ():
+                u = units(t[a:b])
+                if u:
+                    spans.append((a, b))
+                    found.append(u)
+            per.append((n, len(spans)))
+        gain = self.gains(found)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        best = gain.argmax(1) if len(gain) else gain
+        out = []
+        for a, b in per:
+            runs = []
+            if a < b:
+                # where every sentence is likeliest in one language, that is the best path
+                lang = best[a:b] if (best[a:b] == best[a]).all() else _best_path(gain[a:b])
+                ends = [*(np.flatnonzero(lang[1:] != lang[:-1]) + 1).tolist(), b - a]
+                i = 0
+                for j in ends:
+                    total = gain[a + i : a + j].sum(0) / math.sqrt(size[a + i : a + j].sum())  # words of a text are not independent
+                    share = np.exp(total - total.max())
+                    k = int(lang[i])
+                    runs.append((spans[a + i][0], spans[a + j - 1][1], k, float(share[k] / share.sum())))
+                    i = j
+            out.append(runs)
+        return out
 
     def segments(self, text: str) -> list[tuple[int, int, int, float]]:
-        """(start, end, language, confidence) of each longest run of sentences of one language."""
-        spans = sentences(text)
-        found = [units(text[a:b]) for a, b in spans]
-        return self._path(spans, found, self.scores([w for ws in found for w in ws]))
-
-    def _path(self, spans: list[tuple[int, int]], found: list[list[str]], store: dict[str, np.ndarray]) -> list[tuple[int, int, int, float]]:
-        kept = [(s, ws) for s, ws in zip(spans, found, strict=True) if ws]
-        if not kept:
-            return []
-        k = len(self.languages)
-        gain = np.stack([np.sum([store[w] for w in ws], axis=0) for _, ws in kept])
-        best, back = gain[0], np.zeros((len(kept), k), np.int32)
-        for i in range(1, len(kept)):
-            top = int(best.argmax())
-            stay = best >= best[top] - SWITCH_COST
-            back[i] = np.where(stay, np.arange(k), top)
-            best = np.where(stay, best, best[top] - SWITCH_COST) + gain[i]
-        lang = [int(best.argmax())]
-        for i in range(len(kept) - 1, 0, -1):
-            lang.append(int(back[i, lang[-1]]))
-        lang.reverse()
-        out, i = [], 0
-        while i < len(kept):
-            j = i
-            while j + 1 < len(kept) and lang[j + 1] == lang[i]:
-                j += 1
-            n = sum(len(ws) for _, ws in kept[i : j + 1])
-            total = gain[i : j + 1].sum(0) / math.sqrt(n)  # words of a text are not independent
-            total = np.exp(total - total.max())
-            out.append((kept[i][0][0], kept[j][0][1], lang[i], float(total[lang[i]] / total.sum())))
-            i = j + 1
-        return out
+        """The segments of one text."""
+        return self.segment([text])[0]
+
+
+def _best_path(gain: np.ndarray) -> np.ndarray:
+    """The languages of sentences that together say most, where each change costs SWITCH_COST."""
+    n, k = gain.shape
+    back = np.empty((n, k), np.int64)
+    best = gain[0]
+    for i in range(1, n):
+        top = int(best.argmax())
+        change = best[top] - SWITCH_COST
+        back[i] = np.where(best >= change, np.arange(k), top)
+        best = np.maximum(best, change) + gain[i]
+    lang = np.empty(n, np.int64)
+    lang[-1] = best.argmax()
+    for i in range(n - 1, 0, -1):
+        lang[i - 1] = back[i, lang[i]]
+    return lang
 
 
 def _in_script(words: list[str], script: str | None) -> bool:
@@ -233,27 +281,28 @@ def fit(labelled: list[tuple[str, str]], languages: list[tuple[str, str | None]]
     codes = [c for c, _ in languages]
     number = {c: i for i, c in enumerate(codes)}
     scripts = dict(languages)
-    texts = [(number[c], [u for a, b in sentences(t) if (u := units(t[a:b])) and _in_script(u, scripts[c])]) for t, c in labelled if c in number]
+    told = [(u, number[c]) for t, c in labelled if c in number for a, b in sentences(t) if (u := units(t[a:b])) and _in_script(u, scripts[c])]
+    said, of = [u for u, _ in told], np.array([k for _, k in told], np.int64)
     prior = _prior(languages, pieces)
     model = Model(codes, path, np.vstack([prior, np.zeros((1, len(codes)))]))
+    lattices = [(g, _lattice(g, pieces)) for g in _by_length(list(dict.fromkeys(w for u in said for w in u)))]
     for clean in (False, True, True):
         counts = [Counter() for _ in codes]
+        model.forget()
         if clean:
-            model.store.clear()
-            model.scores([w for _, ss in texts for s in ss for w in s])
-        for k, ss in texts:
-            for s in ss:
-                if not clean or int(np.sum([model.store[w] for w in s], axis=0).argmax()) == k:
-                    counts[k].update(s)
-        words = list({w for c in counts for w in c})
-        groups = [(g, _lattice(g, pieces), np.array([[c[w] for c in counts] for w in g], float)) for g in _by_length(words)]
+            model.learn(lattices)
+        kept = (model.gains(said).argmax(1) == of) if clean else np.ones(len(said), bool)
+        for s, k, keep in zip(said, of.tolist(), kept.tolist(), strict=True):
+            if keep:
+                counts[k].update(s)
+        groups = [(grid, np.array([[c[w] for c in counts] for w in g], float)) for g, grid in lattices]
         for _ in range(ROUNDS):
             expected = np.zeros_like(model.prob)
-            for _, grid, weight in groups:
+            for grid, weight in groups:
                 _expect(grid, model.prob, weight, expected)
             smooth = expected[:-1] + 50.0 * prior
             model.prob[:-1] = smooth / smooth.sum(0)
-    model.store.clear()
+    model.forget()
     return model
 
 
@@ -329,12 +378,7 @@ def segment_languages(docs: DataFrame, keys: list[str], text: str, model: Model)
             rows, at = [], []
             texts = b.column(n).to_pylist()
             for lo in range(0, len(texts), 500):  # many texts' words are scored at once, not many texts' arrays kept
-                part = texts[lo : lo + 500]
-                spans = [sentences(t) if t else [] for t in part]
-                found = [[units(t[a:c]) for a, c in s] for t, s in zip(part, spans, strict=True)]
-                store = m.scores([w for f in found for ws in f for w in ws])
-                for i, (s, f) in enumerate(zip(spans, found, strict=True)):
-                    path = m._path(s, f, store)
+                for i, path in enumerate(m.segment(texts[lo : lo + 500])):
                     for k, seg in enumerate(path, 1):
                         rows.append((k, len(path), m.languages[seg[2]], seg[3], seg[0], seg[1]))
                         at.append(lo + i)
