@@ -130,12 +130,12 @@ def write_node_tables(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").partitionBy("table_tag").parquet(path)
 
 
-def read_node_table(spark: SparkSession, path: str, tag: str, fields: str) -> DataFrame:
-    """One table of write_node_tables under its schema, given as DDL; keys of the payload outside it are left.
+def read_node_table(spark: SparkSession, path: str, tag: str, fields: str, key: str = "id bigint") -> DataFrame:
+    """One table of write_node_tables under its schema; ``fields`` and ``key`` are DDL, and keys of the payload outside it are left.
 
     Only the table's own folder is read.
     """
-    rows = spark.read.parquet(path).filter(F.col("table_tag") == tag).drop("table_tag")
+    rows = spark.read.schema(f"{key}, node_path string, parent_path string, payload string, table_tag string").parquet(path).filter(F.col("table_tag") == tag).drop("table_tag")
     if tag == TAG_TABLE:
         return rows.withColumnRenamed("payload", "tag")
     schema = T._parse_datatype_string(fields)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweave.durable import Scratch
 from lexiweave.operators import flatten, orphans, packed, quarantine
 from lexiweave.session import table
 
@@ -67,8 +68,16 @@ def p6_tables(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("table_tag").agg(F.count("*").alias("n_rows"), F.sum((F.col("parent_path") == "").cast("long")).alias("n_top"))
 
 
+def p6_translations(spark: SparkSession, d: str) -> DataFrame:
+    """One of the flat tables under its schema: the nodes are written by table, and only this table's folder is read."""
+    nodes = flatten.flatten_nodes(table(spark, d, "senses"), "id", "raw_sense", "raw_tags")
+    scratch = Scratch(spark, "nodes")
+    scratch.write(nodes, "nodes", ["table_tag"])
+    return flatten.read_node_table(spark, scratch.paths["nodes"], "translations", "code string, word string, roman string")
+
+
 QUERIES = {
-    f.__name__: f for f in (p2_found, p2_report, p2_ledger, p3_found, p4_found, p4_loaded, p6_found, p6_tables)
+    f.__name__: f for f in (p2_found, p2_report, p2_ledger, p3_found, p4_found, p4_loaded, p6_found, p6_tables, p6_translations)
 }
 
 _KEY = r"nullif(lower(regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')), '')"

@@ -97,7 +97,7 @@ def scan(text):
 
 
 PACKED = [
-    None, "", "  ", "a", "a;b", " a , b ,, c ", "['a, b', \"c's\", 'd']", '{"x"}', 'a|"b|c"|a', '"the ""tepid"" x"|y', "tide's end;it's", "a\;b;c", "a\\|b|c",
+    None, "", "  ", "a", "a;b", " a , b ,, c ", "['a, b', \"c's\", 'd']", '{"x"}', 'a|"b|c"|a', '"the ""tepid"" x"|y', "tide's end;it's", "a\\;b;c", "a\\|b|c",
     "“p;q”/r", "x\ty\nz", "日、月；火，水", "a (b, c)", "'it\\'s', b", "1;", "a\\", '"open|b', "[]", "a-b/c d", '" padded "', "a,b" * 3,
 ]
 
