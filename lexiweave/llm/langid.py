@@ -195,9 +195,9 @@ class Model:
         return np.add.reduceat(self.table[index], starts)
 
     def segment(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
-        """For each text (start, end, language, confidence) of each longest run of sentences of one language; none where no sentence has a letter."""
+        """For each text (start, end, language, confidence) of each longest run of sentences of one language; none where no sentence has a letter or the model has no language."""
         spans, found, per = [], [], []
-        for t in texts:
+        for t in texts if self.languages else ():
             n = len(spans)
             for a, b in sentences(t) if t else ():
                 u = units(t[a:b])
@@ -208,7 +208,7 @@ class Model:
         gain = self.gains(found)
         size = np.fromiter(map(len, found), np.int64, len(found))
         best = gain.argmax(1) if len(gain) else gain
-        out = []
+        out = [[] for _ in texts] if not self.languages else []
         for a, b in per:
             runs = []
             if a < b:
@@ -291,7 +291,7 @@ def fit(labelled: list[tuple[str, str]], languages: list[tuple[str, str | None]]
         model.forget()
         if clean:
             model.learn(lattices)
-        kept = (model.gains(said).argmax(1) == of) if clean else np.ones(len(said), bool)
+        kept = (model.gains(said).argmax(1) == of) if clean and said else np.ones(len(said), bool)
         for s, k, keep in zip(said, of.tolist(), kept.tolist(), strict=True):
             if keep:
                 counts[k].update(s)

@@ -58,6 +58,11 @@ def test_mixed_documents(model):
     assert right >= 95
 
 
+def test_without_languages_or_texts():
+    assert langid.fit([], []).segment(["some text", None]) == [[], []]
+    assert [m[2] for m in langid.fit([], [("en", "Latn"), ("ru", "Cyrl")]).segments("Слово и дело.")] == [1]
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
 
