@@ -40,6 +40,17 @@ def test_random_mixtures(enc, reference):
     same(enc, reference, ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(8000)])
 
 
+def test_every_code_point(enc):
+    t = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 50_000):
+        texts = [f"x{chr(c)}1{chr(c)}'s {chr(c)} a" for c in points[lo : lo + 50_000]]
+        ids, at = enc.encode_batch(texts)
+        for i, want in enumerate(t.encode_batch(texts, add_special_tokens=False)):
+            assert ids[at[i] : at[i + 1]].tolist() == want.ids, hex(points[lo + i])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text(enc, reference, text):
