@@ -13,7 +13,7 @@ ALPHA, DECAY, FAMILY_STEP, HOP_FAMILY_STEP = 0.35, 0.02, 0.03, 0.0
 
 
 def collected(k: int) -> int:
-    """How many edges are looked at for k results."""
+    """How many of the best edges the penalty for families is applied to for k results."""
     return max(3 * k, k + 5)
 
 
@@ -21,14 +21,15 @@ def children(edges: DataFrame, k: int, step: float = FAMILY_STEP) -> DataFrame:
     """(src, dst, score, place): the k best targets of every source.
 
     ``edges`` has src, dst, tier (0 best), score and seq. A target counts with
-    its best tier; the first ``collected(k)`` targets by tier are scored, and
-    each loses ``step`` for every better one of its family. A source's edges
-    are cut to that number before anything joins them, so a source of any
-    degree is a few rows from there on.
+    its best tier. All targets are ranked by score, equal ones by tier and
+    seq; of the first ``collected(k)`` each loses ``step`` for every better one
+    of its family. A source's edges are cut to that number before anything
+    joins them, so a source of any degree is a few rows from there on.
     """
     once = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("tier", "seq", (-F.col("score")).alias("neg"))).alias("e"))
-    first = Window.partitionBy("src").orderBy("e.tier", "e.seq", "dst")
-    kept = once.withColumn("_p", F.row_number().over(first)).filter(F.col("_p") <= collected(k)).select("src", "dst", F.round(-F.col("e.neg"), 6).alias("score"))
+    ranked = once.withColumn("score", F.round(-F.col("e.neg"), 6))
+    first = Window.partitionBy("src").orderBy(F.desc("score"), "e.tier", "e.seq", "dst")
+    kept = ranked.withColumn("_p", F.row_number().over(first)).filter(F.col("_p") <= collected(k)).select("src", "dst", "score")
     a, b = kept.alias("a"), kept.alias("b")
     better = F.expr("a.src = b.src AND (b.score > a.score OR (b.score = a.score AND b.dst < a.dst))") & family(F.col("a.dst"), F.col("b.dst"))
     n = a.join(b, better).groupBy(F.col("a.src").alias("src"), F.col("a.dst").alias("dst")).agg(F.count("*").alias("n"))

@@ -195,6 +195,15 @@ def test_trees_equal_a_walk(spark):
     assert max(len(t) for t in got.values()) <= 40
 
 
+def test_children_are_ranked_among_all_targets(spark):
+    # the best targets come last by tier and row; equal scores go by tier, then row
+    e = [("hub", f"{i:03}low", 0, 0.1, i) for i in range(100)] + [("hub", f"{i}best", 2, 0.9 - i / 100, 200 + i) for i in range(3)] + [("few", "only", 1, 0.5, 300)]
+    got = sorted((r.src, r.place, r.dst, r.score) for r in expansion.children(spark.createDataFrame(e, "src string, dst string, tier int, score double, seq int"), 5).collect())
+    assert got == [("few", 1, "only", 0.5), ("hub", 1, "0best", 0.9), ("hub", 2, "1best", 0.89), ("hub", 3, "2best", 0.88), ("hub", 4, "000low", 0.1), ("hub", 5, "001low", 0.1)]
+    ties = spark.createDataFrame([("s", f"{i:03}tie", 1 if i < 40 else 0, 1.0, i) for i in range(60)], "src string, dst string, tier int, score double, seq int")
+    assert [r.dst for r in expansion.children(ties, 5).orderBy("place").collect()] == [f"{i:03}tie" for i in range(40, 45)]
+
+
 def test_components(spark):
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("z", "y"), ("z", "x"), (None, "q"), ("s", "s")]
     got = {r.node: r.component for r in propagation.components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
