@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiweave.skew import hot_keys, salted_join, skew_join
 
 #: Part of a sense's largest routing weight from which a target counts too; fixed value.
 KEEP_RATIO = 0.6
+#: Tokens of left rows sent to the workers at once. More go in more passes over the right rows.
+BLOCK_TOKENS = 500_000
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[Column], *columns: str) -> DataFrame:
@@ -85,15 +92,59 @@ def priority_union(sources: list[DataFrame], keys: list[str], value: str, limit:
     return once.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-def best_overlap(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, tokens: str, right_tokens: str, total_rows: int) -> DataFrame:
+def best_overlap(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, tokens: str, right_tokens: str, block: int = BLOCK_TOKENS) -> DataFrame:
     """(left_id, right_id, n_shared): for each left row the right row of the same key that shares most tokens, the lower id among ties.
 
-    Tokens, not rows, meet: a pair without a common token never arises.
+    Ids are unique BIGINTs; tokens count once a row, and null ids, keys and
+    tokens not at all. Left rows without a common token have no row.
+
+    The left rows go to the workers as lists of rows by token, in blocks of
+    about ``block`` tokens, each block in one pass over the right rows. A task
+    counts what each right row shares with the block and keeps the best of
+    every left row, and only those are shuffled: no pair is ever a record.
     """
-    r = right.select(key, right_id, F.explode(F.array_distinct(right_tokens)).alias("_t"))
-    lft = left.select(key, left_id, F.explode(F.array_distinct(tokens)).alias("_t"))
-    both = lambda df: df.withColumn("_k", F.struct(key, "_t")).drop(key, "_t")
-    lk, rk = both(lft), both(r)
-    j = salted_join(rk, lk, "_k", hot_keys(rk, "_k", total_rows), right_id)
-    n = j.groupBy(left_id, right_id).agg(F.count("*").alias("n_shared"))
-    return first_row(n, [left_id], [-F.col("n_shared"), F.col(right_id)], right_id, "n_shared")
+    columns = lambda df, i, t: df.select(F.col(key).alias("key"), F.col(i).cast("long").alias("id"), F.array_compact(F.array_distinct(t)).alias("t")).filter("key IS NOT NULL AND id IS NOT NULL AND size(t) > 0")
+    lft, r = columns(left, left_id, tokens), columns(right, right_id, right_tokens)
+    shape = T.StructType([T.StructField(left_id, T.LongType()), T.StructField(right_id, T.LongType()), T.StructField("n_shared", T.LongType())])
+    total = lft.agg(F.sum(F.size("t")).alias("n")).first().n
+    if not total:
+        return left.sparkSession.createDataFrame([], shape)
+    passes = -(-total // block)
+    best = None
+    for part in range(passes):
+        found = _overlaps(lft.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == part), r, shape)
+        best = found if best is None else best.unionByName(found)
+    return first_row(best, [left_id], [-F.col("n_shared"), F.col(right_id)], right_id, "n_shared")
+
+
+def _overlaps(block: DataFrame, right: DataFrame, shape: T.StructType) -> DataFrame:
+    """The best of the right rows that each task sees, for every left row of the block."""
+    ids: dict[object, list[int]] = {}
+    lists: dict[object, dict[str, list[int]]] = {}
+    for x in block.collect():  # about BLOCK_TOKENS tokens
+        own, by_token = ids.setdefault(x.key, []), lists.setdefault(x.key, {})
+        for t in x.t:
+            by_token.setdefault(t, []).append(len(own))
+        own.append(x.id)
+    index = {k: (np.array(own), {t: np.array(at, np.int32) for t, at in lists[k].items()}) for k, own in ids.items()}
+    sent = right.sparkSession.sparkContext.broadcast(index)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for key, i, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key not in sent.value:
+                    continue
+                own, by_token = sent.value[key]
+                at = [by_token[t] for t in words if t in by_token]
+                if not at:
+                    continue
+                n, row = top.setdefault(key, (np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)))
+                shared = np.bincount(np.concatenate(at), minlength=len(own))
+                better = (shared > n) | ((shared == n) & (shared > 0) & (i < row))
+                n[better], row[better] = shared[better], i
+        for key, (n, row) in top.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(sent.value[key][0][at]), pa.array(row[at]), pa.array(n[at])], names=shape.names)
+
+    return right.mapInArrow(search, shape)

@@ -256,12 +256,12 @@ def bridge_filter(spark: SparkSession, d: str) -> DataFrame:
 c AS (SELECT DISTINCT s.id AS other_id, x.language_id, unnest(regexp_extract_all(lower(s.definition), '\p{{L}}{{4,}}')) AS t FROM senses s JOIN lexemes x ON x.id = s.lexeme_id WHERE x.part_of_speech = 'adv'),
 j AS (SELECT n.sense_id, c.other_id, count(*) AS n_shared FROM n JOIN c USING (language_id, t) GROUP BY ALL) SELECT sense_id, other_id, n_shared FROM j QUALIFY row_number() OVER (PARTITION BY sense_id ORDER BY n_shared DESC, other_id) = 1""")
 def best_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """For every tenth name the adverb sense of its language that shares most words with its definition."""
+    """For every name the sense of its language, not a name's, that shares most words with its definition."""
     s = table(spark, d, "senses").select(F.col("id").alias("sense_id"), "lexeme_id", F.regexp_extract_all(F.lower("definition"), F.lit(r"\p{L}{4,}"), F.lit(0)).alias("t"))
     j = s.join(table(spark, d, "lexemes").select(F.col("id").alias("lexeme_id"), "language_id", "part_of_speech"), "lexeme_id")
-    left = j.filter((F.col("part_of_speech") == "name") & (F.col("sense_id") % (EVERY // 10) == 0)).select("language_id", "sense_id", "t")
-    right = j.filter("part_of_speech = 'adv'").select("language_id", F.col("sense_id").alias("other_id"), F.col("t").alias("u"))
-    return edges.best_overlap(left, right, "language_id", "sense_id", "other_id", "t", "u", table(spark, d, "senses").count())
+    left = j.filter("part_of_speech = 'name'").select("language_id", "sense_id", "t")
+    right = j.filter("part_of_speech <> 'name'").select("language_id", F.col("sense_id").alias("other_id"), F.col("t").alias("u"))
+    return edges.best_overlap(left, right, "language_id", "sense_id", "other_id", "t", "u")
 
 
 # ---- trees over concepts

@@ -142,6 +142,40 @@ def test_edges(spark):
     assert res == {1: (4, "own"), 2: (8, "other"), 3: (None, "unresolved"), 4: (None, "unresolved")}
 
 
+@pytest.mark.parametrize("block", [20, 500_000])
+def test_best_overlap_equals_all_pairs(spark, block):
+    r = random.Random(3)
+    row = lambda i: (i, r.choice("ab"), [r.choice("pqrstuvwxyz") for _ in range(r.randint(0, 6))])
+    left, right = [row(i) for i in range(40)] + [(90, None, ["p"]), (91, "a", None), (92, "c", ["p"])], [row(100 + i) for i in range(80)] + [(190, None, ["p"]), (191, "a", [None])]
+    df = lambda rows, i, t: spark.createDataFrame(rows, f"{i} long, g string, {t} array<string>").repartition(3)
+    got = {x.i: (x.j, x.n_shared) for x in edges.best_overlap(df(left, "i", "t"), df(right, "j", "u"), "g", "i", "j", "t", "u", block).collect()}
+    want = {}
+    for i, g, t in left:
+        n, j = min(((-len({*(t or ())} & {*u} - {None}), j) for j, h, u in right if g and h == g), default=(0, 0))
+        if n:
+            want[i] = (j, -n)
+    assert got == want
+
+
+def test_every_name_meets_every_other_sense_of_its_language(spark, tiny):
+    from collections import defaultdict
+
+    from lexiweave.plans.graphs import best_overlap
+    from oracle_check import connect
+
+    rows = connect(tiny).sql("SELECT s.id, x.language_id, x.part_of_speech, list_distinct(regexp_extract_all(lower(s.definition), '\\p{L}{4,}')) FROM senses s JOIN lexemes x ON x.id = s.lexeme_id").fetchall()
+    others, want = defaultdict(list), {}
+    for i, g, p, t in rows:
+        if p and p != "name":
+            others[g].append((i, {*(t or ())}))
+    for i, g, p, t in rows:
+        n, j = min(((-len({*(t or ())} & u), j) for j, u in others[g]), default=(0, 0)) if p == "name" else (0, 0)
+        if n:
+            want[i] = (j, -n)
+    assert {x.sense_id: (x.other_id, x.n_shared) for x in best_overlap(spark, tiny).collect()} == want
+    assert any(i % 10 for i in want)
+
+
 def brute_trees(edge_rows, roots, width, depth, sims, alpha=0.35, decay=0.02, step=0.03):
     def fam(a, b):
         short = min(len(a), len(b))
