@@ -110,6 +110,11 @@ def _best(before: tuple[np.ndarray, np.ndarray] | None, ids: np.ndarray, sim: np
 POPULAR_BONUS, NO_SYNONYM, GENERIC, NO_DEFINITION, SHORT_DEFINITION, BROAD_DOMAIN = 0.025, -0.05, -0.055, -0.08, -0.04, -0.05
 
 
+def fetched(k: int, language: str | None) -> int:
+    """How many neighbours are looked at for k results in a language."""
+    return min(max(50 * k, 100), 1000 if language == "en" else 200)
+
+
 def rerank_score(sim: Column, popular: Column, definition: Column, n_terms: Column, generic: Column, broad: Column, synonyms: Column | None = None) -> Column:
     """The similarity with what speaks for and against a candidate, rounded. Without ``synonyms``, their number does not count."""
     alone = F.lit(0.0) if synonyms is None else F.when(synonyms == 0, NO_SYNONYM).otherwise(0.0)

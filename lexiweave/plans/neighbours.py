@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.functions import fixed
+from lexiweave.functions.keys import trimmed
 from lexiweave.operators import vectors
 from lexiweave.operators.lookup import top_per_key
+from lexiweave.plans.graphs import _nested
 from lexiweave.plans.registry import Registry
 from lexiweave.session import table
 from lexiweave.skew import hot_keys, salted_join
@@ -66,10 +68,16 @@ scored AS (SELECT *, round(sim + CASE WHEN popular THEN 0.025 ELSE 0 END + CASE
 
 @R.query(f"""{_RERANK} SELECT query_id, row_id, word, sim, popular, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS place FROM scored WHERE score >= -0.2) WHERE place <= 10""", longs=("place",))
 def knn_rerank(spark: SparkSession, d: str) -> DataFrame:
-    """The neighbours reranked by what is known about them: one sense a word, adjusted, cut at a floor, the best 10."""
-    sv, near = _search(spark, d, 100)
+    """The neighbours reranked by what is known about them: no forms of the query's word or antonyms of it, one sense a word, adjusted, cut at a floor, the best 10."""
+    most = {g: vectors.fetched(10, g) for g in ("en", None)}
+    sv, near = _search(spark, d, max(most.values()))
+    near = near.join(sv.select(F.col("id").alias("query_id"), F.col("word").alias("query_word"), "language"), "query_id")
+    near = top_per_key(near, ["query_id"], [F.desc("sim"), F.asc("row_id")], max(most.values()), "_p").filter(F.col("_p") <= F.when(F.col("language") == "en", most["en"]).otherwise(most[None]))
     c = near.join(sv.select(F.col("id").alias("row_id"), "word", F.coalesce("definition", F.lit("")).alias("definition"), "n_selected"), "row_id")
-    c = vectors.best_per_word(c.filter(F.length("word").between(3, 18)), ["query_id", "word"], [F.desc("n_selected"), F.desc("sim"), F.asc("row_id")])
+    opposite = _nested(spark, d, "antonyms").select(F.col("sense_id").alias("query_id"), F.lower(trimmed("word")).alias("word")).filter(F.col("query_id") % EVERY == 0)
+    form = F.coalesce(vectors.same_stem(F.col("query_word"), F.col("word")), F.lit(False))  # a query without a word has no forms
+    c = c.filter(F.length("word").between(3, 18)).filter(~form).join(opposite, ["query_id", "word"], "left_anti")
+    c = vectors.best_per_word(c, ["query_id", "word"], [F.desc("n_selected"), F.desc("sim"), F.asc("row_id")])
     c = c.withColumn("popular", vectors.popular_half(c, "query_id", "n_selected", "row_id"))
     text = F.lower("definition")
     c = c.withColumn("terms", F.array_distinct(F.array_except(F.regexp_extract_all(text, F.lit(r"[a-z][a-z'-]{2,}"), F.lit(0)), F.array(*map(F.lit, fixed.STOPWORDS)))))
