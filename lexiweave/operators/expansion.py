@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiweave.durable import Scratch
-from lexiweave.operators.vectors import family
+from lexiweave.operators.vectors import cosine, family
+from lexiweave.skew import hot_keys, skew_join
 
 #: Blend of a tree's scores; fixed values.
 ALPHA, DECAY, FAMILY_STEP, HOP_FAMILY_STEP = 0.35, 0.02, 0.03, 0.0
@@ -17,7 +18,17 @@ def collected(k: int) -> int:
     return max(3 * k, k + 5)
 
 
-def children(edges: DataFrame, k: int, step: float = FAMILY_STEP) -> DataFrame:
+def likened(edges: DataFrame, vectors: DataFrame, total_rows: int) -> DataFrame:
+    """The edges with the cosine of both ends as score: at least 0, and 0 where a vector is missing. ``vectors`` has (node, vector)."""
+    at = lambda end, v: vectors.select(F.col("node").alias(end), F.col("vector").alias(v))
+    pairs = edges.select("src", "dst").distinct()
+    pairs = skew_join(pairs, at("src", "_a"), "src", hot_keys(pairs, "src", total_rows))
+    pairs = skew_join(pairs, at("dst", "_b"), "dst", hot_keys(pairs, "dst", total_rows))
+    sims = pairs.select("src", "dst", F.round(F.greatest(F.lit(0.0), F.coalesce(cosine(F.col("_a"), F.col("_b")), F.lit(0.0))), 6).alias("_sim"))
+    return edges.join(sims, ["src", "dst"], "left").withColumn("score", F.coalesce("_sim", F.lit(0.0))).drop("_sim")
+
+
+def children(edges: DataFrame, k: int, step: float = FAMILY_STEP, near: DataFrame | None = None) -> DataFrame:
     """(src, dst, score, place): the k best targets of every source.
 
     ``edges`` has src, dst, tier (0 best), score and seq. A target counts with
@@ -25,11 +36,21 @@ def children(edges: DataFrame, k: int, step: float = FAMILY_STEP) -> DataFrame:
     seq; of the first ``collected(k)`` each loses ``step`` for every better one
     of its family. A source's edges are cut to that number before anything
     joins them, so a source of any degree is a few rows from there on.
+
+    ``near`` has (src, dst, sim), what lies near a source by its vector. Where a
+    source has fewer than ``collected(k)`` targets, or no edge, the nearest that
+    are none of its targets fill the rest, with sim as score.
     """
     once = edges.filter("src <> dst").groupBy("src", "dst").agg(F.min(F.struct("tier", "seq", (-F.col("score")).alias("neg"))).alias("e"))
     ranked = once.withColumn("score", F.round(-F.col("e.neg"), 6))
     first = Window.partitionBy("src").orderBy(F.desc("score"), "e.tier", "e.seq", "dst")
     kept = ranked.withColumn("_p", F.row_number().over(first)).filter(F.col("_p") <= collected(k)).select("src", "dst", "score")
+    if near is not None:
+        have = kept.groupBy("src").agg(F.count("*").alias("_n"))
+        more = near.filter("src <> dst").join(kept.select("src", "dst"), ["src", "dst"], "left_anti")
+        more = more.withColumn("_p", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "dst"))).filter(F.col("_p") <= collected(k))
+        more = more.join(have, "src", "left").filter(F.col("_p") <= collected(k) - F.coalesce("_n", F.lit(0)))
+        kept = kept.unionByName(more.select("src", "dst", F.round("sim", 6).alias("score")))
     a, b = kept.alias("a"), kept.alias("b")
     better = F.expr("a.src = b.src AND (b.score > a.score OR (b.score = a.score AND b.dst < a.dst))") & family(F.col("a.dst"), F.col("b.dst"))
     n = a.join(b, better).groupBy(F.col("a.src").alias("src"), F.col("a.dst").alias("dst")).agg(F.count("*").alias("n"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiweave.durable import Scratch
+from lexiweave.functions import fixed
 from lexiweave.functions.keys import slug_key, trimmed
-from lexiweave.operators import edges, expansion
+from lexiweave.operators import edges, expansion, vectors
 from lexiweave.operators.lookup import top_per_key
 from lexiweave.operators.vectors import cosine
 from lexiweave.plans.registry import Registry
@@ -279,9 +280,31 @@ def concept_edges(spark: SparkSession, d: str, types: tuple[str, ...] = tuple(t
 
 
 def concept_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """(node, vector): a concept's vector is that of its earliest row."""
+    """(id, node, vector): a concept's vector is that of its earliest row."""
     c = table(spark, d, "concepts").select("id", slug_key("slug").alias("node")).filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
-    return c.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id").select("node", "vector")
+    return c.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id").select("id", "node", "vector")
+
+
+def concept_children(spark: SparkSession, d: str, *choices: tuple[int, tuple[str, ...]]) -> list[DataFrame]:
+    """For each (k, types) the k best children of every concept: edges of the types by likeness, then what is nearest by vector.
+
+    As many neighbours are looked at as for words in English; those below the
+    floor and forms of the concept's own slug do not count. The floor lies 0.7
+    lower here, as the vectors of the data are random.
+    """
+    scratch, v = Scratch(spark, "children"), concept_vectors(spark, d)
+    v = scratch.write(v, "vectors")
+    most = max(vectors.fetched(expansion.collected(k) + 1, "en") for k, _ in choices)
+    name = lambda i, n: v.select(F.col("id").alias(i), F.col("node").alias(n))
+    found = vectors.nearest(v.select("id", "vector"), v.select("id", "vector"), most).join(name("query_id", "src"), "query_id").join(name("row_id", "dst"), "row_id")
+    found = top_per_key(found, ["src"], [F.desc("sim"), F.asc("row_id")], most, "at")
+    found = scratch.write(found.filter(F.col("sim") >= round(fixed.KNN_FLOOR - 0.7, 6)).filter(~vectors.same_stem(F.col("src"), F.col("dst"))).select("src", "dst", "sim", "at"), "near")
+    n = table(spark, d, "concept_relationships").count()
+    near = lambda k: found.filter(F.col("at") <= vectors.fetched(expansion.collected(k) + 1, "en"))
+    every = concept_edges(spark, d, tuple({t: 0 for _, types in choices for t in types}))
+    e = scratch.write(expansion.likened(every, v, n), "edges")  # its plan is large, and once is enough
+    tiers = dict(_TIERS)
+    return [scratch.write(expansion.children(e.filter(F.col("tier").isin([tiers[t] for t in types])), k, near=near(k)), f"children{i}") for i, (k, types) in enumerate(choices)]
 
 
 def concept_roots(spark: SparkSession, d: str) -> DataFrame:
@@ -309,8 +332,8 @@ _CVEC = f"cvec AS (SELECT c.node, CAST(e.embedding AS DOUBLE[]) AS vector FROM (
 
 @R.query(f"WITH {_kids('kids', 5, _ALL)} SELECT src, dst, score, place FROM kids", longs=("place",))
 def expand_single(spark: SparkSession, d: str) -> DataFrame:
-    """The five best targets of every concept by trust and weight, with the penalty for families."""
-    return expansion.children(concept_edges(spark, d), 5)
+    """The five best targets of every concept by likeness, filled up with what is nearest, with the penalty for families."""
+    return concept_children(spark, d, (5, tuple(t for t, _ in _TIERS)))[0]
 
 
 def _level(n: int, kids: str) -> str:
@@ -326,11 +349,10 @@ _TREES = f"""WITH {_ROOTS}, {_CVEC}, {_kids('kids', 3, _ALL)}, {_kids('deep', 3,
 
 
 def trees(spark: SparkSession, d: str, width: int = 3, depth: int = 3, alpha: float = expansion.ALPHA, decay: float = expansion.DECAY) -> DataFrame:
-    """The trees of every hundredth concept; below the first level only synonyms and near synonyms are followed."""
+    """The trees of every hundredth concept; below the first level only synonyms and near synonyms, and what is nearest, are followed."""
     roots, v = concept_roots(spark, d), concept_vectors(spark, d)
     scratch = Scratch(spark, "trees")  # what every level reads is computed once
-    kids = scratch.write(expansion.children(concept_edges(spark, d), width), "kids")
-    deep = scratch.write(expansion.children(concept_edges(spark, d, ("synonym", "near_synonym")), width), "deep")
+    kids, deep = concept_children(spark, d, (width, tuple(t for t, _ in _TIERS)), (width, ("synonym", "near_synonym")))
     nodes = roots.select(F.col("node").alias("root"), "node")
     # the likeness of a root and a node is needed only for nodes within reach of it
     reach = frontier = nodes

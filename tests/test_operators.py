@@ -238,6 +238,29 @@ def test_children_are_ranked_among_all_targets(spark):
     assert [r.dst for r in expansion.children(ties, 5).orderBy("place").collect()] == [f"{i:03}tie" for i in range(40, 45)]
 
 
+def test_children_are_likened_and_filled(spark):
+    v = spark.createDataFrame([("root", [1.0, 0.0]), ("near", [0.8, 0.6]), ("away", [-1.0, 0.0]), ("none", [0.0, 0.0])], "node string, vector array<float>")
+    e = spark.createDataFrame([("root", d, 0, 0.9, i) for i, d in enumerate(["near", "away", "none", "missing"])] + [("missing", "root", 0, 0.9, 9)], "src string, dst string, tier int, score double, seq int")
+    got = expansion.likened(e, v, 5)
+    assert {(r.src, r.dst): (r.score, r.tier) for r in got.collect()} == {("root", "near"): (0.8, 0), ("root", "away"): (0.0, 0), ("root", "none"): (0.0, 0), ("root", "missing"): (0.0, 0), ("missing", "root"): (0.0, 0)}
+    # six targets are collected for k = 1: four edges and two of the nearest; a source without edges has the nearest alone
+    near = spark.createDataFrame([("root", "near", 0.8), ("root", "root", 1.0), ("root", "aaaa", 0.85), ("root", "bbbb", 0.7), ("root", "cccc", 0.6), ("lone", "bbbb", 0.3), ("lone", "cccc", 0.4)], "src string, dst string, sim double")
+    kids = lambda k: sorted((r.src, r.place, r.dst, r.score) for r in expansion.children(got, k, near=near).collect())
+    assert kids(1) == [("lone", 1, "cccc", 0.4), ("missing", 1, "root", 0.0), ("root", 1, "aaaa", 0.85)]
+    assert [x[2] for x in kids(6) if x[0] == "root"] == ["aaaa", "near", "bbbb", "cccc", "away", "missing"]
+    many = spark.createDataFrame([("root", f"{i}edge", 0, 0.1, i) for i in range(6)], "src string, dst string, tier int, score double, seq int")
+    assert [r.dst for r in expansion.children(many, 1, near=near).filter("src = 'root'").collect()] == ["0edge"]
+
+
+def test_sources_without_edges_have_children(spark, tiny):
+    from lexiweave.plans.graphs import concept_edges, concept_vectors, expand_single
+
+    n = {r.src: r.n for r in expand_single(spark, tiny).groupBy("src").agg(F.count("*").alias("n")).collect()}
+    with_vector = {r.node for r in concept_vectors(spark, tiny).select("node").collect()}
+    assert with_vector and all(n.get(x) == 5 for x in with_vector)
+    assert with_vector - {r.src for r in concept_edges(spark, tiny).select("src").distinct().collect()}
+
+
 def test_components(spark):
     pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("z", "y"), ("z", "x"), (None, "q"), ("s", "s")]
     got = {r.node: r.component for r in propagation.components(spark.createDataFrame(pairs, "a string, b string"), "a", "b").collect()}
