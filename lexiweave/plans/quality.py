@@ -104,7 +104,19 @@ judged AS (SELECT *, CASE WHEN line IS NULL THEN 'column_count' WHEN NOT quoted_
   WHEN confidence NOT IN ('high', 'medium', 'low') OR review_status NOT IN ('unreviewed', 'reviewed', 'rejected')
     OR NOT regexp_matches(gloss, '\p{{L}}') OR regexp_matches(gloss, '[\x{{fffd}}\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'invalid_value' END AS reason FROM shaped)"""
 
+_D, _W = r",;|/\t\n\r，；、", r"[\s\p{Z}\x1c-\x1f\x85]"
+#: One value and its delimiter: enclosed in quotes, or up to a delimiter that no backslash escapes.
+_VALUE = rf"""{_W}*("(?:[^"\\]|\\.|"")*"|'(?:[^'\\]|\\.)*'|“(?:[^”\\]|\\.)*”|'(?:\\.|[^\\{_D}])*'|(?:\\.|[^\\{_D}])*){_W}*(?:[{_D}]|$)""".replace("'", "''")
+_PACKED = rf"""SELECT table_name, row_id, generate_subscripts(vs, 1)::INTEGER AS pos, unnest(vs) AS synonym FROM (
+  SELECT table_name, row_id, list_filter(list_transform(regexp_extract_all(CASE WHEN regexp_full_match(t, '\[.*\]|\{{.*\}}', 's') THEN t[2:-2] ELSE t END, '{_VALUE}', 1, 's'),
+    lambda v: CASE WHEN regexp_full_match(v, '".*"', 's') THEN regexp_replace(replace(v[2:-2], '""', '"'), '\\(.)', '\1', 'gs')
+      WHEN regexp_full_match(v, '''.*''|“.*”', 's') THEN regexp_replace(v[2:-2], '\\(.)', '\1', 'gs')
+      ELSE trim(regexp_replace(v, '\\(.)', '\1', 'gs')) END), lambda v: v <> '') AS vs FROM (
+    SELECT 'raw_entries' AS table_name, row_id, regexp_replace(synonyms, '^{_W}+|{_W}+$', '', 'g') AS t FROM raw_entries
+    UNION ALL SELECT 'raw_synsets', row_id, regexp_replace(synonyms, '^{_W}+|{_W}+$', '', 'g') FROM raw_synsets))"""
+
 SQL = {
+    "p3_found": _PACKED,
     "p2_found": f"WITH {_ORPHANS} SELECT ref_table, ref_field, row_id FROM orphans",
     "p2_report": f"""WITH {_ORPHANS},
 t AS (SELECT ref_table, ref_field, strftime(seen, '%Y-%m') AS period, count(*) AS n_refs FROM refs WHERE key IS NOT NULL GROUP BY ALL),
