@@ -1,17 +1,18 @@
 """Loading CSV records while setting apart the ones that fail, with the reason.
 
-Records are parsed in blocks by a columnar parser. A block in which anything
-is wrong is halved again and again until the bad records stand alone, and only
-those go through the slow strict scan that names the reason.
+Records are parsed in blocks by a columnar parser. A block in which any
+record's shape may be wrong is halved again and again until such records stand
+alone; values are checked over columns. Only the records set apart go through
+the slow strict scan that names the reason.
 """
 
 from __future__ import annotations
 
-import io
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -27,16 +28,16 @@ WORD_SENSE_COLUMNS = (
 CONFIDENCES = ("high", "medium", "low")
 REVIEW_STATUSES = ("unreviewed", "reviewed", "rejected")
 QUOTING, COLUMN_COUNT, INVALID_VALUE = "quoting", "column_count", "invalid_value"
-#: A byte order mark at a record's start is no part of it.
+#: A byte order mark counts as a character of its record, so a quote behind it encloses no whole field; a loaded field is without it.
 BOM = "\ufeff"
 #: A text that holds a replacement character or a control character that ends no line.
 _BAD_CHARACTER = r"[\x{fffd}\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{9f}]"
 #: A record whose double quotes all enclose a field or stand doubled inside one.
 _WELL_QUOTED = r'\A(?:[^",]*|"(?:[^"]|"")*")(?:,(?:[^",]*|"(?:[^"]|"")*"))*\z'
-#: Most records of a block. Blocks grow while they parse and shrink while they fail, so clean data takes few calls and bad data few halvings.
+#: What the columnar parser reads in another way than the strict scan: other line ends, NUL, a byte order mark at its input's start.
+_PARSED_OTHERWISE = r"[\r\x00]|\A\x{feff}"
+#: Most records of a block.
 BLOCK_ROWS = 8192
-#: A failing block of so few records is diagnosed record by record: a call of the parser costs as much as so many strict scans.
-LEAF_ROWS = 64
 
 
 @dataclass(frozen=True)
@@ -88,7 +89,7 @@ def diagnose(record: str | None, rules: RecordRules) -> tuple[str | None, list[s
     """(reason, fields) of one record: the first reason that applies, or None and its fields."""
     if record is None:
         return COLUMN_COUNT, None
-    fields = scan_fields(record.removeprefix(BOM))
+    fields = scan_fields(record)
     if fields is None:
         return QUOTING, None
     if len(fields) != len(rules.columns):
@@ -101,59 +102,65 @@ def diagnose(record: str | None, rules: RecordRules) -> tuple[str | None, list[s
         return INVALID_VALUE, None
     if any(x == "\ufffd" or (unicodedata.category(x) == "Cc" and x not in "\n\r") for x in text):
         return INVALID_VALUE, None
-    return None, fields
-
-
-def parse_block(records: pa.Array, rules: RecordRules) -> pa.Table | None:
-    """The records as columns, or None where any one of them may be bad.
-
-    The parser itself is lenient with quotes in the middle of a field, so a
-    block that holds double quotes must match the grammar of fields as well.
-    """
-    if records.null_count:
-        return None
-    text = "\n".join(records.to_pylist()) + "\n"
-    if "\r" in text or BOM in text or "\0" in text:
-        return None
-    try:
-        t = pacsv.read_csv(
-            io.BytesIO(text.encode()),
-            read_options=pacsv.ReadOptions(column_names=list(rules.columns), use_threads=False, block_size=len(text) * 4 + 1024),
-            parse_options=pacsv.ParseOptions(quote_char='"', double_quote=True, escape_char=False, newlines_in_values=True, ignore_empty_lines=False),
-            convert_options=pacsv.ConvertOptions(column_types=dict.fromkeys(rules.columns, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
-        )
-    except (pa.ArrowInvalid, UnicodeEncodeError):
-        return None
-    if t.num_rows != len(records):
-        return None
-    if '"' in text and not pc.all(pc.match_substring_regex(records, _WELL_QUOTED)).as_py():
-        return None
-    for c, allowed in rules.domains:
-        if not pc.all(pc.is_in(pc.utf8_lower(pc.utf8_trim_whitespace(t[c])), pa.array(allowed))).as_py():
+    return None, [fields[0].removeprefix(BOM), *fields[1:]]
+
+
+class Blocks:
+    """The records of a batch, joined once, whose blocks are parsed where they lie."""
+
+    def __init__(self, records: pa.Array, rules: RecordRules):
+        self.records, self.rules = records, rules
+        odd = pc.match_substring_regex(records, _PARSED_OTHERWISE)
+        # the parser is lenient with quotes in the middle of a field
+        fit = pc.and_(pc.invert(odd), pc.or_(pc.invert(pc.match_substring(records, '"')), pc.match_substring_regex(records, _WELL_QUOTED)))
+        self.unfit = np.concatenate([[0], np.cumsum(~np.asarray(fit.fill_null(False)))])
+        lines = pc.binary_join_element_wise(pc.fill_null(records.cast(pa.large_string()), ""), *(pa.scalar(x, pa.large_string()) for x in ("\n", "")))
+        self.offsets = np.frombuffer(lines.buffers()[1], np.int64)[: len(records) + 1] if len(records) else np.zeros(1, np.int64)
+        self.text = lines.buffers()[2]
+        self.read = pacsv.ReadOptions(column_names=list(rules.columns), use_threads=False)
+        self.parse = pacsv.ParseOptions(quote_char='"', double_quote=True, escape_char=False, newlines_in_values=True, ignore_empty_lines=False)
+        self.convert = pacsv.ConvertOptions(column_types=dict.fromkeys(rules.columns, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False)
+
+    def columns(self, a: int, b: int) -> pa.Table | None:
+        """The records a to b as columns, or None where the shape of any one of them may be bad."""
+        if self.unfit[b] > self.unfit[a]:
+            return None
+        try:
+            size = int(self.offsets[b] - self.offsets[a])
+            lines = pa.BufferReader(self.text.slice(self.offsets[a], size))
+            self.read.block_size = min(size + 1, 2**31 - 1)  # the parser sets so much memory aside
+            t = pacsv.read_csv(lines, read_options=self.read, parse_options=self.parse, convert_options=self.convert)
+        except pa.ArrowInvalid:
             return None
-    texts = t[rules.text_column]
-    if pc.any(pc.match_substring_regex(texts, _BAD_CHARACTER)).as_py() or not pc.all(pc.match_substring_regex(texts, r"\p{L}")).as_py():
-        return None
-    return t
-
-
-def _isolate(records: pa.Array, rules: RecordRules, block_rows: int) -> Iterator[tuple[int, int, pa.Table | None]]:
-    """(start, stop, columns) of runs of good records; a run that holds bad ones is of LEAF_ROWS at most and has None."""
-    at, size, n = 0, block_rows, len(records)
-    while at < n:
-        end = min(at + size, n)
-        todo, failed = [(at, end)], False
+        return t if t.num_rows == b - a else None
+
+    def isolate(self, block_rows: int) -> tuple[pa.Table | None, np.ndarray, list[int]]:
+        """(columns, their records' numbers, the numbers of the others): failing blocks are halved down to single records."""
+        parts, at, alone, n = [], [], [], len(self.records)
+        todo = [(lo, min(lo + block_rows, n)) for lo in range(0, n, block_rows)]
         while todo:
             a, b = todo.pop()
-            t = parse_block(records.slice(a, b - a), rules)
-            if t is not None or b - a <= LEAF_ROWS:
-                yield a, b, t
+            t = self.columns(a, b)
+            if t is not None:
+                parts.append(t)
+                at.append(np.arange(a, b))
+            elif b - a == 1:
+                alone.append(a)
             else:
-                mid = (a + b) // 2
-                todo += [(mid, b), (a, mid)]
-            failed |= t is None
-        at = end
-        size = max(size // 2, min(LEAF_ROWS, block_rows)) if failed else min(size * 2, block_rows)
+                todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+        if not parts:
+            return None, np.empty(0, np.int64), alone
+        t, at = pa.concat_tables(parts).combine_chunks(), np.concatenate(at)
+        good = np.asarray(self.valid(t))
+        return t.filter(good), at[good], [*alone, *at[~good].tolist()]
+
+    def valid(self, t: pa.Table) -> pa.ChunkedArray:
+        """Which rows have values as the rules want them."""
+        text = t[self.rules.text_column]
+        ok = pc.and_(pc.match_substring_regex(text, r"\p{L}"), pc.invert(pc.match_substring_regex(text, _BAD_CHARACTER)))
+        for c, allowed in self.rules.domains:
+            ok = pc.and_(ok, pc.is_in(pc.utf8_lower(pc.utf8_trim_whitespace(t[c])), pa.array(allowed)))
+        return ok
 
 
 def load_records(df: DataFrame, record: str = "raw_line", keys: tuple[str, ...] = ("line_id",), rules: RecordRules = RecordRules(), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -170,16 +177,16 @@ def load_records(df: DataFrame, record: str = "raw_line", keys: tuple[str, ...]
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records = batch.column(len(names)).cast(pa.string())
-            out = []
-            for a, b, t in _isolate(records, rules, block_rows):
-                if t is None:
-                    judged = [diagnose(x, rules) for x in records.slice(a, b - a).to_pylist()]
-                    cols = [pa.array([r for r, _ in judged], pa.string()), *[pa.array([f and f[i] for _, f in judged], pa.string()) for i in range(len(rules.columns))]]
-                else:
-                    cols = [pa.nulls(b - a, pa.string()), *[c.combine_chunks() for c in t.columns]]
-                out.append(pa.table([*[batch.column(i).slice(a, b - a) for i in range(len(names))], *cols], names=[*names, "reason", *rules.columns]))
-            if out:
-                yield from pa.concat_tables(out).combine_chunks().to_batches()
+            t, at, alone = Blocks(records, rules).isolate(block_rows)
+            if t is not None and t.num_rows:
+                yield from rows(batch, at, pa.nulls(t.num_rows, pa.string()), t.columns)
+            if alone:
+                judged = [diagnose(x, rules) for x in records.take(pa.array(alone)).to_pylist()]
+                yield from rows(batch, alone, pa.array([r for r, _ in judged], pa.string()), [pa.array([f and f[i] for _, f in judged], pa.string()) for i in range(len(rules.columns))])
+
+    def rows(batch: pa.RecordBatch, at: list[int] | np.ndarray, reason: pa.Array, columns: list) -> list[pa.RecordBatch]:
+        own = [batch.column(i).take(pa.array(at)) for i in range(len(names))]
+        return pa.table([*own, reason, *columns], names=[*names, "reason", *rules.columns]).to_batches()
 
     return kept.mapInArrow(blocks, schema)
 

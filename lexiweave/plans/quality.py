@@ -96,7 +96,7 @@ def _nth_field(n: int) -> str:
     return f"""CASE WHEN starts_with({raw}, '"') THEN replace({raw}[2:-2], '""', '"') ELSE {raw} END"""
 
 
-_CSV = rf"""WITH lines AS (SELECT line_id, CASE WHEN starts_with(raw_line, chr(65279)) THEN raw_line[2:] ELSE raw_line END AS line FROM word_senses_csv),
+_CSV = rf"""WITH lines AS (SELECT line_id, raw_line AS line FROM word_senses_csv),
 shaped AS (SELECT *, regexp_full_match(line, '{_FIELD}(?:,{_FIELD})*', 's') AS quoted_well, regexp_full_match(line, '{_FIELD}(?:,{_FIELD}){{13}}', 's') AS columns_right,
   {_nth_field(4)} AS gloss, lower(regexp_replace({_nth_field(12)}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS confidence,
   lower(regexp_replace({_nth_field(13)}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS review_status FROM lines),
@@ -104,6 +104,11 @@ judged AS (SELECT *, CASE WHEN line IS NULL THEN 'column_count' WHEN NOT quoted_
   WHEN confidence NOT IN ('high', 'medium', 'low') OR review_status NOT IN ('unreviewed', 'reviewed', 'rejected')
     OR NOT regexp_matches(gloss, '\p{{L}}') OR regexp_matches(gloss, '[\x{{fffd}}\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'invalid_value' END AS reason FROM shaped)"""
 
+_TEXTS = {0: "language_code", 1: "word_text", 2: "part_of_speech", 3: "concept_slug", 4: "gloss", 6: "equivalence_type", 8: "external_sense_id", 9: "external_synset_id", 10: "source_slug", 11: "source_locator"}
+_LOADED = f"""{_CSV} SELECT line_id, {", ".join(f"nullif({f'ltrim({_nth_field(i)}, chr(65279))' if i == 0 else _nth_field(i)}, '') AS {c}" for i, c in _TEXTS.items() if c != 'gloss')}, nullif(gloss, '') AS gloss,
+  CASE WHEN lower(trim({_nth_field(5)})) IN ('true', '1', 'yes') THEN true WHEN lower(trim({_nth_field(5)})) IN ('false', '0', 'no') THEN false END AS is_primary,
+  TRY_CAST(trim({_nth_field(7)}) AS INTEGER) AS sense_rank, confidence, review_status FROM judged WHERE reason IS NULL"""
+
 _D, _W = r",;|/\t\n\r，；、", r"[\s\p{Z}\x1c-\x1f\x85]"
 #: One value and its delimiter: enclosed in quotes, or up to a delimiter that no backslash escapes.
 _VALUE = rf"""{_W}*("(?:[^"\\]|\\.|"")*"|'(?:[^'\\]|\\.)*'|“(?:[^”\\]|\\.)*”|'(?:\\.|[^\\{_D}])*'|(?:\\.|[^\\{_D}])*){_W}*(?:[{_D}]|$)""".replace("'", "''")
@@ -125,5 +130,6 @@ SELECT t.*, coalesce(b.n_orphans, 0) AS n_orphans, coalesce(b.n_orphan_keys, 0)
 ON t.ref_table = b.ref_table AND t.ref_field = b.ref_field AND t.period IS NOT DISTINCT FROM b.period""",
     "p2_ledger": f"""WITH {_REFS} SELECT key, count(*) AS refs FROM refs WHERE key IS NOT NULL
 AND key NOT IN (SELECT key FROM lives WHERE key IS NOT NULL AND born IS NOT NULL AND died IS NULL) GROUP BY key""",
+    "p4_loaded": _LOADED,
     "p4_found": f"{_CSV} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
 }

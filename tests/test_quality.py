@@ -160,7 +160,7 @@ BAD = [
     (None, "column_count"), ("", "column_count"), ("a,b", "column_count"), (GOOD[0] + ",", "column_count"), (GOOD[0].replace("a gloss", 'a "gloss"'), "quoting"), (GOOD[0].replace("a gloss", '"a gloss'), "quoting"),
     (GOOD[0].replace("a gloss", ' "a gloss"'), "quoting"), (GOOD[0].replace("a gloss", '"a" gloss'), "quoting"), (GOOD[0].replace("a gloss", '"a \\"b\\" c"'), "quoting"), (GOOD[0].replace("high", "hgih"), "invalid_value"),
     (GOOD[0].replace("a gloss", "..."), "invalid_value"), (GOOD[0].replace("a gloss", "a\tb"), "invalid_value"), (GOOD[0].replace("a gloss", "a\x00b"), "invalid_value"), (GOOD[0].replace("a gloss", "a�b"), "invalid_value"),
-    (GOOD[0].replace("reviewed", ""), "invalid_value"), (GOOD[0].replace("a gloss", "a\x85b"), "invalid_value"), ("a,b,\"", "quoting"),
+    (GOOD[0].replace("reviewed", ""), "invalid_value"), (GOOD[0].replace("a gloss", "a\x85b"), "invalid_value"), ("a,b,\"", "quoting"), ('\ufeff"en"' + GOOD[0][2:], "quoting"),
 ]
 
 
@@ -175,10 +175,23 @@ def test_failing_rows(spark, block):
 def test_valid_rows_are_typed(spark):
     df = spark.createDataFrame([(1, GOOD[1]), (2, "x")], "line_id long, raw_line string")
     rows = quarantine.valid_word_senses(quarantine.load_records(df)).collect()
+    marked = quarantine.load_records(spark.createDataFrame([(1, GOOD[2])], "line_id long, raw_line string")).collect()
+    assert [(r.reason, r.language_code) for r in marked] == [(None, "en")]
     assert [(r.line_id, r.gloss, r.is_primary, r.sense_rank, r.confidence, r.review_status) for r in rows] == [(1, 'a, "b"\nc', True, None, "low", "reviewed")]
     assert quarantine.load_records(df.limit(0)).count() == 0
 
 
+def test_most_good_records_are_loaded_by_columns(tiny):
+    import pyarrow.parquet as pq
+
+    records = pq.read_table(f"{tiny}/word_senses_csv.parquet")["raw_line"].combine_chunks()
+    rules = quarantine.RecordRules()
+    _, at, alone = quarantine.Blocks(records, rules).isolate(quarantine.BLOCK_ROWS)
+    good = [i for i, x in enumerate(records.to_pylist()) if quarantine.diagnose(x, rules)[0] is None]
+    assert set(at) <= set(good) and len(at) > 0.98 * len(good)
+    assert len(at) + len(alone) == len(records)
+
+
 def test_nested_records(spark, tmp_path):
     deep = {"a": 1}
     for _ in range(300):
