@@ -30,15 +30,15 @@ from lexiweave.llm.bpe import vocabulary_path
 
 #: The vocabulary whose pieces are used.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Labelled documents a language in the sample, and characters a document of it may have: the bounds of what the driver fits on.
-SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
+#: The sample that the driver fits on: documents a language, characters a document of it may have, characters of all of it.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 400, 20_000, 24_000_000
 #: Rows the table of languages may have: it is a dimension of fixed size and is collected.
 MAX_LANGUAGES = 2_000
-#: Longest piece in characters, and longest unit that is scored as a whole; longer runs of letters are scored in such parts.
-PIECE_CHARS, UNIT_CHARS = 10, 24
 ROUNDS = 3
-#: Nats by which one word can speak for a language over another, so that a quoted word does not outweigh its sentence.
-WORD_CAP = 6.0
+#: How often a word of a text is quoted from any other language: what a word can say for one language over another is bounded by this chance.
+QUOTED = 0.03
+#: Letters that count as one word in a run of letters: in scripts without spaces, and in others.
+RUN_LETTERS, LONG_LETTERS = 3, 24
 #: Nats that a change of language between sentences costs.
 SWITCH_COST = 7.0
 #: Scored words kept in a worker; only speed depends on it.
@@ -48,6 +48,7 @@ CACHE_WORDS = 400_000
 _SENTENCE_END = regex.compile(r"""[.!?…]["'”’»)\]*_]{0,3}(?=\s|</?[a-z])|[。！？][」』”]{0,2}|[\r\n]+""")
 _MARKUP = regex.compile(r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>")
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
 _MARKS = regex.compile(r"\p{Mn}+")
 #: Letters that accents do not part from their plain form by decomposition; fixed values.
 _PLAIN = str.maketrans({"ł": "l", "đ": "d", "ø": "o", "ı": "i", "æ": "ae", "œ": "oe"})
@@ -82,16 +83,22 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def units(sentence: str) -> list[str]:
-    """The words of a sentence without mark-up, each behind a space; very long ones in parts."""
-    out = []
-    for w in _WORD.findall(plain(_MARKUP.sub(" ", sentence))):
-        out += [" " + w] if len(w) < UNIT_CHARS else [(" " if i == 0 else "") + w[i : i + UNIT_CHARS - 1] for i in range(0, len(w), UNIT_CHARS - 1)]
-    return out
+    """The runs of letters of a sentence without mark-up, each behind a space."""
+    return [" " + w for w in _WORD.findall(plain(_MARKUP.sub(" ", sentence)))]
+
+
+def words_in(unit: str) -> float:
+    """How many words a run of letters counts as."""
+    n = len(unit) - 1
+    return max(1.0, n / (RUN_LETTERS if _UNSPACED.search(unit) else LONG_LETTERS))
 
 
 @cache
 def _vocabulary(path: str) -> dict[str, int]:
-    """The vocabulary's pieces in plain form, and one piece for each block of 128 code points in which any other character falls."""
+    """The vocabulary's pieces of letters in plain form, and one piece for each block of 128 code points in which any other character falls.
+
+    Beginnings of pieces that are none themselves have the number -1.
+    """
     pieces: dict[str, int] = {}
     with open(path, "rb") as f:
         for line in f:
@@ -101,49 +108,74 @@ def _vocabulary(path: str) -> dict[str, int]:
                 continue
             p = plain(s)
             bare = p[1:] if p[:1] == " " else p
-            if (not bare or _WORD.fullmatch(bare)) and 0 < len(p) <= PIECE_CHARS:
+            if p and (not bare or _WORD.fullmatch(bare)):
                 pieces.setdefault(p, len(pieces))
     for block in range(0x110000 >> 7):
         pieces[f"\0{block}"] = len(pieces)
+    for p in list(pieces):
+        if p[0] != "\0":
+            for n in range(1, len(p)):
+                pieces.setdefault(p[:n], -1)
     return pieces
 
 
 def _lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
     """The piece at each start and length of words of equal length, by one number; -1 where there is none."""
     n = len(words[0])
-    width = min(PIECE_CHARS, n)
-    out = np.full((len(words), n, width), -1, np.int32)
     get = pieces.get
+    at, ids = [], []
     for w, word in enumerate(words):
-        row = out[w]
         for i in range(n):
-            for j in range(i + 1, min(i + width, n) + 1):
+            begin = len(ids)
+            for j in range(i + 1, n + 1):
                 p = get(word[i:j])
-                if p is not None:
-                    row[i, j - i - 1] = p
-            if row[i, 0] < 0:
-                row[i, 0] = pieces[f"\0{ord(word[i]) >> 7}"]
+                if p is None:
+                    break
+                if p >= 0:
+                    at.append((w, i, j - i - 1))
+                    ids.append(p)
+            if begin == len(ids) or at[begin][2]:
+                at.append((w, i, 0))
+                ids.append(pieces[f"\0{ord(word[i]) >> 7}"])
+    where = np.array(at, np.int64).reshape(-1, 3)
+    out = np.full((len(words), n, 1 + int(where[:, 2].max(initial=0))), -1, np.int32)
+    out[where[:, 0], where[:, 1], where[:, 2]] = ids
     return out
 
 
-def _forward(grid: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]: the probability of all segmentations up to each position. The last row of prob is 0."""
+#: A running probability below TINY is raised by its inverse, which is counted.
+TINY = 1e-100
+
+
+def _forward(grid: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(alpha, raised)[word, position, language]: the probability of all segmentations up to each position is alpha times TINY to the power of raised.
+
+    The last row of prob is 0.
+    """
     words, n, width = grid.shape
     alpha = np.zeros((words, n + 1, prob.shape[1]))
+    raised = np.zeros((words, n + 1, prob.shape[1]), np.int32)
     alpha[:, 0] = 1.0
-    for i in range(n):
+    for i in range(n + 1):
+        if i:
+            raised[:, i] = raised[:, i - 1]
+        if i % 8 == 7 and (low := alpha[:, i] < TINY).any():
+            alpha[:, i : i + width] *= np.where(low, 1 / TINY, 1.0)[:, None]
+            raised[:, i] += low
         for length in range(1, min(width, n - i) + 1):
             ids = grid[:, i, length - 1]
             if (ids >= 0).any():
                 alpha[:, i + length] += alpha[:, i] * prob[ids]
-    return alpha
+    return alpha, raised
 
 
-def _by_length(words: list[str], at_once: int = 20_000) -> Iterator[list[str]]:
+def _by_length(words: list[str], letters: int = 200_000) -> Iterator[list[str]]:
+    """The words by length, so many letters at once."""
     groups: dict[int, list[str]] = {}
     for w in words:
         groups.setdefault(len(w), []).append(w)
-    for ws in groups.values():
+    for n, ws in groups.items():
+        at_once = max(1, letters // n)
         for i in range(0, len(ws), at_once):
             yield ws[i : i + at_once]
 
@@ -165,26 +197,33 @@ class Model:
         self.rows.clear()
 
     def learn(self, groups: Iterable[tuple[list[str], np.ndarray]]) -> None:
-        """Scores words, given by length with their lattices."""
+        """Scores words, given by length with their lattices.
+
+        A word is of a text's language, or else quoted: then it is of any
+        language alike. Its score is the logarithm of the probability of both
+        together; the last column has the number of words that it counts as.
+        """
+        k = len(self.languages)
         for group, grid in groups:
-            s = np.log(_forward(grid, self.prob)[:, -1] + 1e-300)
+            alpha, raised = _forward(grid, self.prob)
+            own = np.log(alpha[:, -1] + 1e-300) + raised[:, -1] * math.log(TINY)
+            top = own.max(1, keepdims=True)
+            any_language = top + np.log(np.exp(own - top).mean(1, keepdims=True))
+            size = np.array([[words_in(w)] for w in group])
             at = len(self.rows)
             if self.table.shape[0] < at + len(group):
-                grown = np.empty((max(2 * (at + len(group)), 1024), len(self.languages)))
+                grown = np.empty((max(2 * (at + len(group)), 1024), k + 1))
                 if at:
                     grown[:at] = self.table[:at]
                 self.table = grown
-            self.table[at : at + len(group)] = np.maximum(s, s.max(1, keepdims=True) - WORD_CAP)
+            self.table[at : at + len(group), :k] = np.logaddexp(math.log(1 - QUOTED) + own, size * math.log(QUOTED) + any_language)
+            self.table[at : at + len(group), k:] = size
             self.rows.update(zip(group, range(at, at + len(group)), strict=True))
 
-    def gains(self, found: list[list[str]]) -> np.ndarray:
-        """What each sentence, a list of words that is not empty, says for each language: the sum over its words.
-
-        A word says the logarithm of its probability, raised where it falls
-        WORD_CAP below the best language.
-        """
+    def gains(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(what each sentence says for each language, its number of words): sums over its words. A sentence is a list of words that is not empty."""
         if not found:
-            return np.empty((0, len(self.languages)))
+            return np.empty((0, len(self.languages))), np.empty(0)
         words = [w for ws in found for w in ws]
         if len(self.rows) > CACHE_WORDS:
             self.forget()
@@ -192,7 +231,8 @@ class Model:
         self.learn((group, _lattice(group, pieces)) for group in _by_length([w for w in dict.fromkeys(words) if w not in self.rows]))
         index = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         starts = np.cumsum([0, *map(len, found[:-1])])
-        return np.add.reduceat(self.table[index], starts)
+        sums = np.add.reduceat(self.table[index], starts)
+        return sums[:, :-1], sums[:, -1]
 
     def segment(self, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
         """For each text (start, end, language, confidence) of each longest run of sentences of one language; none where no sentence has a letter or the model has no language."""
@@ -205,8 +245,7 @@ class Model:
                     spans.append((a, b))
                     found.append(u)
             per.append((n, len(spans)))
-        gain = self.gains(found)
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        gain, size = self.gains(found)
         best = gain.argmax(1) if len(gain) else gain
         out = [[] for _ in texts] if not self.languages else []
         for a, b in per:
@@ -256,12 +295,14 @@ def _in_script(words: list[str], script: str | None) -> bool:
 def _prior(languages: list[tuple[str, str | None]], pieces: dict[str, int]) -> np.ndarray:
     """Where a language has little text: pieces of its script alike, others seldom."""
     names = sorted({n for v in SCRIPT_NAMES.values() for n in v})
-    of = np.zeros(len(pieces), np.int32)
+    of = np.zeros(1 + max(pieces.values()), np.int32)
     for p, i in pieces.items():
+        if i < 0:
+            continue
         c = chr(int(p[1:]) << 7 | 0x40) if p[0] == "\0" else p.strip()[:1]
         name = unicodedata.name(c, "") if c else ""
         of[i] = 1 + next((k for k, n in enumerate(names) if name.startswith(n)), -1)
-    out = np.full((len(pieces), len(languages)), 0.02)
+    out = np.full((len(of), len(languages)), 0.02)
     for k, (_, script) in enumerate(languages):
         own = [1 + names.index(n) for n in SCRIPT_NAMES.get(script or "", ())]
         out[np.isin(of, own), k] = 1.0
@@ -291,7 +332,7 @@ def fit(labelled: list[tuple[str, str]], languages: list[tuple[str, str | None]]
         model.forget()
         if clean:
             model.learn(lattices)
-        kept = (model.gains(said).argmax(1) == of) if clean and said else np.ones(len(said), bool)
+        kept = (model.gains(said)[0].argmax(1) == of) if clean and said else np.ones(len(said), bool)
         for s, k, keep in zip(said, of.tolist(), kept.tolist(), strict=True):
             if keep:
                 counts[k].update(s)
@@ -309,19 +350,25 @@ def fit(labelled: list[tuple[str, str]], languages: list[tuple[str, str | None]]
 def _expect(grid: np.ndarray, prob: np.ndarray, weight: np.ndarray, expected: np.ndarray) -> None:
     """Adds the expected uses of each piece over all segmentations of the words, weighted by their counts."""
     words, n, width = grid.shape
-    alpha = _forward(grid, prob)
-    beta = np.zeros_like(alpha)
+    alpha, raised = _forward(grid, prob)
+    beta, lifted = np.zeros_like(alpha), np.zeros_like(raised)
     beta[:, n] = 1.0
     for i in range(n - 1, -1, -1):
+        lifted[:, i] = lifted[:, i + 1]
         for length in range(1, min(width, n - i) + 1):
             beta[:, i] += beta[:, i + length] * prob[grid[:, i, length - 1]]
+        if i % 8 == 0 and (low := beta[:, i] < TINY).any():
+            beta[:, i : i + width] *= np.where(low, 1 / TINY, 1.0)[:, None]
+            lifted[:, i : i + width] += low[:, None]
     share = weight / np.maximum(alpha[:, n], 1e-300)
+    plain_scale = not raised.any() and not lifted.any()
     for i in range(n):
         for length in range(1, min(width, n - i) + 1):
             ids = grid[:, i, length - 1]
             at = ids >= 0
             if at.any():
-                np.add.at(expected, ids[at], (alpha[:, i] * prob[ids] * beta[:, i + length] * share)[at])
+                after = beta[:, i + length] if plain_scale else beta[:, i + length] * np.power(TINY, (raised[:, i] + lifted[:, i + length] - raised[:, n]).astype(float))
+                np.add.at(expected, ids[at], (alpha[:, i] * prob[ids] * after * share)[at])
 
 
 def label_codes(label: Column, languages: list[tuple[str, str]]) -> Column:
@@ -342,8 +389,10 @@ def language_rows(languages: DataFrame) -> list[tuple[str, str, str | None]]:
     return sorted({r.code: (r.code, r["name"], r.script) for r in rows}.values())
 
 
-def labelled_sample(docs: DataFrame, doc_id: str, text: str, label: Column, per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(text, code) of at most ``per_language`` documents a language, drawn by a hash of the id.
+def labelled_sample(
+    docs: DataFrame, doc_id: str, text: str, label: Column, languages: int = 1, per_language: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS, total_chars: int = SAMPLE_TOTAL
+) -> list[tuple[str, str]]:
+    """(text, code) of at most ``per_language`` documents a language, drawn by a hash of the id, with at most ``total_chars`` among ``languages``.
 
     The ids are drawn first, each task keeping its own first ones, and only
     then are texts read. The sample fits a model and no result depends on the
@@ -351,7 +400,9 @@ def labelled_sample(docs: DataFrame, doc_id: str, text: str, label: Column, per_
     """
     d = docs.select(F.col(doc_id).alias("_id"), label.alias("_code"), F.length(text).alias("_n")).filter(F.col("_code").isNotNull() & F.col("_n").between(20, max_chars))
     place = F.row_number().over(Window.partitionBy("_code").orderBy(F.xxhash64("_id"), "_id"))
-    drawn = d.select("_id", "_code", place.alias("_p")).filter(F.col("_p") <= per_language).select("_id", "_code")
+    drawn = d.select("_id", "_code", "_n", place.alias("_p")).filter(F.col("_p") <= per_language)
+    so_far = F.sum("_n").over(Window.partitionBy("_code").orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    drawn = drawn.select("_id", "_code", so_far.alias("_s")).filter(F.col("_s") <= total_chars // max(languages, 1)).select("_id", "_code")
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").filter(F.length("_text") <= max_chars).select("_text", "_code", "_id")
     return [(r[0], r[1]) for r in sorted(rows.collect(), key=lambda r: (r[2], r[0]))]
 
@@ -394,4 +445,4 @@ def segment_languages(docs: DataFrame, keys: list[str], text: str, model: Model)
 def document_languages(segments: DataFrame, doc_id: str) -> DataFrame:
     """(doc_id, lang, confidence, n_segments): the language of most of a document's characters, the first code among ties."""
     per = segments.groupBy(doc_id, "lang").agg(F.sum(F.col("seg_end") - F.col("seg_start")).alias("n"), F.max("confidence").alias("confidence"), F.count("*").alias("s"))
-    return per.groupBy(doc_id).agg(F.max_by(F.struct("lang", "confidence"), F.struct("n", F.col("s") * 0, "confidence")).alias("b"), F.sum("s").cast("int").alias("n_segments")).select(doc_id, "b.lang", "b.confidence", "n_segments")
+    return per.groupBy(doc_id).agg(F.min_by(F.struct("lang", "confidence"), F.struct(-F.col("n"), F.col("lang"))).alias("b"), F.sum("s").cast("int").alias("n_segments")).select(doc_id, "b.lang", "b.confidence", "n_segments")

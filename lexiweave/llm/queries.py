@@ -92,7 +92,7 @@ def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = langid.language_rows(table(spark, d, "languages"))
     code = langid.label_codes(F.col("lang"), [(c, n) for c, n, _ in rows])
     docs = table(spark, d, "documents").select("doc_id", "text", code.alias("code"))
-    model = langid.fit(langid.labelled_sample(docs, "doc_id", "text", F.col("code")), [(c, s) for c, _, s in rows])
+    model = langid.fit(langid.labelled_sample(docs, "doc_id", "text", F.col("code"), len(rows)), [(c, s) for c, _, s in rows])
     return docs, langid.segment_languages(docs, ["doc_id", "code"], "text", model)
 
 

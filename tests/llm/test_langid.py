@@ -73,10 +73,47 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum(prob[pieces[w[:n]], k] * brute(w[n:], k) for n in (1, 2) if w[:n] in pieces and len(w) >= n)
 
     words = ["abab", "bbaa"]
-    got = langid._forward(langid._lattice(words, pieces), prob)[:, -1]
+    got = langid._forward(langid._lattice(words, pieces), prob)[0][:, -1]
     assert np.allclose(got, [[brute(w, k) for k in (0, 1)] for w in words])
 
 
+def test_long_runs_do_not_vanish():
+    import numpy as np
+
+    pieces = {"a": 0, "b": 1, "ab": 2, "\x000": 3}
+    prob = np.array([[0.03, 0.001], [0.002, 0.004], [0.0001, 0.0002], [1e-6, 1e-6], [0.0, 0.0]])
+    grid = langid._lattice(["ab" * 700], pieces)
+    alpha, raised = langid._forward(grid, prob)
+    got = np.log(alpha[0, -1]) + raised[0, -1] * np.log(langid.TINY)
+    assert np.allclose(got, 700 * np.log(prob[0] * prob[1] + prob[2]))
+    expected = np.zeros_like(prob)
+    langid._expect(grid, prob, np.ones((1, 2)), expected)
+    share = prob[2] / (prob[0] * prob[1] + prob[2])
+    assert np.allclose(expected[2], 700 * share) and np.allclose(expected[0], 700 * (1 - share))
+
+
+def test_long_vocabulary_pieces_are_used():
+    pieces = langid._vocabulary(langid.vocabulary_path(langid.VOCABULARY))
+    longest = max((p for p, i in pieces.items() if i >= 0 and p[0] != "\0"), key=len)
+    assert len(longest) > 10
+    assert langid._lattice([longest], pieces)[0, 0, len(longest) - 1] == pieces[longest]
+
+
+def test_a_sentence_without_spaces_is_a_segment(model):
+    r, right = random.Random(8), 0
+    for _ in range(40):
+        en, ja = document(r, "en", 2), sentence(r, "ja").replace("、", "")
+        right += [model.languages[s[2]] for s in model.segments(f"{en} {ja} {document(r, 'en', 2)}")] == ["en", "ja", "en"]
+    assert right >= 36
+
+
+def test_a_quoted_word_is_no_segment(model):
+    r = random.Random(9)
+    for _ in range(40):
+        other = r.choice(["Πλανητάριον", "колокольчик", "古本屋"])
+        assert len(model.segments(f"{document(r, 'en', 1)} Compare {other}. {document(r, 'en', 1)}")) == 1
+
+
 def test_segments_of_rows(spark, model):
     en, de = "We have found no other form of loka in these books.", "Der alte Turm steht neben dem Fluss und niemand weiß warum."
     texts = [None, "", " \n", "123 !!", en, f"<p>{en}</p>", f"{en}\n\n{de}", en * 3000, de + " 🙂 [1]", en]
@@ -98,6 +135,8 @@ def test_labels(spark):
 
 def test_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, f"some text of no weight {i}", "en" if i % 3 else "de") for i in range(300)] + [(999, "x" * 30_000, "de"), (1000, None, "en")], "doc_id long, text string, lang string")
-    got = langid.labelled_sample(df, "doc_id", "text", F.col("lang"), per_language=25)
+    got = langid.labelled_sample(df, "doc_id", "text", F.col("lang"), 2, per_language=25)
     assert len(got) == 50 and max(len(t) for t, _ in got) < 100
-    assert got == langid.labelled_sample(df.repartition(5), "doc_id", "text", F.col("lang"), per_language=25)
+    few = langid.labelled_sample(df, "doc_id", "text", F.col("lang"), 2, per_language=25, total_chars=300)
+    assert 0 < len(few) < 15 and sum(len(t) for t, _ in few) <= 300
+    assert got == langid.labelled_sample(df.repartition(5), "doc_id", "text", F.col("lang"), 2, per_language=25)
