@@ -93,12 +93,61 @@ def words_in(unit: str) -> float:
     return max(1.0, n / (RUN_LETTERS if _UNSPACED.search(unit) else LONG_LETTERS))
 
 
-@cache
-def _vocabulary(path: str) -> dict[str, int]:
-    """The vocabulary's pieces of letters in plain form, and one piece for each block of 128 code points in which any other character falls.
+class Pieces:
+    """A vocabulary as a tree of letters in arrays, so that many words are looked up at once.
 
-    Beginnings of pieces that are none themselves have the number -1.
+    ``number`` has the pieces; one for each block of 128 code points, named by
+    NUL and the block, stands for any other character in it.
     """
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+        self.block = np.full(0x110000 >> 7, -1, np.int32)
+        step: dict[tuple[int, int], int] = {}
+        piece = [-1]
+        for p, k in number.items():
+            if p[0] == "\0":
+                self.block[int(p[1:])] = k
+                continue
+            at = 0
+            for c in p:
+                at = step.setdefault((at, ord(c)), len(piece))
+                if at == len(piece):
+                    piece.append(-1)
+            piece[at] = k
+        keys = np.array([a << 21 | c for a, c in step], np.int64)
+        order = keys.argsort()
+        self.keys, self.to, self.piece = keys[order], np.fromiter(step.values(), np.int64, len(step))[order], np.array(piece, np.int32)
+
+    def lattice(self, words: list[str]) -> np.ndarray:
+        """The piece at each start and length of words of equal length, by its number; -1 where there is none."""
+        n = len(words[0])
+        letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        start, node, layers = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
+        for length in range(1, n + 1):
+            if length > 1:
+                inside = start % n + length <= n
+                start, node = start[inside], node[inside]
+            key = node << 21 | letters[start + length - 1]
+            at = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            start, node = start[known], self.to[at[known]]
+            if not len(start):
+                break
+            layer = np.full(len(letters), -1, np.int32)
+            layer[start] = self.piece[node]
+            layers.append(layer)
+        while layers and layers[-1].max() < 0:
+            layers.pop()
+        if not layers:
+            layers.append(np.full(len(letters), -1, np.int32))
+        layers[0] = np.where(layers[0] < 0, self.block[letters >> 7], layers[0])
+        return np.stack(layers, 1).reshape(len(words), n, len(layers))
+
+
+@cache
+def _vocabulary(path: str) -> Pieces:
+    """The vocabulary's pieces of letters in plain form."""
     pieces: dict[str, int] = {}
     with open(path, "rb") as f:
         for line in f:
@@ -112,35 +161,7 @@ def _vocabulary(path: str) -> dict[str, int]:
                 pieces.setdefault(p, len(pieces))
     for block in range(0x110000 >> 7):
         pieces[f"\0{block}"] = len(pieces)
-    for p in list(pieces):
-        if p[0] != "\0":
-            for n in range(1, len(p)):
-                pieces.setdefault(p[:n], -1)
-    return pieces
-
-
-def _lattice(words: list[str], pieces: dict[str, int]) -> np.ndarray:
-    """The piece at each start and length of words of equal length, by one number; -1 where there is none."""
-    n = len(words[0])
-    get = pieces.get
-    at, ids = [], []
-    for w, word in enumerate(words):
-        for i in range(n):
-            begin = len(ids)
-            for j in range(i + 1, n + 1):
-                p = get(word[i:j])
-                if p is None:
-                    break
-                if p >= 0:
-                    at.append((w, i, j - i - 1))
-                    ids.append(p)
-            if begin == len(ids) or at[begin][2]:
-                at.append((w, i, 0))
-                ids.append(pieces[f"\0{ord(word[i]) >> 7}"])
-    where = np.array(at, np.int64).reshape(-1, 3)
-    out = np.full((len(words), n, 1 + int(where[:, 2].max(initial=0))), -1, np.int32)
-    out[where[:, 0], where[:, 1], where[:, 2]] = ids
-    return out
+    return Pieces(pieces)
 
 
 #: A running probability below TINY is raised by its inverse, which is counted.
@@ -228,7 +249,7 @@ class Model:
         if len(self.rows) > CACHE_WORDS:
             self.forget()
         pieces = _vocabulary(self.vocabulary)
-        self.learn((group, _lattice(group, pieces)) for group in _by_length([w for w in dict.fromkeys(words) if w not in self.rows]))
+        self.learn((group, pieces.lattice(group)) for group in _by_length([w for w in dict.fromkeys(words) if w not in self.rows]))
         index = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
         starts = np.cumsum([0, *map(len, found[:-1])])
         sums = np.add.reduceat(self.table[index], starts)
@@ -295,10 +316,8 @@ def _in_script(words: list[str], script: str | None) -> bool:
 def _prior(languages: list[tuple[str, str | None]], pieces: dict[str, int]) -> np.ndarray:
     """Where a language has little text: pieces of its script alike, others seldom."""
     names = sorted({n for v in SCRIPT_NAMES.values() for n in v})
-    of = np.zeros(1 + max(pieces.values()), np.int32)
+    of = np.zeros(len(pieces), np.int32)
     for p, i in pieces.items():
-        if i < 0:
-            continue
         c = chr(int(p[1:]) << 7 | 0x40) if p[0] == "\0" else p.strip()[:1]
         name = unicodedata.name(c, "") if c else ""
         of[i] = 1 + next((k for k, n in enumerate(names) if name.startswith(n)), -1)
@@ -324,9 +343,9 @@ def fit(labelled: list[tuple[str, str]], languages: list[tuple[str, str | None]]
     scripts = dict(languages)
     told = [(u, number[c]) for t, c in labelled if c in number for a, b in sentences(t) if (u := units(t[a:b])) and _in_script(u, scripts[c])]
     said, of = [u for u, _ in told], np.array([k for _, k in told], np.int64)
-    prior = _prior(languages, pieces)
+    prior = _prior(languages, pieces.number)
     model = Model(codes, path, np.vstack([prior, np.zeros((1, len(codes)))]))
-    lattices = [(g, _lattice(g, pieces)) for g in _by_length(list(dict.fromkeys(w for u in said for w in u)))]
+    lattices = [(g, pieces.lattice(g)) for g in _by_length(list(dict.fromkeys(w for u in said for w in u)))]
     for clean in (False, True, True):
         counts = [Counter() for _ in codes]
         model.forget()

@@ -73,7 +73,7 @@ def test_forward_sums_all_segmentations():
         return 1.0 if not w else sum(prob[pieces[w[:n]], k] * brute(w[n:], k) for n in (1, 2) if w[:n] in pieces and len(w) >= n)
 
     words = ["abab", "bbaa"]
-    got = langid._forward(langid._lattice(words, pieces), prob)[0][:, -1]
+    got = langid._forward(langid.Pieces(pieces).lattice(words), prob)[0][:, -1]
     assert np.allclose(got, [[brute(w, k) for k in (0, 1)] for w in words])
 
 
@@ -82,7 +82,7 @@ def test_long_runs_do_not_vanish():
 
     pieces = {"a": 0, "b": 1, "ab": 2, "\x000": 3}
     prob = np.array([[0.03, 0.001], [0.002, 0.004], [0.0001, 0.0002], [1e-6, 1e-6], [0.0, 0.0]])
-    grid = langid._lattice(["ab" * 700], pieces)
+    grid = langid.Pieces(pieces).lattice(["ab" * 700])
     alpha, raised = langid._forward(grid, prob)
     got = np.log(alpha[0, -1]) + raised[0, -1] * np.log(langid.TINY)
     assert np.allclose(got, 700 * np.log(prob[0] * prob[1] + prob[2]))
@@ -94,9 +94,16 @@ def test_long_runs_do_not_vanish():
 
 def test_long_vocabulary_pieces_are_used():
     pieces = langid._vocabulary(langid.vocabulary_path(langid.VOCABULARY))
-    longest = max((p for p, i in pieces.items() if i >= 0 and p[0] != "\0"), key=len)
+    longest = max((p for p in pieces.number if p[0] != "\0"), key=len)
     assert len(longest) > 10
-    assert langid._lattice([longest], pieces)[0, 0, len(longest) - 1] == pieces[longest]
+    assert pieces.lattice([longest])[0, 0, len(longest) - 1] == pieces.number[longest]
+    r, words = random.Random(4), [" information", " wiederholtes", "古い形はこれ", "\U0001f642zq\ud83dx"]
+    for w in words:
+        grid = pieces.lattice([w, "".join(r.sample(w, len(w)))])[0]
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                want = pieces.number.get(w[i:j], pieces.number[f"\0{ord(w[i]) >> 7}"] if j == i + 1 else -1)
+                assert (grid[i, j - i - 1] if j - i <= grid.shape[1] else -1) == want
 
 
 def test_a_sentence_without_spaces_is_a_segment(model):
