@@ -25,6 +25,14 @@ TAG_TABLE = "raw_tags"
 #: The table of records that hold no object.
 BAD_TABLE = "_unreadable"
 
+_WORDS = "word string, sense string, tags array<string>, _dis1 string"
+#: The fields of each table of raw_sense, in DDL.
+SENSE_TABLES = {
+    **dict.fromkeys(("synonyms", "antonyms", "derived", "related", "coordinate_terms", "hyponyms", "form_of", "alt_of"), _WORDS),
+    "categories": "name string, kind string", "parents": "name string, depth int", "translations": "code string, word string, roman string", "variants": "form string, tags array<string>",
+    "sounds": "ipa string, dialect string", "examples": "text string", "attestation": "year int", "place": "name string", "grid": "x int, y int", "source": "title string", "page": "no int",
+}
+
 NODE_SCHEMA = "table_tag string, node_path string, parent_path string, payload string"
 
 
@@ -39,7 +47,7 @@ def unwrapped(text: str) -> dict | None:
     return o if isinstance(o, dict) else None
 
 
-def visit(root: dict, array_keys: frozenset[str], payloads: bool) -> Iterator[tuple[str, str, str, str | None]]:
+def visit(root: dict, array_keys: frozenset[str]) -> Iterator[tuple[str, str, str, str]]:
     """(table, path, parent's path, payload) of each object below the root, depth first, in the order of the text.
 
     The table is the key under which an object stands. The payload is the JSON
@@ -50,7 +58,7 @@ def visit(root: dict, array_keys: frozenset[str], payloads: bool) -> Iterator[tu
     parents = [""]
     while stack:
         for tag, path, value in stack[-1]:
-            yield tag, path, parents[-1], _payload(value) if payloads else None
+            yield tag, path, parents[-1], _payload(value)
             stack.append(iter(_children(value, path + ".", array_keys)))
             parents.append(path)
             break
@@ -87,7 +95,7 @@ def _payload(o: dict) -> str:
     return json.dumps({k: v for k, v in o.items() if _plain(v)}, ensure_ascii=False, separators=(",", ":"))
 
 
-def flatten_nodes(df: DataFrame, key: str, record: str | None, tags: str | None = None, array_keys: tuple[str, ...] = ARRAY_KEYS, payloads: bool = True) -> DataFrame:
+def flatten_nodes(df: DataFrame, key: str, record: str | None, tags: str | None = None, array_keys: tuple[str, ...] = ARRAY_KEYS) -> DataFrame:
     """(key, table_tag, node_path, parent_path, payload): a row for each nested object and each tag.
 
     ``record`` is a column of JSON text, ``tags`` one of ARRAY<STRING> or null.
@@ -113,11 +121,11 @@ def flatten_nodes(df: DataFrame, key: str, record: str | None, tags: str | None
                     if root is None:
                         table.append(BAD_TABLE), path.append(""), parent.append(""), payload.append(text)
                     else:
-                        for t, p, q, v in visit(root, known, payloads):
+                        for t, p, q, v in visit(root, known):
                             table.append(t), path.append(p), parent.append(q), payload.append(v)
                 for j, x in enumerate(entries or ()):
                     if x is not None and x.strip():
-                        table.append(TAG_TABLE), path.append(f"{TAG_TABLE}[{j}]"), parent.append(""), payload.append(x if payloads else None)
+                        table.append(TAG_TABLE), path.append(f"{TAG_TABLE}[{j}]"), parent.append(""), payload.append(x)
                 at.extend([i] * (len(path) - n))
             columns = [b.column(0).take(pa.array(at, pa.int32())), *[pa.array(x, pa.string()) for x in (table, path, parent, payload)]]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
@@ -130,12 +138,20 @@ def write_node_tables(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").partitionBy("table_tag").parquet(path)
 
 
+def read_nodes(spark: SparkSession, path: str, key: str = "id bigint") -> DataFrame:
+    """(key, node_path, parent_path, payload, table_tag): the rows of all tables of write_node_tables, the unreadable records left out."""
+    rows = spark.read.schema(f"{key}, node_path string, parent_path string, payload string, table_tag string").parquet(path)
+    return rows.filter(F.col("table_tag") != BAD_TABLE)
+
+
 def read_node_table(spark: SparkSession, path: str, tag: str, fields: str, key: str = "id bigint") -> DataFrame:
-    """One table of write_node_tables under its schema; ``fields`` and ``key`` are DDL, and keys of the payload outside it are left.
+    """(key, node_path, parent_path, fields): one table of write_node_tables under its schema; ``fields`` and ``key`` are DDL.
 
-    Only the table's own folder is read.
+    Only the table's own folder is read. Keys of the payload outside the schema
+    are left, values of another type are null; a table of which there are no
+    rows is empty.
     """
-    rows = spark.read.schema(f"{key}, node_path string, parent_path string, payload string, table_tag string").parquet(path).filter(F.col("table_tag") == tag).drop("table_tag")
+    rows = read_nodes(spark, path, key).filter(F.col("table_tag") == tag).drop("table_tag")
     if tag == TAG_TABLE:
         return rows.withColumnRenamed("payload", "tag")
     schema = T._parse_datatype_string(fields)

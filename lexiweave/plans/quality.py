@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,23 +59,30 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
     return quarantine.valid_word_senses(quarantine.load_records(table(spark, d, "word_senses_csv")))
 
 
+def _sense_tables(spark: SparkSession, d: str) -> str:
+    """The folder of the flat tables of senses, written in one pass."""
+    scratch = Scratch(spark, "nodes")
+    flatten.write_node_tables(flatten.flatten_nodes(table(spark, d, "senses"), "id", "raw_sense", "raw_tags"), f"{scratch.root}/nodes")
+    return f"{scratch.root}/nodes"
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = flatten.flatten_nodes(table(spark, d, "senses"), "id", "raw_sense", "raw_tags", payloads=False)
-    return nodes.filter(F.col("table_tag") != flatten.BAD_TABLE).select(F.col("id").alias("sense_id"), "parent_path", "node_path")
+    return flatten.read_nodes(spark, _sense_tables(spark, d)).select(F.col("id").alias("sense_id"), "parent_path", "node_path")
 
 
 def p6_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and parents of each flat table."""
-    nodes = flatten.flatten_nodes(table(spark, d, "senses"), "id", "raw_sense", "raw_tags", payloads=False)
-    return nodes.groupBy("table_tag").agg(F.count("*").alias("n_rows"), F.sum((F.col("parent_path") == "").cast("long")).alias("n_top"))
+    """Rows, rows at the root, and values of each flat table under its schema."""
+    path, parts = _sense_tables(spark, d), []
+    for tag, fields in [*flatten.SENSE_TABLES.items(), (flatten.TAG_TABLE, "")]:
+        rows = flatten.read_node_table(spark, path, tag, fields)
+        values = sum((F.count(c) for c in rows.columns[3:]), F.lit(0))
+        parts.append(rows.agg(F.lit(tag).alias("table_tag"), F.count("*").alias("n_rows"), F.count(F.when(F.col("parent_path") == "", 1)).alias("n_top"), values.alias("n_values")))
+    return reduce(DataFrame.unionByName, parts).filter("n_rows > 0")
 
 
 def p6_translations(spark: SparkSession, d: str) -> DataFrame:
-    """One of the flat tables under its schema: the nodes are written by table, and only this table's folder is read."""
-    nodes = flatten.flatten_nodes(table(spark, d, "senses"), "id", "raw_sense", "raw_tags")
-    scratch = Scratch(spark, "nodes")
-    scratch.write(nodes, "nodes", ["table_tag"])
-    return flatten.read_node_table(spark, scratch.paths["nodes"], "translations", "code string, word string, roman string")
+    """One of the flat tables: only its own folder is read."""
+    return flatten.read_node_table(spark, _sense_tables(spark, d), "translations", flatten.SENSE_TABLES["translations"])
 
 
 QUERIES = {
@@ -120,6 +129,26 @@ _PACKED = rf"""SELECT table_name, row_id, generate_subscripts(vs, 1)::INTEGER AS
     SELECT 'raw_entries' AS table_name, row_id, regexp_replace(synonyms, '^{_W}+|{_W}+$', '', 'g') AS t FROM raw_entries
     UNION ALL SELECT 'raw_synsets', row_id, regexp_replace(synonyms, '^{_W}+|{_W}+$', '', 'g') FROM raw_synsets))"""
 
+_ARRAYS = "categories|parents|synonyms|antonyms|derived|related|translations|variants|sounds|examples|form_of|alt_of|coordinate_terms|hyponyms"
+
+
+def _unwrap(j: str) -> str:
+    return f"""CASE json_type({j}) WHEN 'VARCHAR' THEN CASE WHEN json_valid({j} ->> '$') THEN CAST({j} ->> '$' AS JSON) END WHEN 'ARRAY' THEN CASE WHEN json_array_length({j}) = 1 THEN {j} -> 0 END ELSE {j} END"""
+
+
+def _indexed(p: str) -> str:
+    """Names of arrays without an index get the index 0; twice, as neighbours share a point."""
+    for _ in range(2):
+        p = rf"regexp_replace({p}, '(^|\.)({_ARRAYS})(\.|$)', '\1\2[0]\3', 'g')"
+    return p
+
+
+#: Every object below the root, by the path of its own and of the object around it.
+_TREE = rf"""WITH j0 AS (SELECT id, CASE WHEN json_valid(raw_sense) THEN CAST(raw_sense AS JSON) END AS j FROM senses), j1 AS (SELECT id, {_unwrap('j')} AS j FROM j0), j2 AS (SELECT id, {_unwrap('j')} AS j FROM j1),
+j3 AS (SELECT id, {_unwrap('j')} AS j FROM j2), steps AS (SELECT s.id, t.key AS k, t.type AS type, t.value AS value, substr(t.fullkey, 3) AS spot FROM j3 s, json_tree(s.j) t WHERE json_type(s.j) = 'OBJECT' AND t.fullkey <> '$'),
+objects AS (SELECT id, spot, regexp_extract(spot, '([^.\[]*)(?:\[\d+\])*$', 1) AS tag, {_indexed('spot')} AS node_path, {_indexed(r"regexp_replace(spot, '\.?[^.]*$', '')")} AS parent_path, value FROM steps WHERE type = 'OBJECT'),
+tags AS (SELECT id, 'raw_tags[' || (i - 1) || ']' AS node_path, '' AS parent_path FROM (SELECT id, raw_tags, unnest(generate_series(1, len(raw_tags))) AS i FROM senses) WHERE trim(coalesce(raw_tags[i], '')) <> '')"""
+
 SQL = {
     "p3_found": _PACKED,
     "p2_found": f"WITH {_ORPHANS} SELECT ref_table, ref_field, row_id FROM orphans",
@@ -131,5 +160,11 @@ ON t.ref_table = b.ref_table AND t.ref_field = b.ref_field AND t.period IS NOT D
     "p2_ledger": f"""WITH {_REFS} SELECT key, count(*) AS refs FROM refs WHERE key IS NOT NULL
 AND key NOT IN (SELECT key FROM lives WHERE key IS NOT NULL AND born IS NOT NULL AND died IS NULL) GROUP BY key""",
     "p4_loaded": _LOADED,
+    "p6_found": f"{_TREE} SELECT id AS sense_id, parent_path, node_path FROM objects UNION ALL SELECT id, parent_path, node_path FROM tags",
+    "p6_tables": f"""{_TREE}, fields AS (SELECT o.id, o.spot, o.tag, count(f.key) FILTER (f.type NOT IN ('NULL', 'OBJECT') AND NOT (f.type = 'ARRAY' AND len(list_filter(json_extract(f.value, '$[*]'), lambda x: json_type(x) IN ('OBJECT', 'ARRAY'))) > 0)) AS n
+  FROM objects o LEFT JOIN LATERAL (SELECT * FROM json_each(o.value)) f ON true GROUP BY o.id, o.spot, o.tag)
+SELECT tag AS table_tag, count(*) AS n_rows, count(*) FILTER (parent_path = '') AS n_top, CAST(sum(n) AS BIGINT) AS n_values FROM objects JOIN fields USING (id, spot, tag) GROUP BY tag
+UNION ALL SELECT 'raw_tags', count(*), count(*), count(*) FROM tags HAVING count(*) > 0""",
+    "p6_translations": f"""{_TREE} SELECT id, node_path, parent_path, value ->> 'code' AS code, value ->> 'word' AS word, value ->> 'roman' AS roman FROM objects WHERE tag = 'translations'""",
     "p4_found": f"{_CSV} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
 }
