@@ -41,6 +41,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def buckets_for(rows: int, rows_per_bucket: int) -> int:
+    """So many buckets that one holds rows_per_bucket at most on average: a power of two, so that growth seldom changes it."""
+    return 1 << max(0, -(-rows // rows_per_bucket) - 1).bit_length()
+
+
 class Scratch:
     """The written tables of one run of an operator.
 
@@ -53,6 +58,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lexiweave/{name}-{uuid.uuid4().hex[:12]}"
         self.paths: dict[str, str] = {}
+        self.tables: dict[str, str] = {}
         atexit.register(_remove, spark, self.root)
 
     def write(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -64,7 +70,21 @@ class Scratch:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, key: str, buckets: int, parts: str | None = None) -> DataFrame:
+        """Like write, in buckets by the hash of ``key`` and folders by the column ``parts``: a join on the key reads each bucket where it lies.
+
+        Rows should already lie in as many partitions by the key, else each
+        task writes a file for each bucket.
+        """
+        path, own = f"{self.root}/{name}", f"lexiweave_{uuid.uuid4().hex}"
+        w = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path)
+        (w.partitionBy(parts) if parts else w).saveAsTable(own)
+        self.paths[name], self.tables[name] = path, own
+        return self.spark.table(own)
+
     def drop(self, *names: str) -> None:
         for n in names:
+            if n in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(n)}")
             if n in self.paths:
                 _remove(self.spark, self.paths.pop(n))

@@ -2,20 +2,27 @@
 
 References and records are both turned into signed deltas per key. A record
 adds 1 to its key's existence when it is loaded and takes 1 away when it is
-deleted; a reference adds 1 to its key's references. A key with references and
-no existence is an orphan, at the end of a ledger as at any point in time.
+deleted; a reference adds 1 to its key's references. A ledger keeps both
+counts of each key, and batches of deltas are applied to it in order of time.
+A key with references and no existence is an orphan, in the ledger as at any
+point of a batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiweave.durable import Scratch, buckets_for
 from lexiweave.functions.keys import slug_key
-from lexiweave.skew import hot_keys
+from lexiweave.skew import hot_limit
 
-#: Into so many parts the references to a hot key are dealt.
-SALTS = 32
+#: Keys of a ledger's bucket, which one task holds.
+BUCKET_KEYS = 1 << 21
+#: Most batches of one call: their numbers are collected.
+MAX_BATCHES = 10_000
+#: A delta: a reference has its row, a record has none.
+DELTA = ("ref_table", "ref_field", "row_id", "key", "at", "d_ref", "d_exist")
 
 
 def reference_rows(df: DataFrame, ref_table: str, fields: list[str], row_id: str = "id", at: str = "loaded_at") -> DataFrame:
@@ -54,17 +61,17 @@ def existence_deltas(records: DataFrame, key: str = "slug", born: str = "loaded_
 def apply_deltas(ledger: DataFrame | None, deltas: DataFrame) -> DataFrame:
     """The ledger (key, refs, records) after a batch of deltas (key, d_ref, d_exist).
 
-    Keys whose counts are both zero leave the ledger. Sums are combined before
-    the shuffle, so a hot key moves one row a task.
+    Keys whose counts are both zero leave the ledger. The batch is summed
+    before it is shuffled, so a hot key moves one row a task, and only the
+    batch is: the ledger's buckets are read where they lie.
     """
-    new = deltas.select("key", F.col("d_ref").cast("long").alias("refs"), F.col("d_exist").cast("long").alias("records"))
-    if ledger is not None:
-        new = ledger.select("key", "refs", "records").unionByName(new)
-    return (
-        new.groupBy("key")
-        .agg(F.coalesce(F.sum("refs"), F.lit(0)).alias("refs"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"))
-        .filter((F.col("refs") != 0) | (F.col("records") != 0))
-    )
+    new = deltas.groupBy("key").agg(F.coalesce(F.sum("d_ref"), F.lit(0)).cast("long").alias("n_ref"), F.coalesce(F.sum("d_exist"), F.lit(0)).cast("long").alias("n_exist"))
+    if ledger is None:
+        out = new.select("key", F.col("n_ref").alias("refs"), F.col("n_exist").alias("records"))
+    else:
+        count = lambda old, more: F.coalesce(old, F.lit(0)) + F.coalesce(more, F.lit(0))
+        out = ledger.join(new, "key", "full").select("key", count(F.col("refs"), F.col("n_ref")).alias("refs"), count(F.col("records"), F.col("n_exist")).alias("records"))
+    return out.filter((F.col("refs") != 0) | (F.col("records") != 0))
 
 
 def current_orphans(ledger: DataFrame) -> DataFrame:
@@ -72,37 +79,31 @@ def current_orphans(ledger: DataFrame) -> DataFrame:
     return ledger.filter((F.col("refs") > 0) & (F.col("records") <= 0)).select("key", "refs")
 
 
-def orphans_at_load(refs: DataFrame, deltas: DataFrame, total_refs: int) -> DataFrame:
-    """(ref_table, ref_field, row_id, key, at) of the references with no existence at their time.
-
-    ``refs`` is as of reference_rows, ``deltas`` as of existence_deltas;
-    ``total_refs`` sets from how many references a key is hot.
+def batch_orphans(ledger: DataFrame | None, batch: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
+    """(ref_table, ref_field, row_id, key, at) of a batch's references whose key has positive references and no existence at their time.
 
-    The running count of a key is cut into days, each opening with the sum of
-    the days before, and the references to hot keys are dealt to SALTS parts
-    that each see the key's deltas. So no task holds more than a day's rows of
-    a key, or a day's share of a hot key. A delta counts from its own time on.
-    References without a time find nothing and are orphans. Ties and repeated
-    rows count each; no references give no rows; no records make every
-    reference an orphan.
+    ``batch`` has DELTA, ``keys`` its keys with their number of references as
+    (key, n). The running counts of a key are cut into days, each opening with
+    the ledger and the days before, and the references to a key of more than
+    ``limit`` are dealt to as many parts as keep each below it, which all see
+    the key's deltas. So no task holds more than a day's rows of a key, or a
+    part of them.
     """
-    day = lambda c: F.coalesce(F.unix_date(c.cast("date")), F.lit(-(2**31)))
-    hot = F.broadcast(hot_keys(refs, "key", total_refs).select("key", F.lit(True).alias("is_hot")))
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("row_id", "ref_field"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    r = refs.join(hot, "key", "left").select("ref_table", "ref_field", "row_id", "key", "at", day(F.col("at")).alias("day"), salt.alias("salt"))
-    d = deltas.groupBy("key", "at").agg(F.sum("d_exist").alias("d_exist")).withColumn("day", day(F.col("at")))
-
-    by_day = (
-        d.groupBy("key", "day")
-        .agg(F.sum("d_exist").alias("d_exist"))
-        .unionByName(r.select("key", "day").distinct().withColumn("d_exist", F.lit(0).cast("long")))
-        .groupBy("key", "day")
-        .agg(F.sum("d_exist").alias("d_exist"))
-    )
+    day = F.coalesce(F.unix_date(F.col("at").cast("date")), F.lit(1 - 2**31))  # the first day is the ledger's
+    hot = F.broadcast(keys.filter(F.col("n") > limit).select("key", F.ceil(F.col("n") / limit).cast("int").alias("parts")))
+    salt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row_id", "ref_field"), F.col("parts")).cast("int")).otherwise(F.lit(0))
+    r = batch.filter("row_id IS NOT NULL").join(hot, "key", "left").select("ref_table", "ref_field", "row_id", "key", "at", "d_ref", day.alias("day"), salt.alias("salt"))
+    d = batch.filter("row_id IS NULL").groupBy("key", "at").agg(F.sum("d_exist").alias("d_exist")).withColumn("day", day)
+
+    by_day = d.select("key", "day", "d_exist").unionByName(r.select("key", "day").distinct().withColumn("d_exist", F.lit(0).cast("long")))
+    if ledger is not None:
+        held = ledger.filter("records <> 0").select("key", F.lit(-(2**31)).alias("day"), F.col("records").alias("d_exist"))
+        by_day = by_day.unionByName(held)
+    by_day = by_day.groupBy("key", "day").agg(F.sum("d_exist").alias("d_exist"))
     before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     opening = by_day.select("key", "day", F.sum("d_exist").over(before).alias("d_exist")).filter(F.col("d_exist") != 0)
 
-    salts: Column = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    salts = F.when(F.col("parts").isNotNull(), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
     steps = (
         opening.select("key", "day", F.lit(None).cast("timestamp").alias("at"), "d_exist")
         .unionByName(d.select("key", "day", "at", "d_exist"))
@@ -112,12 +113,68 @@ def orphans_at_load(refs: DataFrame, deltas: DataFrame, total_refs: int) -> Data
     rows = r.withColumn("d_exist", F.lit(0).cast("long")).unionByName(steps, allowMissingColumns=True)
     running = Window.partitionBy("key", "day", "salt").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        rows.withColumn("n", F.sum("d_exist").over(running))
-        .filter(F.col("row_id").isNotNull() & ((F.col("n") <= 0) | F.col("at").isNull()))
+        rows.withColumn("records", F.sum("d_exist").over(running))
+        .withColumn("refs", F.sum("d_ref").over(running))
+        .filter(F.col("row_id").isNotNull() & (F.col("refs") > 0) & ((F.col("records") <= 0) | F.col("at").isNull()))
         .select("ref_table", "ref_field", "row_id", "key", "at")
     )
 
 
+class ReferenceLedger:
+    """The signed counts of each key in the shared folder, with the orphans found so far and the references of each period.
+
+    Batches must come in order of time. A delta counts from its own time on.
+    References without a time find nothing and are orphans. Ties and repeated
+    rows count each; no references give no orphans; without records every
+    reference is one.
+    """
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.batches, self.buckets = scratch, 0, 0
+        self.counts: DataFrame | None = None
+        self.found: list[DataFrame] = []
+
+    def apply(self, batch: DataFrame) -> None:
+        """Applies a batch of DELTA; a failed write leaves the ledger as it was."""
+        k, scratch = self.batches, self.scratch
+        sums = batch.groupBy("key").agg(F.sum("d_ref").alias("d_ref"), F.sum("d_exist").alias("d_exist"), F.count("row_id").alias("n"))
+        keys = scratch.write(sums, f"keys{k}")
+        size = keys.agg(F.sum("n").alias("n"), F.count("*").alias("keys")).first()  # one row
+        self.found.append(scratch.write(batch_orphans(self.counts, batch, keys, hot_limit(size["n"] or 0)), f"orphans{k}"))
+        after = apply_deltas(self.counts, keys)
+        buckets = buckets_for(max(size["keys"], self.counts.count() if self.counts is not None else 0), BUCKET_KEYS)
+        if buckets != self.buckets:
+            after, self.buckets = after.repartition(buckets, "key"), buckets
+        self.counts = scratch.write_bucketed(after, f"ledger{k}", "key", buckets)
+        scratch.drop(f"ledger{k - 1}", f"keys{k}")
+        self.batches += 1
+
+    def orphans(self) -> DataFrame:
+        """(ref_table, ref_field, row_id, key, at) of all references that found no existence at their time."""
+        out = self.found[0]
+        for x in self.found[1:]:
+            out = out.unionByName(x)
+        return out
+
+
+def ledger_of(spark, refs: DataFrame, deltas: DataFrame, batch_of=lambda at: F.year(at)) -> ReferenceLedger:
+    """The ledger after all references and existence deltas, applied in batches by ``batch_of`` their time, in its order; those without a time come first.
+
+    ``refs`` is as of reference_rows, ``deltas`` as of existence_deltas.
+    """
+    scratch = Scratch(spark, "references")
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = refs.withColumns({"d_ref": one, "d_exist": zero}).unionByName(deltas.withColumn("d_ref", zero), allowMissingColumns=True).select(*DELTA, F.coalesce(batch_of(F.col("at")).cast("int"), F.lit(-(2**31))).alias("batch"))
+    rows = scratch.write(rows, "deltas", ["batch"])
+    numbers = [x.batch for x in rows.select("batch").distinct().limit(MAX_BATCHES + 1).collect()]
+    if len(numbers) > MAX_BATCHES:
+        raise ValueError(f"more than {MAX_BATCHES} batches")
+    ledger = ReferenceLedger(scratch)
+    for k in sorted(numbers) or [0]:
+        ledger.apply(rows.filter(F.col("batch") == k).drop("batch"))
+    return ledger
+
+
 def orphans_by_period(orphans: DataFrame, refs: DataFrame) -> DataFrame:
     """(ref_table, ref_field, period, n_refs, n_orphans, n_orphan_keys) a month of loading.
 

@@ -12,34 +12,29 @@ from lexiweave.operators import flatten, orphans, packed, quarantine
 from lexiweave.session import table
 
 
-def _references(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+def _references(spark: SparkSession, d: str) -> DataFrame:
     senses, links = table(spark, d, "word_senses"), table(spark, d, "concept_relationships")
-    refs = orphans.reference_rows(senses, "word_senses", ["concept_slug"]).unionByName(
+    return orphans.reference_rows(senses, "word_senses", ["concept_slug"]).unionByName(
         orphans.reference_rows(links, "concept_relationships", ["source_concept_slug", "target_concept_slug"])
     )
-    return refs, senses.count() + 2 * links.count()
+
+
+def _ledger(spark: SparkSession, d: str) -> orphans.ReferenceLedger:
+    return orphans.ledger_of(spark, _references(spark, d), orphans.existence_deltas(table(spark, d, "concepts")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    refs, n = _references(spark, d)
-    deltas = orphans.existence_deltas(table(spark, d, "concepts"))
-    return orphans.orphans_at_load(refs, deltas, n).select("ref_table", "ref_field", "row_id")
+    return _ledger(spark, d).orphans().select("ref_table", "ref_field", "row_id")
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per table, field and month of loading."""
-    refs, n = _references(spark, d)
-    deltas = orphans.existence_deltas(table(spark, d, "concepts"))
-    return orphans.orphans_by_period(orphans.orphans_at_load(refs, deltas, n), refs)
+    return orphans.orphans_by_period(_ledger(spark, d).orphans(), _references(spark, d))
 
 
 def p2_ledger(spark: SparkSession, d: str) -> DataFrame:
     """Keys that are orphans once all deltas are in: late records settle earlier references."""
-    refs, _ = _references(spark, d)
-    deltas = orphans.existence_deltas(table(spark, d, "concepts"))
-    ledger = orphans.apply_deltas(None, refs.select("key", F.lit(1).alias("d_ref"), F.lit(0).alias("d_exist")))
-    ledger = orphans.apply_deltas(ledger, deltas.select("key", F.lit(0).alias("d_ref"), "d_exist"))
-    return orphans.current_orphans(ledger)
+    return orphans.current_orphans(_ledger(spark, d).counts)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -17,10 +17,10 @@ REF = "id long, slug string, loaded_at timestamp, key string, n long"
 CON = "slug string, loaded_at timestamp, deleted_at timestamp, key string"
 
 
-def orphan_ids(spark, refs, concepts, total=10):
+def orphan_ids(spark, refs, concepts, **kw):
     r = orphans.reference_rows(spark.createDataFrame(refs, REF), "t", ["slug"])
     d = orphans.existence_deltas(spark.createDataFrame(concepts, CON))
-    return sorted(x.row_id for x in orphans.orphans_at_load(r, d, total).collect())
+    return sorted(x.row_id for x in orphans.ledger_of(spark, r, d, **kw).orphans().collect())
 
 
 def test_orphans_in_time(spark):
@@ -30,6 +30,9 @@ def test_orphans_in_time(spark):
         (7, None, ts(9), "k", 0), (8, " \n", ts(9), "k", 0), (9, "a", None, "k", 0), (10, "zz", ts(9), "k", 0), (11, "d", ts(3), "k", 0), (12, "d", ts(4), "k", 0), (12, "d", ts(4), "k", 0),
     ]
     assert orphan_ids(spark, refs, concepts) == [1, 5, 6, 9, 10, 12, 12]
+    from pyspark.sql import functions as F
+
+    assert orphan_ids(spark, refs, concepts, batch_of=F.dayofmonth) == [1, 5, 6, 9, 10, 12, 12]
 
 
 def test_orphans_empty_tables(spark):
@@ -42,7 +45,29 @@ def test_orphans_hot_key_is_salted(spark, monkeypatch):
     concepts = [("a", ts(2), ts(4), ""), ("a", ts(6), None, "")]
     refs = [(i, "a", ts(1 + i % 8, i % 24), "", 0) for i in range(200)]
     want = [i for i in range(200) if not (ts(2) <= ts(1 + i % 8, i % 24) < ts(4) or ts(1 + i % 8, i % 24) >= ts(6))]
-    assert orphan_ids(spark, refs, concepts, 200) == want
+    assert orphan_ids(spark, refs, concepts) == want
+
+
+def test_ledger_is_kept_across_batches(spark):
+    from lexiweave.durable import Scratch
+
+    ledger = orphans.ReferenceLedger(Scratch(spark, "t"))
+    schema = "ref_table string, ref_field string, row_id long, key string, at timestamp, d_ref long, d_exist long"
+    ref = lambda i, k, day, n=1: ("t", "f", i, k, ts(day), n, 0)
+    record = lambda k, day, n: (None, None, None, k, ts(day), 0, n)
+    for rows in ([ref(1, "a", 1), record("b", 1, 1)], [ref(2, "b", 2), record("a", 3, 1), ref(3, "a", 4)], [], [record("b", 5, -1), ref(4, "b", 6), ref(5, "b", 7, -1), ref(6, "a", 6)]):
+        ledger.apply(spark.createDataFrame(rows, schema))
+    assert sorted(r.row_id for r in ledger.orphans().collect()) == [1, 4]
+    assert {r.key: (r.refs, r.records) for r in ledger.counts.collect()} == {"a": (3, 1), "b": (1, 0)}
+    assert [(r.key, r.refs) for r in orphans.current_orphans(ledger.counts).collect()] == [("b", 1)]
+
+
+def test_applying_a_batch_does_not_shuffle_the_ledger(spark):
+    from lexiweave.durable import Scratch
+
+    kept = Scratch(spark, "t").write_bucketed(spark.createDataFrame([(f"k{i}", 1, 0) for i in range(50)], "key string, refs long, records long").repartition(8, "key"), "l", "key", 8)
+    plan = orphans.apply_deltas(kept, spark.createDataFrame([("k1", 1, 1)], "key string, d_ref int, d_exist int"))._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan[plan.index("SortMergeJoin") : plan.index("FileScan")]
 
 
 def test_ledger_settles_late_records(spark):
