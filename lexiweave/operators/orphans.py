@@ -58,22 +58,32 @@ def existence_deltas(records: DataFrame, key: str = "slug", born: str = "loaded_
     )
 
 
-def apply_deltas(ledger: DataFrame | None, deltas: DataFrame) -> DataFrame:
-    """The ledger (key, refs, records) after a batch of deltas (key, d_ref, d_exist).
+def batch_sums(deltas: DataFrame) -> DataFrame:
+    """(key, d_ref, d_exist, n): a batch by key, n its references; combined before the shuffle, so a hot key moves one row a task."""
+    n = F.count("row_id") if "row_id" in deltas.columns else F.lit(0)
+    return deltas.groupBy("key").agg(F.coalesce(F.sum("d_ref"), F.lit(0)).cast("long").alias("d_ref"), F.coalesce(F.sum("d_exist"), F.lit(0)).cast("long").alias("d_exist"), n.alias("n"))
+
+
+def apply_sums(ledger: DataFrame | None, sums: DataFrame) -> DataFrame:
+    """The ledger (key, refs, records) after a batch as of batch_sums.
 
-    Keys whose counts are both zero leave the ledger. The batch is summed
-    before it is shuffled, so a hot key moves one row a task, and only the
-    batch is: the ledger's buckets are read where they lie.
+    Keys whose counts are both zero leave the ledger. Where the sums are read
+    from a written table, only they are shuffled: the ledger's buckets are
+    read where they lie.
     """
-    new = deltas.groupBy("key").agg(F.coalesce(F.sum("d_ref"), F.lit(0)).cast("long").alias("n_ref"), F.coalesce(F.sum("d_exist"), F.lit(0)).cast("long").alias("n_exist"))
     if ledger is None:
-        out = new.select("key", F.col("n_ref").alias("refs"), F.col("n_exist").alias("records"))
+        out = sums.select("key", F.col("d_ref").alias("refs"), F.col("d_exist").alias("records"))
     else:
         count = lambda old, more: F.coalesce(old, F.lit(0)) + F.coalesce(more, F.lit(0))
-        out = ledger.join(new, "key", "full").select("key", count(F.col("refs"), F.col("n_ref")).alias("refs"), count(F.col("records"), F.col("n_exist")).alias("records"))
+        out = ledger.join(sums, "key", "full").select("key", count(F.col("refs"), F.col("d_ref")).alias("refs"), count(F.col("records"), F.col("d_exist")).alias("records"))
     return out.filter((F.col("refs") != 0) | (F.col("records") != 0))
 
 
+def apply_deltas(ledger: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """The ledger after a batch of deltas (key, d_ref, d_exist)."""
+    return apply_sums(ledger, batch_sums(deltas))
+
+
 def current_orphans(ledger: DataFrame) -> DataFrame:
     """(key, refs): keys with positive references and no existence."""
     return ledger.filter((F.col("refs") > 0) & (F.col("records") <= 0)).select("key", "refs")
@@ -137,11 +147,11 @@ class ReferenceLedger:
     def apply(self, batch: DataFrame) -> None:
         """Applies a batch of DELTA; a failed write leaves the ledger as it was."""
         k, scratch = self.batches, self.scratch
-        sums = batch.groupBy("key").agg(F.sum("d_ref").alias("d_ref"), F.sum("d_exist").alias("d_exist"), F.count("row_id").alias("n"))
-        keys = scratch.write(sums, f"keys{k}")
+        keys = scratch.write(batch_sums(batch), f"keys{k}")
         size = keys.agg(F.sum("n").alias("n"), F.count("*").alias("keys")).first()  # one row
-        self.found.append(scratch.write(batch_orphans(self.counts, batch, keys, hot_limit(size["n"] or 0)), f"orphans{k}"))
-        after = apply_deltas(self.counts, keys)
+        held = scratch.unbucketed(f"ledger{k - 1}") if k else None
+        self.found.append(scratch.write(batch_orphans(held, batch, keys, hot_limit(size["n"] or 0)), f"orphans{k}"))
+        after = apply_sums(self.counts, keys)
         buckets = buckets_for(max(size["keys"], self.counts.count() if self.counts is not None else 0), BUCKET_KEYS)
         if buckets != self.buckets:
             after, self.buckets = after.repartition(buckets, "key"), buckets

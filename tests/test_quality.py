@@ -65,8 +65,10 @@ def test_ledger_is_kept_across_batches(spark):
 def test_applying_a_batch_does_not_shuffle_the_ledger(spark):
     from lexiweave.durable import Scratch
 
-    kept = Scratch(spark, "t").write_bucketed(spark.createDataFrame([(f"k{i}", 1, 0) for i in range(50)], "key string, refs long, records long").repartition(8, "key"), "l", "key", 8)
-    plan = orphans.apply_deltas(kept, spark.createDataFrame([("k1", 1, 1)], "key string, d_ref int, d_exist int"))._jdf.queryExecution().executedPlan().toString()
+    scratch = Scratch(spark, "t")
+    kept = scratch.write_bucketed(spark.createDataFrame([(f"k{i}", 1, 0) for i in range(50)], "key string, refs long, records long").repartition(2, "key"), "l", "key", 2)
+    sums = scratch.write(orphans.batch_sums(spark.createDataFrame([("k1", 1, 1)], "key string, d_ref int, d_exist int")), "sums")
+    plan = orphans.apply_sums(kept, sums)._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and "Exchange" not in plan[plan.index("SortMergeJoin") : plan.index("FileScan")]
 
 
