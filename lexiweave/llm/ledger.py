@@ -2,25 +2,31 @@
 
 A record's canonical key leaves out letter case, white space, punctuation and
 the order of its parts. The ledger keeps, for each key, the number of copies
-and the earliest one. It lies in buckets by the key's hash: a batch is reduced
-to its own keys, joined in full with the buckets it touches, and only those
-are written again.
+and the earliest one, which is that of the smallest id. It lies in buckets by
+the key's hash: a batch is reduced to its own keys, joined in full with the
+buckets it touches, and only those are written again. Each bucket is cut by
+the key once more, into as many parts as the ledger's size asks for, so that
+the join moves the batch and leaves the ledger where it lies.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.durable import Scratch
+from lexiweave.durable import Scratch, buckets_for
 from lexiweave.skew import hot_limit, skew_join
 
 #: Left out of every key: white space of any kind, punctuation, control characters.
 IGNORED = r"[\s\p{Z}\p{P}\p{Cc}]+"
 #: Where the parts of a definition end.
 PART_ENDS = "[;；]"
-#: Buckets of a ledger. A bucket should fit a task, so the number follows the ledger's size.
-BUCKETS = 64
+#: Buckets of a ledger, which batches touch or not, and keys in a part of one, which one task holds with the same parts of the others.
+BUCKETS, PART_KEYS = 16, 1 << 21
+#: Most batches of one call: their numbers are collected.
+MAX_BATCHES = 10_000
 
 LEDGER_SCHEMA = "key binary, copies long, first_id long, bucket int"
 
@@ -55,13 +61,12 @@ def batch_counts(keyed: DataFrame, row_id: str, buckets: int) -> DataFrame:
 
 def merge(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """The ledger's rows of the buckets the batch touches, after the batch: copies added, the earliest representative kept."""
-    a, b = ledger.alias("a"), batch.alias("b")
-    j = a.join(b, F.expr("a.bucket = b.bucket AND a.key = b.key"), "full")
-    return j.select(
-        F.coalesce("a.key", "b.key").alias("key"),
-        (F.coalesce("a.copies", F.lit(0)) + F.coalesce("b.copies", F.lit(0))).cast("long").alias("copies"),
-        F.least("a.first_id", "b.first_id").alias("first_id"),
-        F.coalesce("a.bucket", "b.bucket").alias("bucket"),
+    new = batch.select("key", F.col("copies").alias("n"), F.col("first_id").alias("f"), F.col("bucket").alias("b"))
+    return ledger.join(new, "key", "full").select(
+        "key",
+        (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("copies"),
+        F.least("first_id", "f").alias("first_id"),
+        F.coalesce("bucket", "b").alias("bucket"),
     )
 
 
@@ -69,44 +74,63 @@ class Ledger:
     """A ledger in the shared folder: one generation of files for each bucket."""
 
     def __init__(self, scratch: Scratch, buckets: int = BUCKETS):
-        self.scratch, self.buckets = scratch, buckets
+        self.scratch, self.buckets, self.parts = scratch, buckets, 0
         self.generation: dict[int, str] = {}
+        self.tables: dict[str, DataFrame] = {}
         self.batches = 0
 
     def read(self, only: list[int] | None = None) -> DataFrame:
         """The ledger, or the given buckets of it; other buckets' files are not opened."""
-        spark = self.scratch.spark
-        by_table: dict[str, list[int]] = {}
+        tables = [self.scratch.unbucketed(name).filter(F.col("bucket").isin(own)).select("key", "copies", "first_id", "bucket") for name, own in self._tables(only).items()]
+        return reduce(DataFrame.unionByName, tables) if tables else self.scratch.spark.createDataFrame([], LEDGER_SCHEMA)
+
+    def _tables(self, only: list[int] | None = None) -> dict[str, list[int]]:
+        out: dict[str, list[int]] = {}
         for bucket, name in self.generation.items():
             if only is None or bucket in only:
-                by_table.setdefault(name, []).append(bucket)
-        out = spark.createDataFrame([], LEDGER_SCHEMA)
-        for name, own in sorted(by_table.items()):
-            part = spark.read.schema(LEDGER_SCHEMA).parquet(self.scratch.paths[name])
-            out = out.unionByName(part.filter(F.col("bucket").isin(own)))
-        return out
+                out.setdefault(name, []).append(bucket)
+        return dict(sorted(out.items()))
+
+    def merged(self, batch: DataFrame, touched: list[int]) -> DataFrame:
+        """The touched buckets after the batch. Each generation is joined by itself, with the batch's rows of its buckets."""
+        tables = self._tables(touched)
+        new = [b for b in touched if b not in self.generation]
+        parts = [merge(self.tables[name].filter(F.col("bucket").isin(own)), batch.filter(F.col("bucket").isin(own))) for name, own in tables.items()]
+        if new or not parts:
+            parts.append(batch.filter(F.col("bucket").isin(new)))
+        return reduce(DataFrame.unionByName, parts)
 
     def add(self, keyed: DataFrame, row_id: str) -> None:
         """Adds a batch. It rewrites only the buckets that the batch touches; a failed write leaves the ledger as it was."""
         name = f"batch{self.batches}"
         batch = self.scratch.write(batch_counts(keyed, row_id, self.buckets), name)
-        touched = sorted(r.bucket for r in batch.select("bucket").distinct().collect())  # at most BUCKETS numbers
+        touched = {r.bucket: r.n for r in batch.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # at most as many as buckets
         if touched:
-            merged = merge(self.read(touched), batch) if self.generation else batch
-            self.scratch.write(merged.repartition("bucket"), f"ledger{self.batches}", ["bucket"])
-            old = {self.generation.get(b) for b in touched}
-            self.generation |= dict.fromkeys(touched, f"ledger{self.batches}")
-            self.scratch.drop(name, *[x for x in old - set(self.generation.values()) if x])
+            merged = self.merged(batch, list(touched))
+            parts = buckets_for(max(sum(touched.values()), self.read().count()), PART_KEYS)
+            if parts != self.parts or len(self._tables(list(touched))) != 1:
+                merged, self.parts = merged.repartition(parts, "key"), parts
+            new = f"ledger{self.batches}"
+            self.tables[new] = self.scratch.write_bucketed(merged, new, "key", parts, "bucket")
+            before = {self.generation.get(b) for b in touched}
+            self.generation |= dict.fromkeys(touched, new)
+            self.scratch.drop(name, *[x for x in before - set(self.generation.values()) if x])
         self.batches += 1
 
 
-def ledger_of(rows: DataFrame, plain: list[str], in_parts: str, row_id: str, batch_of: Column, batches: int) -> tuple[Ledger, DataFrame]:
-    """(ledger, keyed rows) after adding the rows in ``batches`` batches by ``batch_of``, a number from 0."""
+def ledger_of(rows: DataFrame, plain: list[str], in_parts: str, row_id: str, batch_of: Column) -> tuple[Ledger, DataFrame]:
+    """(ledger, keyed rows) after adding the rows in batches by the number ``batch_of``, in its order; those without one come first.
+
+    Records whose ``in_parts`` is null or blank have no key and are no copies.
+    """
     scratch = Scratch(rows.sparkSession, "ledger")
-    keyed = rows.select(F.col(row_id).cast("long").alias("row_id"), canonical_key(plain, in_parts).alias("key"), batch_of.alias("batch"))
+    keyed = rows.select(F.col(row_id).cast("long").alias("row_id"), canonical_key(plain, in_parts).alias("key"), F.coalesce(batch_of.cast("int"), F.lit(-(2**31))).alias("batch"))
     keyed = scratch.write(keyed, "keyed", ["batch"])
+    numbers = [r.batch for r in keyed.select("batch").distinct().limit(MAX_BATCHES + 1).collect()]
+    if len(numbers) > MAX_BATCHES:
+        raise ValueError(f"more than {MAX_BATCHES} batches")
     ledger = Ledger(scratch)
-    for i in range(batches):
+    for i in sorted(numbers):
         ledger.add(keyed.filter(F.col("batch") == i), "row_id")
     return ledger, keyed
 

@@ -40,14 +40,9 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "canonical_lemma", "canonical_normalized_lemma")
 
 
-#: Batches in which the options reach the ledger: by year of serving, the last for those without a time.
-_BATCHES = 4
-
-
 def _options(spark: SparkSession, d: str) -> tuple[ledger.Ledger, DataFrame]:
-    year = F.year("served_at")
-    batch = F.when(year <= 2023, 0).when(year == 2024, 1).when(year >= 2025, 2).otherwise(3)
-    return ledger.ledger_of(table(spark, d, "sense_options"), ["language_code", "word"], "definition", "sense_id", batch, _BATCHES)
+    """The options reach the ledger by the year in which they were served."""
+    return ledger.ledger_of(table(spark, d, "sense_options"), ["language_code", "word"], "definition", "sense_id", F.year("served_at"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

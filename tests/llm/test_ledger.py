@@ -11,7 +11,7 @@ def rows(spark, data):
 
 
 def found(df, batches=3):
-    led, keyed = ledger.ledger_of(df, ["language_code", "word"], "definition", "sense_id", (F.col("sense_id") % batches).cast("int"), batches)
+    led, keyed = ledger.ledger_of(df, ["language_code", "word"], "definition", "sense_id", (F.col("sense_id") % batches).cast("int"))
     return {r.row_id: r.kept_id for r in ledger.collapsed(led, keyed).collect()}, {r.kept_id: r.duplicate_count for r in ledger.copies(led).collect()}
 
 
@@ -52,3 +52,21 @@ def test_only_touched_buckets_are_rewritten(spark):
     assert len(got) == 40 and got[key(3)] == (3, 3)
     led.add(df([]), "row_id")
     assert led.read().count() == 40
+
+
+def test_the_ledger_is_not_shuffled(spark):
+    df = spark.createDataFrame([(i, bytes([i]) * 16) for i in range(40)], "row_id long, key binary")
+    led = ledger.Ledger(Scratch(spark, "t"), 4)
+    led.add(df, "row_id")
+    plan = led.merged(led.scratch.write(ledger.batch_counts(df, "row_id", 4), "b"), [0, 1, 2, 3])._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan[plan.index("SortMergeJoin") : plan.index("FileScan")]
+
+
+def test_parts_follow_the_size(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "PART_KEYS", 4)
+    got, counts = found(rows(spark, [("en", "w", f"x{i % 30}") for i in range(90)]))
+    assert len(got) == 60 and set(counts.values()) == {3}
+    led = ledger.Ledger(Scratch(spark, "t"), 4)
+    for n in (8, 30):
+        led.add(spark.createDataFrame([(i, bytes([i]) * 16) for i in range(n)], "row_id long, key binary"), "row_id")
+    assert led.parts == 8 and led.read().count() == 30
