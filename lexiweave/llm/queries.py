@@ -82,6 +82,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.actual_shares(*_mixes(spark, d))
 
 
+def p9_caps(spark: SparkSession, d: str) -> DataFrame:
+    """The targets of each mix, the documents of each source, and whether the mix keeps to the repeats."""
+    shares = mixing.actual_shares(*_mixes(spark, d))
+    return shares.select("mix_name", "source", "target_share", "max_repeats", "source_docs", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"))
+
+
 def _languages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(documents with the code of their label, their segments)."""
     rows = langid.language_rows(table(spark, d, "languages"))
@@ -109,7 +115,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_sizes, p5_found, p5_canonical, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_mix, p9_shares, p10_found, p10_segments, p10_documents)
+    for f in (p1_found, p1_sizes, p5_found, p5_canonical, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_mix, p9_shares, p9_caps, p10_found, p10_segments, p10_documents)
 }
 
 
@@ -152,6 +158,8 @@ SQL = {
     "p1_sizes": f"{_GROUPS}, sized AS (SELECT group_slug, count(*) AS n_members FROM found GROUP BY 1) SELECT n_members, count(*) AS n_groups FROM sized GROUP BY 1",
     "p5_found": "WITH " + ", ".join(f"k_{f} AS (SELECT id, language_id, {f}, {_look(f)} AS look FROM lexemes)" for f in ("lemma", "normalized_lemma"))
     + f" {_look_pairs('lemma')} UNION ALL {_look_pairs('normalized_lemma')}",
+    "p9_caps": """WITH t AS (SELECT mix_name, source, min({'s': target_share, 'r': max_repeats::BIGINT}) AS t FROM mix_targets WHERE mix_name IS NOT NULL AND source IS NOT NULL AND target_share > 0 AND max_repeats > 0 GROUP BY ALL)
+SELECT mix_name, source, t.s AS target_share, t.r AS max_repeats, (SELECT count(*) FROM documents d WHERE d.source = t.source AND d.text <> '') AS source_docs, true AS within_repeats FROM t""",
     "p7_found": f"{_OPTION_KEYS} SELECT kept_sense_id, sense_id FROM kept WHERE sense_id <> kept_sense_id",
     "p7_counts": f"{_OPTION_KEYS} SELECT DISTINCT kept_sense_id AS sense_id, n AS duplicate_count FROM kept",
 }

@@ -29,9 +29,11 @@ def test_shares_and_caps(spark):
     assert chosen.filter("repeats < 1").count() == 0
 
 
-def test_positions_are_one_to_n(spark):
+def test_positions_are_one_to_n(spark, monkeypatch):
     docs = corpus({"a": 700, "b": 3})
-    p = mixing.positions(spark.createDataFrame([(*x, "") for x in docs], DOCS).repartition(7), "doc_id", "source", "n_tokens").collect()
+    sizes = spark.createDataFrame([("a", 700), ("b", 3)], "source string, source_docs long")
+    monkeypatch.setattr(mixing, "PART_DOCS", 100)
+    p = mixing.positions(spark.createDataFrame([(*x, "") for x in docs], DOCS).repartition(7), "doc_id", "source", "n_tokens", sizes).collect()
     assert sorted(r.pos for r in p if r.source == "a") == list(range(1, 701))
     assert sorted(r.pos for r in p if r.source == "b") == [1, 2, 3]
 
@@ -59,3 +61,25 @@ def test_total_can_be_less(spark):
     docs = corpus({"a": 3000, "b": 3000})
     _, got = mix(spark, docs, [("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], total_tokens=100_000)
     assert abs(sum(r.n_tokens for r in got.values()) - 100_000) < 2_000
+
+
+def test_scarce_sources_fall_short_of_a_given_total(spark):
+    docs = corpus({"a": 2000, "b": 20})
+    _, got = mix(spark, docs, [("m", "a", 0.5, 2), ("m", "b", 0.4, 3), ("m", "none", 0.1, 1)], total_tokens=200_000)
+    assert abs(got["m", "a"].n_tokens - 100_000) < 500 and got["m", "a"].short_tokens == 0
+    assert got["m", "b"].n_copies == 60 and abs(got["m", "b"].short_tokens + got["m", "b"].n_tokens - 80_000) < 1
+    assert got["m", "none"].short_tokens == 20_000
+
+
+def test_shares_of_the_test_data(spark):
+    """Every source with documents has its share of the tokens of those sources."""
+    from lexiweave.llm import queries
+
+    rows = queries.p9_shares(spark, "/root/testdata/sf0.1").collect()
+    whole = {}
+    for r in rows:
+        if r.source_docs:
+            whole[r.mix_name] = whole.get(r.mix_name, 0) + r.target_share
+    for r in rows:
+        assert abs(r.actual_share - (r.target_share / whole[r.mix_name] if r.source_docs else 0)) < 0.01, r
+        assert r.most_repeats <= r.max_repeats
