@@ -13,8 +13,6 @@ aggregation and integer joins.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +38,29 @@ def _distinct(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _key(k: int) -> tuple[int, int]:
-    """(number, turn) of a round."""
-    return int.from_bytes(hashlib.blake2b(str(k).encode(), digest_size=8).digest(), "little", signed=True), 1 + 11 * k % 63
+#: Steps of the mixing, each of which hashes one half of a number into the other.
+STEPS = 3
+_HALF = (1 << 32) - 1
+
+
+def _joined(high: Column, low: Column) -> Column:
+    return F.shiftleft(high, 32).bitwiseOR(low)
 
 
 def _mixed(c: Column, k: int) -> Column:
-    r, s = _key(k)
-    x = c.bitwiseXOR(F.lit(r))
-    return F.shiftleft(x, s).bitwiseOR(F.shiftrightunsigned(x, 64 - s))
+    """A number in the order of round k: its halves are hashed into one another, which is one to one."""
+    high, low = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(_HALF))
+    for j in range(STEPS):
+        high, low = low, high.bitwiseXOR(F.xxhash64(low, F.lit(k * STEPS + j)).bitwiseAND(F.lit(_HALF)))
+    return _joined(high, low)
 
 
 def _unmixed(c: Column, k: int) -> Column:
-    r, s = _key(k)
-    return F.shiftrightunsigned(c, s).bitwiseOR(F.shiftleft(c, 64 - s)).bitwiseXOR(F.lit(r))
+    """The number of which _mixed made ``c``."""
+    high, low = F.shiftrightunsigned(c, 32), c.bitwiseAND(F.lit(_HALF))
+    for j in reversed(range(STEPS)):
+        high, low = low.bitwiseXOR(F.xxhash64(high, F.lit(k * STEPS + j)).bitwiseAND(F.lit(_HALF))), high
+    return _joined(high, low)
 
 
 def vertex_hash(name: Column) -> Column:
@@ -108,7 +115,7 @@ def contract(pairs: DataFrame, a: str, b: str, scratch: Scratch) -> DataFrame:
         if k >= MAX_ROUNDS:
             raise RuntimeError(f"{n} edges left after {k} rounds")
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))).alias("e")).select("e.v", "e.w")
-        best = both.groupBy("v").agg(F.min(_mixed(F.col("w"), k)).alias("m"), F.count("*").alias("degree"))
+        best = both.select("v", _mixed(F.col("w"), k).alias("m")).groupBy("v").agg(F.min("m").alias("m"), F.count("*").alias("degree"))
         rep = _unmixed(F.least(F.col("m"), _mixed(F.col("v"), k)), k)
         mapping = best.select("v", rep.alias("rep"), (F.col("degree") >= hot_limit(2 * n)).alias("hot"))
         mapping = scratch.write(mapping.filter("v <> rep OR hot"), f"map{k}")
