@@ -26,18 +26,24 @@ def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
     return groups.groupBy("n_members").agg(F.count("*").alias("n_groups"))
 
 
+_LOOKS = ["lemma", "normalized_lemma"]
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    lexemes = table(spark, d, "lexemes")
-    parts = [lookalike.look_pairs(lexemes, "language_id", f, "id") for f in ("lemma", "normalized_lemma")]
-    return parts[0].unionByName(parts[1]).select("field", F.col("id_a").alias("lexeme_id_a"), F.col("id_b").alias("lexeme_id_b"))
+    pairs = lookalike.look_pairs(table(spark, d, "lexemes"), "language_id", _LOOKS, "id")
+    return pairs.select("field", F.col("id_a").alias("lexeme_id_a"), F.col("id_b").alias("lexeme_id_b"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The values that look like another one, each with the canonical form of its class and the counts of both."""
+    classes = lookalike.look_classes(table(spark, d, "lexemes"), "language_id", _LOOKS, Scratch(spark, "looks"))
+    return classes.filter("n_forms > 1").withColumnRenamed("scope", "language_id")
 
 
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Each lexeme with both texts in their canonical forms."""
-    out = table(spark, d, "lexemes").select("id", "language_id", "lemma", "normalized_lemma")
-    for f in ("lemma", "normalized_lemma"):
-        out = lookalike.unify(out, "language_id", f, f"canonical_{f}")
-    return out.select("id", "canonical_lemma", "canonical_normalized_lemma")
+    rows = table(spark, d, "lexemes").select("id", "language_id", *_LOOKS)
+    return lookalike.unify(rows, "language_id", _LOOKS).select("id", "canonical_lemma", "canonical_normalized_lemma")
 
 
 def _options(spark: SparkSession, d: str) -> tuple[ledger.Ledger, DataFrame]:
@@ -115,7 +121,7 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_sizes, p5_found, p5_canonical, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_mix, p9_shares, p9_caps, p10_found, p10_segments, p10_documents)
+    for f in (p1_found, p1_sizes, p5_found, p5_classes, p5_canonical, p7_found, p7_counts, p8_ids, p8_roundtrip, p9_mix, p9_shares, p9_caps, p10_found, p10_segments, p10_documents)
 }
 
 
@@ -134,11 +140,21 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: Look-alikes as they are found in dictionaries, and what they look like; characters in order of their scripts.
+_ALIKE = ("асеорхуіѕјһԁԛԝӏАВЕЅІЈКМНОРСТХУονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧكىيヘベペ", "aceopxyisjhdqwlABESIJKMHOPCTXYovpABEZHIKMNOPTYXکییへべぺ")
+
+
+def _chars(*ranges: tuple[int, int]) -> str:
+    return "".join(chr(c) for a, b in ranges for c in range(a, b))
+
+
 def _look(c: str) -> str:
-    for k, v in lookalike.LIGATURES.items():
+    """Composed, with ligatures spelt, look-alikes and full-width forms mapped, and what shows nothing left out."""
+    for k, v in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
         c = f"replace({c}, '{k}', '{v}')"
-    m = lookalike.character_map()
-    source, target = "".join(m) + lookalike.INVISIBLE + lookalike.JOINERS, "".join(m.values())
+    spaces, hidden = _chars((0xA0, 0xA1), (0x2000, 0x200B), (0x202F, 0x2030), (0x205F, 0x2060), (0x3000, 0x3001)), _chars((0xAD, 0xAE), (0x34F, 0x350), (0x61C, 0x61D), (0x180B, 0x180F), (0x200B, 0x2010), (0x202A, 0x202F), (0x2060, 0x2070), (0xFEFF, 0xFF00))
+    source = _ALIKE[0] + _chars((0xFF01, 0xFF5F)) + spaces + "‐‑‒" + hidden
+    target = _ALIKE[1] + _chars((0x21, 0x7F)) + " " * len(spaces) + "---"
     return f"nfc_normalize(translate(nfc_normalize({c}), {_quoted(source)}, {_quoted(target)}))"
 
 
@@ -153,7 +169,14 @@ _OPTION_KEYS = f"""WITH keyed AS (SELECT sense_id, {_BARE.format('language_code'
   FROM sense_options WHERE regexp_replace(definition, '[\\s\\p{{Z}}\\x1c-\\x1f\\x85]+', '', 'g') <> ''),
 kept AS (SELECT sense_id, min(sense_id) OVER (PARTITION BY l, w, d) AS kept_sense_id, count(*) OVER (PARTITION BY l, w, d) AS n FROM keyed)"""
 
+_LOOK_FIELDS = "(" + " UNION ALL ".join(f"SELECT '{f}' AS field, id, language_id, {f} AS value, {_look(f)} AS look FROM lexemes WHERE {f} IS NOT NULL" for f in ("lemma", "normalized_lemma")) + ")"
+_LOOK_CLASSES = f"""WITH counts AS (SELECT field, language_id, value, look, count(*) AS n_rows FROM {_LOOK_FIELDS} GROUP BY ALL),
+classes AS (SELECT *, first_value(value) OVER (PARTITION BY field, language_id, look ORDER BY n_rows DESC, value) AS canonical, count(*) OVER (PARTITION BY field, language_id, look) AS n_forms FROM counts)"""
 SQL = {
+    "p5_classes": f"{_LOOK_CLASSES} SELECT field, language_id, value, canonical, n_rows, n_forms FROM classes WHERE n_forms > 1",
+    "p5_canonical": f"""{_LOOK_CLASSES} SELECT x.id, a.canonical AS canonical_lemma, b.canonical AS canonical_normalized_lemma FROM lexemes x
+  LEFT JOIN classes a ON a.field = 'lemma' AND a.value = x.lemma AND a.language_id IS NOT DISTINCT FROM x.language_id
+  LEFT JOIN classes b ON b.field = 'normalized_lemma' AND b.value = x.normalized_lemma AND b.language_id IS NOT DISTINCT FROM x.language_id""",
     "p1_found": f"{_GROUPS} SELECT * FROM found",
     "p1_sizes": f"{_GROUPS}, sized AS (SELECT group_slug, count(*) AS n_members FROM found GROUP BY 1) SELECT n_members, count(*) AS n_groups FROM sized GROUP BY 1",
     "p5_found": "WITH " + ", ".join(f"k_{f} AS (SELECT id, language_id, {f}, {_look(f)} AS look FROM lexemes)" for f in ("lemma", "normalized_lemma"))
