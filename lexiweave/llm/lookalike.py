@@ -130,6 +130,16 @@ def look_key(spark: SparkSession, c: Column | str) -> Column:
     return F.when(text.rlike(r"^[\x20-\x7e]*$"), text).otherwise(mapped)
 
 
+def collation_key(spark: SparkSession, c: Column) -> Column:
+    """The bytes by which the UNICODE collation compares a text, so that they are found once and not in every comparison.
+
+    Catalyst puts this expression into groupings and joins of collated
+    columns; it has no function of its own.
+    """
+    utils = spark._jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return Column(utils.column(spark._jvm.org.apache.spark.sql.catalyst.expressions.CollationKey(utils.expression(F.collate(c, "UNICODE")._jc))))
+
+
 def look_classes(df: DataFrame, scope: str, fields: list[str], scratch: Scratch) -> DataFrame:
     """(field, scope, value, canonical, n_rows, n_forms): the distinct values of each field with the canonical member of their class.
 
@@ -142,7 +152,7 @@ def look_classes(df: DataFrame, scope: str, fields: list[str], scratch: Scratch)
     values = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     rows = df.select(F.col(scope).alias("scope"), values.alias("v")).select("v.field", "scope", "v.value").filter("value IS NOT NULL")
     counts = rows.groupBy("field", "scope", "value").agg(F.count("*").alias("n_rows"))
-    keyed = scratch.write(counts.withColumn("look", look_key(df.sparkSession, "value")), "keyed").withColumn("look", F.expr("look COLLATE UNICODE"))
+    keyed = scratch.write(counts.withColumn("look", collation_key(df.sparkSession, look_key(df.sparkSession, "value"))), "keyed")
     classes = keyed.groupBy("field", "scope", "look").agg(F.min(F.struct((-F.col("n_rows")).alias("n"), F.col("value").alias("value"))).alias("first"), F.count("*").alias("n_forms"))
     k, c = keyed.alias("k"), classes.alias("c")
     on = F.expr("k.field = c.field AND k.scope <=> c.scope AND k.look = c.look")
