@@ -82,9 +82,14 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def units(sentence: str) -> list[str]:
-    """The runs of letters of a sentence without mark-up, each behind a space."""
-    return [" " + w for w in _WORD.findall(plain(_MARKUP.sub(" ", sentence)))]
+def words(sentence: str) -> list[str]:
+    """The runs of letters of a sentence without mark-up."""
+    return _WORD.findall(_MARKUP.sub(" ", sentence) if "<" in sentence else sentence)
+
+
+def unit(word: str) -> str:
+    """A run of letters as it is scored: in plain form behind a space."""
+    return " " + plain(word)
 
 
 def words_in(unit: str) -> float:
@@ -205,17 +210,19 @@ def _by_length(words: list[str], letters: int = 200_000) -> Iterator[list[str]]:
 class Model:
     """Piece probabilities of each language; the size is that of the vocabulary times the languages.
 
-    Words scored so far are kept: their rows in ``table`` by word.
+    Words scored so far are kept: their units, and the units' rows in ``table``.
     """
 
     languages: list[str]
     vocabulary: str
     prob: np.ndarray
     rows: dict[str, int] = field(default_factory=dict)
+    spelt: dict[str, str] = field(default_factory=dict)
     table: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
 
     def forget(self) -> None:
         self.rows.clear()
+        self.spelt.clear()
 
     def learn(self, groups: Iterable[tuple[list[str], np.ndarray]]) -> None:
         """Scores words, given by length with their lattices.
@@ -242,12 +249,10 @@ class Model:
             self.rows.update(zip(group, range(at, at + len(group)), strict=True))
 
     def gains(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(what each sentence says for each language, its number of words): sums over its words. A sentence is a list of words that is not empty."""
+        """(what each sentence says for each language, its number of words): sums over its units. A sentence is a list of units that is not empty."""
         if not found:
             return np.empty((0, len(self.languages))), np.empty(0)
         words = [w for ws in found for w in ws]
-        if len(self.rows) > CACHE_WORDS:
-            self.forget()
         pieces = _vocabulary(self.vocabulary)
         self.learn((group, pieces.lattice(group)) for group in _by_length([w for w in dict.fromkeys(words) if w not in self.rows]))
         index = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
@@ -261,12 +266,18 @@ class Model:
         for t in texts if self.languages else ():
             n = len(spans)
             for a, b in sentences(t) if t else ():
-                u = units(t[a:b])
-                if u:
+                ws = words(t[a:b])
+                if ws:
                     spans.append((a, b))
-                    found.append(u)
+                    found.append(ws)
             per.append((n, len(spans)))
-        gain, size = self.gains(found)
+        if max(len(self.rows), len(self.spelt)) > CACHE_WORDS:
+            self.forget()
+        spelt = self.spelt
+        for w in {w for ws in found for w in ws}:
+            if w not in spelt:
+                spelt[w] = unit(w)
+        gain, size = self.gains([[spelt[w] for w in ws] for ws in found])
         best = gain.argmax(1) if len(gain) else gain
         out = [[] for _ in texts] if not self.languages else []
         for a, b in per:
@@ -341,7 +352,7 @@ def fit(labelled: list[tuple[str, str]], languages: list[tuple[str, str | None]]
     codes = [c for c, _ in languages]
     number = {c: i for i, c in enumerate(codes)}
     scripts = dict(languages)
-    told = [(u, number[c]) for t, c in labelled if c in number for a, b in sentences(t) if (u := units(t[a:b])) and _in_script(u, scripts[c])]
+    told = [(u, number[c]) for t, c in labelled if c in number for a, b in sentences(t) if (u := [unit(w) for w in words(t[a:b])]) and _in_script(u, scripts[c])]
     said, of = [u for u, _ in told], np.array([k for _, k in told], np.int64)
     prior = _prior(languages, pieces.number)
     model = Model(codes, path, np.vstack([prior, np.zeros((1, len(codes)))]))
