@@ -29,9 +29,18 @@ def _list(xs: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-# ---- names
+# ---- names; the patterns of the SQL are its own
 
-_KIND = f"CASE WHEN t = '' THEN 'OTHER' WHEN regexp_matches(t, '{names.FORM_OF}') THEN 'FORM_OF' " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{k}'" for k, p in names.KINDS) + " ELSE 'OTHER' END"
+_PLACE = "(?:city|town|village|hamlet|river|mountain|lake|island|state|province|country|county|region|district|commune|municipality|borough|suburb|neighborhood|neighbourhood|census-designated place|unincorporated|placename|place name|place-name|locality|locale|civil parish|parish|prefecture|ward|settlement|community|ghost town|local government area)"
+_KIND = rf"""CASE WHEN t = '' THEN 'OTHER'
+ WHEN regexp_matches(t, '(?i)^(?:(?:nomin|genit|accus|vocat|locat)(?:a?t)?ive|dative|ablative|instrumental|oblique)\b.{{0,40}}\bof\b') OR regexp_matches(t, '(?i)^(?:alternative|variant|obsolete|archaic) (?:form|spelling) of\b')
+   OR regexp_matches(t, '(?i)\b(?:singular|plural|definite|indefinite) of\b') OR regexp_matches(t, '(?i)^(?:inflection|romanization|transliteration) of\b') THEN 'FORM_OF'
+ WHEN regexp_matches(t, '(?i)\b(?:(?:given|first) name|forename)\b') OR regexp_matches(t, '(?i)^an? (?:male|female|unisex|masculine|feminine) name\b') THEN 'GIVEN'
+ WHEN regexp_matches(t, '(?i)\b(?:surname|(?:family|last) name)\b') THEN 'SURNAME'
+ WHEN regexp_matches(t, '(?i)\b[pm]atronymic\b') THEN 'PATRONYMIC'
+ WHEN regexp_matches(t, '(?i)^an? (?:[a-z-]+ ){{0,3}}{_PLACE}\b') OR regexp_matches(t, '(?i)^an? place (?:in|of)\b') OR regexp_matches(t, '(?i)^a number of places\b') OR regexp_matches(t, '(?i)^the capital (?:city )?of\b')
+   OR regexp_matches(t, '(?i)\((?:an?|the) {_PLACE}\b') THEN 'PLACE' ELSE 'OTHER' END"""
+_TAGGED = "list_has_any(list_transform(coalesce(raw_tags, []), lambda x: lower(trim(x))), ['form-of', 'alt-of', 'alternative'])"
 
 
 @R.query(f"""WITH d AS (SELECT doc_id, doc_kind, {_trim("coalesce(text, '')")} AS t FROM documents) SELECT doc_id, {_KIND} AS name_type FROM d""")
@@ -40,54 +49,121 @@ def name_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", names.name_type(F.col("text")).alias("name_type"))
 
 
-@R.query(f"""WITH s AS (SELECT id AS sense_id, {_trim("coalesce(definition, '')")} AS t, raw_tags FROM senses), k AS (SELECT sense_id, CASE WHEN t = '' THEN 'OTHER' WHEN list_has_any(list_transform(coalesce(raw_tags, []), lambda x: lower(trim(x))), {_list(names.FORM_TAGS)}) THEN 'FORM_OF' ELSE {_KIND} END AS kind FROM s)
+@R.query(f"""WITH s AS (SELECT id AS sense_id, {_trim("coalesce(definition, '')")} AS t, raw_tags FROM senses), k AS (SELECT sense_id, CASE WHEN t <> '' AND {_TAGGED} THEN 'FORM_OF' ELSE {_KIND} END AS kind FROM s)
 SELECT kind, count(*) AS n FROM k GROUP BY kind""")
 def name_census(spark: SparkSession, d: str) -> DataFrame:
     """Senses by kind of name."""
     return table(spark, d, "senses").groupBy(names.name_type(F.col("definition"), F.col("raw_tags")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-def meanings(spark: SparkSession, d: str) -> DataFrame:
-    quoted = F.regexp_extract("definition", r"[\"“«]([^\"”»]{1,80})[\"”»]", 1)
-    named = F.regexp_extract("definition", r"(?i)\bname given to ([^;.]{1,120})", 1)
-    channel, meaning = names.first_meaning([("MARKED", F.when(quoted != "", quoted)), ("GIVEN_TO", F.when(named != "", named)), ("ETYMOLOGY", names.etymology_meaning(F.col("etymology_text")))])
-    return table(spark, d, "senses").select(F.col("id").alias("sense_id"), "lexeme_id", channel.alias("channel"), meaning.alias("meaning"))
-
-
-_MEANINGS = rf"""c AS (SELECT id AS sense_id, lexeme_id, nullif(regexp_extract(definition, '[\"“«]([^\"”»]{{1,80}})[\"”»]', 1), '') AS a, nullif(regexp_extract(definition, '(?i)\bname given to ([^;.]{{1,120}})', 1), '') AS b, regexp_extract(etymology_text, '(?s)^(.*?[.!?])(?:\s|$)', 1) AS s FROM senses),
-e AS (SELECT *, {_trim(r"regexp_extract(s, '(?s),\s*([^,]{1,80}?)[.!?]*$', 1)")} AS span FROM c), f AS (SELECT sense_id, lexeme_id, a, b, CASE WHEN regexp_matches(s, '{names.ANCHOR}') AND NOT regexp_matches(span, '{names.BOILERPLATE}') AND span <> '' THEN span END AS ety FROM e),
-fit AS (SELECT sense_id, lexeme_id, CASE WHEN length({_trim('a')}) BETWEEN 1 AND 400 AND regexp_matches(a, '\p{{L}}') THEN {_trim('a')} END AS a, CASE WHEN length({_trim('b')}) BETWEEN 1 AND 400 AND regexp_matches(b, '\p{{L}}') THEN {_trim('b')} END AS b, CASE WHEN regexp_matches(ety, '\p{{L}}') THEN ety END AS ety FROM f),
-m AS (SELECT sense_id, lexeme_id, CASE WHEN a IS NOT NULL THEN 'MARKED' WHEN b IS NOT NULL THEN 'GIVEN_TO' WHEN ety IS NOT NULL THEN 'ETYMOLOGY' END AS channel, coalesce(a, b, ety) AS meaning FROM fit)"""
+def name_senses(spark: SparkSession, d: str) -> DataFrame:
+    """The senses of names with their language."""
+    x = table(spark, d, "lexemes").filter("part_of_speech = 'name'").select(F.col("id").alias("lexeme_id"), "language_id", "normalized_lemma", "romanization")
+    g = F.broadcast(table(spark, d, "languages").select(F.col("id").alias("language_id"), F.col("name").alias("language"), F.col("code").alias("language_code")))
+    return table(spark, d, "senses").join(x, "lexeme_id").join(g, "language_id", "left")
+
+
+_NAME_KINDS = rf"""s AS (SELECT s.id AS sense_id, s.lexeme_id, x.language_id, x.normalized_lemma, x.romanization, g.name AS language, g.code AS language_code, s.raw_tags, s.categories, coalesce(s.definition, '') AS d, s.etymology_text, {_trim("coalesce(s.definition, '')")} AS t
+  FROM senses s JOIN lexemes x ON x.id = s.lexeme_id LEFT JOIN languages g ON g.id = x.language_id WHERE x.part_of_speech = 'name'),
+cats AS (SELECT sense_id, lower(language) || ' ' AS begin, lower(trim(regexp_replace(CASE WHEN c LIKE '{{%' THEN regexp_extract(c, '''name'': [''"](.*?)[''"][,}}]', 1) ELSE c END, '\s+', ' ', 'g'))) AS c FROM (SELECT sense_id, language, unnest(categories) AS c FROM s)),
+rest AS (SELECT sense_id, substr(c, length(begin) + 1) AS r FROM cats WHERE starts_with(c, begin)),
+told AS (SELECT sense_id, r, regexp_extract(r, '((?:pa|ma)tronymic surnames|given names|forenames|surnames|family names|nomina gentilia|(?:pa|ma)tronymics)(?: (?:from|of|in|derived from)\b.*)?$', 1) AS k FROM rest
+  WHERE regexp_full_match(r, '(?:(?:possessive|male|masculine|female|feminine|unisex|epicene) )*(?:(?:pa|ma)tronymic surnames|given names|forenames|surnames|family names|nomina gentilia|(?:pa|ma)tronymics)(?: (?:from|of|in|derived from)\b.*)?')
+    OR regexp_full_match(r, '(?:renderings|diminutives|augmentatives) of (?:[^ ]+ )*(?:(?:pa|ma)tronymic surnames|given names|forenames|surnames|family names|nomina gentilia|(?:pa|ma)tronymics)')),
+hits AS (SELECT sense_id, CASE WHEN k LIKE '%tronymic%' THEN 2 WHEN k IN ('given names', 'forenames') THEN 0 ELSE 1 END AS k, CASE WHEN regexp_matches(r, '\b(?:female|feminine)\b') THEN 'f' WHEN regexp_matches(r, '\b(?:male|masculine)\b') THEN 'm' WHEN regexp_matches(r, '\b(?:unisex|epicene)\b') THEN 'x' ELSE 'u' END AS g FROM told),
+best AS (SELECT sense_id, min(k) AS k, bool_or(k = 1) AS has_surname FROM hits GROUP BY sense_id),
+bestg AS (SELECT b.sense_id, b.k, b.has_surname, list_distinct(list(h.g) FILTER (WHERE h.g <> 'u')) AS gs FROM best b JOIN hits h ON h.sense_id = b.sense_id AND h.k = b.k GROUP BY ALL),
+heads AS (SELECT *, regexp_extract(lower(d), '\b(female|feminine|male|masculine|unisex|epicene)\s+(?:\w+\s+){{0,2}}?(?:given\s+name|surname|family\s+name|patronymic|matronymic|name)\b', 1) AS w,
+  regexp_matches(d, '(?i)\b(?:male\s+(?:or|and)\s+female|female\s+(?:or|and)\s+male|common[- ]gender)\b') AS pair, CASE WHEN t <> '' AND {_TAGGED} THEN 'FORM_OF' ELSE {_KIND} END AS by_gloss FROM s),
+kinds AS (SELECT h.*, coalesce(CASE b.k WHEN 0 THEN 'GIVEN' WHEN 1 THEN 'SURNAME' WHEN 2 THEN 'PATRONYMIC' END, by_gloss) AS k, b.has_surname AND b.k <> 1 AS flagged,
+  CASE len(coalesce(b.gs, [])) WHEN 0 THEN CASE WHEN pair THEN 'x' WHEN w LIKE 'f%' THEN 'f' WHEN w LIKE 'm%' THEN 'm' WHEN w <> '' THEN 'x' ELSE 'u' END WHEN 1 THEN b.gs[1] ELSE 'x' END AS g FROM heads h LEFT JOIN bestg b USING (sense_id)),
+named AS (SELECT sense_id, lexeme_id, language_id, language_code, normalized_lemma, romanization, d, etymology_text, CASE WHEN by_gloss = 'FORM_OF' THEN 'FORM_OF' ELSE k END AS kind, CASE WHEN by_gloss = 'FORM_OF' THEN 'u' ELSE g END AS gender,
+  by_gloss <> 'FORM_OF' AND (coalesce(flagged, false) OR (k IN ('GIVEN', 'PATRONYMIC') AND regexp_matches(d, '(?i)\b(?:(?:given|first) name|forename)\b|^an? (?:male|female|unisex|masculine|feminine) name\b') AND regexp_matches(d, '(?i)\b(?:surname|(?:family|last) name)\b'))) AS also_surname FROM kinds)"""
+
+
+def _meaning(gloss: str, etymology: str, code: str, rows: str, keep: str) -> str:
+    """CTEs up to m(keep, channel, meaning)."""
+    mark = """(?i:meaning|literally|lit\\.)\\s*["“''‘«]([^"”''’»]{1,80})["”''’»]"""
+    clean = lambda c: rf"""regexp_replace(trim(regexp_replace({c}, '\s+', ' ', 'g')), '^[ ,;:.]+|[ ,;:.]+$', '', 'g')"""
+    fits = lambda c: rf"CASE WHEN length({c}) BETWEEN 1 AND 400 AND regexp_matches({c}, '\p{{L}}') THEN {c} END"
+    return rf"""q0 AS (SELECT {keep}, {gloss} AS gl, {etymology} AS et, {code} AS co FROM {rows}),
+q1 AS (SELECT *, split_part(regexp_replace(regexp_replace({_trim('et')}, '([.!?])\s+([A-ZͰ-ϿЀ-ӿ])', '\1' || chr(30) || '\2', 'g'), '((?:^|[^\p{{L}}\d])(?i:cf|e\.g|i\.e|lit|ca|c|fl|mr|st)\.)' || chr(30), '\1 ', 'g'), chr(30), 1) AS first FROM q0),
+q2 AS (SELECT *, list_concat(regexp_extract_all(first, '{mark}', 1), flatten(list_transform(regexp_extract_all(first, '\(([^()]{{0,300}})\)', 1), lambda p: regexp_extract_all(p, '["“«]([^"”»]{{1,80}})["”»]', 1)))) AS raw,
+  regexp_replace(regexp_replace(first, '\([^()]{{0,300}}\)', ' ', 'g'), '["“«][^"”»]{{1,80}}["”»]', ' ', 'g') AS bare FROM q1),
+q3 AS (SELECT *, list_filter(list_transform(raw, lambda s: trim(regexp_replace(trim(s), '^[,;:]+|[,;:]+$', '', 'g'))), lambda s: regexp_matches(s, '[A-Za-z]') AND length(s) <= 80
+  AND NOT regexp_matches(s, '(?i)^(?:stem|continuative|attributive|conjunctive|combining|inflect\w*|(?:im)?perfective|classical|literary|colloquial|honorific)\b|^(?:(?:an?|the) )?(?:form|variant|spelling|reading|romani[sz]ation|trans(?:literation|cription)|abbreviation|contraction)\b|\bof the (?:verb|noun|adjective|name)\b|^(?:see|cf\.?|compare|given name|surname|personal name|a name)\b')) AS spans FROM q2),
+q4 AS (SELECT *, list_filter(spans, lambda s, i: list_position(list_transform(spans, lambda y: lower(y)), lower(s)) = i) AS once FROM q3),
+q5 AS (SELECT {keep}, {clean(f"regexp_extract(gl, '{mark}', 1)")} AS a, {clean(f"regexp_extract(et, '{mark}', 1)")} AS b, CASE WHEN coalesce(co, '') NOT IN ('ja', 'zh') AND len(once) > 0
+  AND regexp_matches(bare, '(?i)\b(?:from|cognate with|(?:calque|contraction) of|compo(?:sed|und) of|equivalent to|via)\b') THEN {clean("array_to_string(once[1:4], ' + ')")} END AS c FROM q4),
+m AS (SELECT {keep}, CASE WHEN {fits('a')} IS NOT NULL THEN 'GLOSS_MEANING' WHEN {fits('b')} IS NOT NULL THEN 'ETYM_MARKER' WHEN {fits('c')} IS NOT NULL THEN 'ETYM_QUOTED' END AS channel, coalesce({fits('a')}, {fits('b')}, {fits('c')}) AS meaning FROM q5)"""
+
+
+@R.query(f"WITH {_NAME_KINDS} SELECT sense_id, kind, gender, also_surname FROM named")
+def name_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Kind, gender and use as a surname of each sense of a name."""
+    c = names.classify_name(F.col("definition"), F.col("raw_tags"), F.col("categories"), F.col("language"))
+    return name_senses(spark, d).select(F.col("id").alias("sense_id"), c.alias("c")).select("sense_id", "c.kind", "c.gender", "c.also_surname")
+
+
+@R.query(f"WITH {_meaning('text', 'text', 'lang', 'documents', 'doc_id')} SELECT doc_id, channel, meaning FROM m")
+def meaning_waterfall(spark: SparkSession, d: str) -> DataFrame:
+    """The meaning that each document tells, by the first channel that gives one."""
+    channel, meaning = names.meaning_of(F.col("text"), F.col("text"), F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", channel.alias("channel"), meaning.alias("meaning"))
 
 
-@R.query(f"WITH {_MEANINGS} SELECT sense_id, channel, meaning FROM m")
-def meaning_waterfall(spark: SparkSession, d: str) -> DataFrame:
-    """The meaning of each sense's word by the first channel that tells one."""
-    return meanings(spark, d).select("sense_id", "channel", "meaning")
+@R.query(r"""WITH c AS (SELECT channel FROM (SELECT CASE WHEN regexp_matches(text, '(?i:meaning|literally|lit\.)\s*["“''‘«][^"”''’»]{1,80}["”''’»]') THEN 'MARK' END AS a, CASE WHEN regexp_matches(text, '\bequivalent to English\s+[A-Z]') THEN 'EQUIVALENT' END AS b,
+  CASE WHEN regexp_matches(text, '["“«][^"”»]{1,80}["”»]') THEN 'QUOTED' END AS c FROM documents), unnest([a, b, c]) AS t(channel)) SELECT channel, count(*) AS n FROM c WHERE channel IS NOT NULL GROUP BY channel""")
+def channel_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by what they offer as a meaning, each counted under all of it."""
+    text, said = F.col("text"), [("MARK", "(?iU)" + fixed.MEANING_MARK), ("EQUIVALENT", r"\bequivalent to English\s+[A-Z]"), ("QUOTED", fixed.QUOTED_SPAN)]
+    found = F.array(*[F.when(text.rlike(p), n) for n, p in said])
+    return table(spark, d, "documents").select(F.explode(found).alias("channel")).filter("channel IS NOT NULL").groupBy("channel").agg(F.count("*").alias("n"))
 
 
-@R.query(f"""WITH {_MEANINGS}, t AS (SELECT sense_id, list_filter(regexp_extract_all(lower(meaning), '\\p{{L}}{{3,}}'), lambda w: NOT list_contains({_list(fixed.STOPWORDS)}, w)) AS ws FROM m WHERE meaning IS NOT NULL),
-p AS (SELECT sense_id, w, min(i) AS i FROM (SELECT sense_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t) GROUP BY 1, 2), k AS (SELECT sense_id, w AS token, row_number() OVER (PARTITION BY sense_id ORDER BY i) AS place FROM p QUALIFY place <= 12)
-SELECT k.sense_id, k.token, min(x.id) AS lexeme_id FROM k LEFT JOIN lexemes x ON x.normalized_lemma = k.token AND x.language_id = 1 GROUP BY k.sense_id, k.token""")
+@R.query(r"""WITH t AS (SELECT id AS sense_id, list_filter(regexp_extract_all(lower(definition), '\p{L}{3,}'), lambda w: NOT list_contains(string_split('the and from for with was are were been this that these those its his her their our your she they you also see used use using such more most very not name names given surname surnames family first last male female masculine feminine unisex form forms variant variants spelling diminutive short pet equivalent english meaning literally lit means derived derivative cognate son daughter child born place city town river god goddess mythology saint one two three ancient modern old new common word words letter', ' '), w)) AS ws FROM senses),
+p AS (SELECT sense_id, w, min(i) AS i FROM (SELECT sense_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t) GROUP BY 1, 2), k AS (SELECT sense_id, w AS token, row_number() OVER (PARTITION BY sense_id ORDER BY i) AS place FROM p QUALIFY place <= 12),
+v AS (SELECT x.normalized_lemma, min(x.id) AS lexeme_id FROM lexemes x JOIN languages g ON g.id = x.language_id WHERE g.code = 'en' AND EXISTS (SELECT 1 FROM senses s WHERE s.lexeme_id = x.id AND s.visibility_status = 'visible') GROUP BY 1)
+SELECT k.sense_id, k.token, v.lexeme_id FROM k LEFT JOIN v ON v.normalized_lemma = k.token""")
 def meaning_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The words of meanings, with the first English lexeme of each."""
-    t = meanings(spark, d).filter("meaning IS NOT NULL").select("sense_id", F.explode(names.meaning_tokens(F.col("meaning"), fixed.STOPWORDS)).alias("token"))
-    x = table(spark, d, "lexemes").filter("language_id = 1").groupBy(F.col("normalized_lemma").alias("token")).agg(F.min("id").alias("lexeme_id"))
+    """The words of definitions as join keys, with the first visible English lexeme of each."""
+    t = table(spark, d, "senses").select(F.col("id").alias("sense_id"), F.explode(names.meaning_tokens(F.col("definition"))).alias("token"))
+    english = F.broadcast(table(spark, d, "languages").filter("code = 'en'").select(F.col("id").alias("language_id")))
+    visible = table(spark, d, "senses").filter("visibility_status = 'visible'").select(F.col("lexeme_id").alias("id"))
+    x = table(spark, d, "lexemes").join(english, "language_id", "left_semi").join(visible, "id", "left_semi").groupBy(F.col("normalized_lemma").alias("token")).agg(F.min("id").alias("lexeme_id"))
     return t.join(x, "token", "left").select("sense_id", "token", "lexeme_id")
 
 
-@R.query(f"""WITH {_MEANINGS}, r AS (SELECT x.language_id, x.normalized_lemma, CASE m.channel WHEN 'MARKED' THEN 0 WHEN 'GIVEN_TO' THEN 1 WHEN 'ETYMOLOGY' THEN 2 ELSE 3 END AS rank, m.sense_id AS row_id, m.channel, m.meaning, CASE s.sense_index % 3 WHEN 0 THEN 'm' WHEN 1 THEN 'u' ELSE 'f' END AS gender, x.romanization
-  FROM m JOIN senses s ON s.id = m.sense_id JOIN lexemes x ON x.id = m.lexeme_id WHERE x.part_of_speech = 'name'),
-g AS (SELECT language_id, normalized_lemma, min_by(row_id, (rank, row_id)) AS row_id, count(*) AS n_rows, list_distinct(list(gender) FILTER (WHERE gender <> 'u')) AS gs, min_by(romanization, row_id) FILTER (WHERE romanization IS NOT NULL) AS romanization FROM r GROUP BY 1, 2)
-SELECT g.language_id, g.normalized_lemma, g.row_id, m.channel, m.meaning, CASE coalesce(len(gs), 0) WHEN 0 THEN 'u' WHEN 1 THEN gs[1] ELSE 'x' END AS gender, g.n_rows, g.romanization FROM g JOIN m ON m.sense_id = g.row_id""")
+@R.query(f"""WITH {_NAME_KINDS}, {_meaning('d', 'etymology_text', 'language_code', "named WHERE kind IN ('GIVEN', 'SURNAME', 'PATRONYMIC', 'OTHER')", 'sense_id, language_id, normalized_lemma, gender, romanization')},
+r AS (SELECT *, CASE channel WHEN 'GLOSS_MEANING' THEN 0 WHEN 'ETYM_MARKER' THEN 1 WHEN 'ETYM_QUOTED' THEN 2 ELSE 9 END AS rank FROM m),
+g AS (SELECT language_id, normalized_lemma, min_by(sense_id, (rank, sense_id)) AS row_id, count(*) AS n_rows, list_distinct(list(gender) FILTER (WHERE gender <> 'u')) AS gs, min_by(romanization, sense_id) FILTER (WHERE romanization IS NOT NULL) AS romanization FROM r GROUP BY 1, 2),
+h AS (SELECT x.language_id, x.normalized_lemma, min(x.id) AS lexeme_id FROM lexemes x WHERE x.part_of_speech <> 'name' AND EXISTS (SELECT 1 FROM senses s WHERE s.lexeme_id = x.id AND s.visibility_status = 'visible') GROUP BY 1, 2)
+SELECT g.language_id, g.normalized_lemma, g.row_id, r.channel, r.meaning, CASE coalesce(len(gs), 0) WHEN 0 THEN 'u' WHEN 1 THEN gs[1] ELSE 'x' END AS gender, g.n_rows, g.romanization, h.lexeme_id AS homograph_lexeme_id
+FROM g JOIN r ON r.sense_id = g.row_id LEFT JOIN h ON h.language_id = g.language_id AND h.normalized_lemma = g.normalized_lemma""")
 def name_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row for each name and language: its best meaning, joined gender and romanization. The sense's place stands in for a gender."""
-    x = table(spark, d, "lexemes").filter("part_of_speech = 'name'").select(F.col("id").alias("lexeme_id"), "language_id", "normalized_lemma", "romanization")
-    s = table(spark, d, "senses").select(F.col("id").alias("sense_id"), (F.col("sense_index") % 3).alias("g"))
-    rank = F.when(F.col("channel") == "MARKED", 0).when(F.col("channel") == "GIVEN_TO", 1).when(F.col("channel") == "ETYMOLOGY", 2).otherwise(3)
-    g = F.when(F.col("g") == 0, "m").when(F.col("g") == 1, "u").otherwise("f")
-    rows = meanings(spark, d).join(x, "lexeme_id").join(s, "sense_id").select("language_id", "normalized_lemma", rank.alias("rank"), F.col("sense_id").alias("row_id"), "channel", "meaning", g.alias("gender"), "romanization")
-    return names.name_groups(rows, ["language_id", "normalized_lemma"])
+    """One row for each name and language: its best meaning, joined gender and romanization, and the common word that is spelt alike."""
+    c = names.classify_name(F.col("definition"), F.col("raw_tags"), F.col("categories"), F.col("language"))
+    channel, meaning = names.meaning_of(F.col("definition"), F.col("etymology_text"), F.col("language_code"))
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, fixed.MEANING_CHANNELS)), channel).cast("int") - 1, F.lit(9))
+    rows = name_senses(spark, d).withColumn("c", c).filter(F.col("c.kind").isin("GIVEN", "SURNAME", "PATRONYMIC", "OTHER"))
+    rows = rows.select("language_id", "normalized_lemma", rank.alias("rank"), F.col("id").alias("row_id"), channel.alias("channel"), meaning.alias("meaning"), "c.gender", "romanization")
+    visible = table(spark, d, "senses").filter("visibility_status = 'visible'").select(F.col("lexeme_id").alias("id"))
+    common = table(spark, d, "lexemes").filter("part_of_speech <> 'name'").join(visible, "id", "left_semi").groupBy("language_id", "normalized_lemma").agg(F.min("id").alias("homograph_lexeme_id"))
+    keyed, common = names.name_groups(rows, ["language_id", "normalized_lemma"]).alias("k"), common.alias("h")
+    return keyed.join(common, ["language_id", "normalized_lemma"], "left")
+
+
+@R.query(r"""WITH d AS (SELECT 'sense' AS of, id, definition AS t FROM senses UNION ALL SELECT 'document', doc_id, text FROM documents),
+r AS (SELECT of, id, k.relation, string_split_regex(regexp_extract(t, k.pattern, 1), '[.;]')[1] AS rest FROM d, (VALUES ('EQUIV_EN', '(?i)\bequivalent to english\s+(.+)'), ('VARIANT_OF', '(?i)\bvariant of\s+(.+)'), ('DIMINUTIVE_OF', '(?i)\b(?:diminutive|pet form|short form|hypocorism|hypocoristic|nickname)(?:\s+(?:of|for))?\s+(.+)'),
+  ('FEM_EQUIV', '(?i)\bfeminine equivalents?\s+(.+)'), ('MASC_EQUIV', '(?i)\bmasculine equivalents?\s+(.+)')) k(relation, pattern) WHERE t IS NOT NULL),
+p AS (SELECT of, id, relation, list_transform(string_split_regex(rest, '(?i)\s*,\s*|\s+or\s+|\s+and\s+'), lambda x: trim(regexp_replace(x, '\([^)]*\)', '', 'g'))) AS xs FROM r),
+w AS (SELECT of, id, relation, list_filter(list_transform(xs, lambda x: regexp_replace(regexp_extract(regexp_replace(x, '(?i)^(?:(?:the|an?|male|female|unisex|masculine|feminine|given name|surname)\s+){0,4}', ''), '^\S+'), '^[.,;:—’''"-]+|[.,;:—’''"-]+$', '', 'g')), lambda x: x <> '')[1:3] AS ts FROM p)
+SELECT of, id, relation, unnest(ts) AS target FROM w""")
+def name_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The names that definitions and documents point to behind a phrase of relation."""
+    s = table(spark, d, "senses").select(F.lit("sense").alias("of"), "id", F.col("definition").alias("t"))
+    t = table(spark, d, "documents").select(F.lit("document").alias("of"), F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    return s.unionByName(t).select("of", "id", F.explode(names.trigger_targets(F.col("t"))).alias("x")).select("of", "id", "x.relation", "x.target")
 
 
 @R.query(f"""WITH RECURSIVE e AS (SELECT {_slug('source_concept_slug')} AS a, {_slug('target_concept_slug')} AS b FROM concept_relationships WHERE {_slug('relationship_type')} = 'contrast'),

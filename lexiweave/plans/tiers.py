@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.functions import fixed, unicode_keys
+from lexiweave.functions import fixed, romanize, unicode_keys
 from lexiweave.operators import taxonomy
 from lexiweave.plans.registry import Registry
 from lexiweave.session import table
@@ -117,13 +117,15 @@ def json_keys(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@R.query(r"""WITH f AS (SELECT id, unnest(from_json(raw_entry -> 'forms', '[{"form":"VARCHAR","roman":"VARCHAR","tags":["VARCHAR"]}]')) AS f FROM lexemes WHERE json_type(raw_entry, '$.forms') = 'ARRAY')
-SELECT id, count(*) AS n_forms, min(f.form) FILTER (WHERE list_contains(f.tags, 'romanization')) AS tagged, count(*) FILTER (WHERE f.form IS NOT NULL) AS n_named FROM f GROUP BY id""")
+@R.query(r"""WITH x AS (SELECT x.id, g.script, CAST(x.raw_entry AS JSON) AS e FROM lexemes x JOIN languages g ON g.id = x.language_id WHERE g.script <> 'Latn'),
+f AS (SELECT id, unnest(from_json(e -> 'forms', '[{"form":"VARCHAR","roman":"VARCHAR","source":"VARCHAR","tags":["VARCHAR"]}]')) AS f, generate_subscripts(from_json(e -> 'forms', '["JSON"]'), 1) AS i FROM x WHERE json_type(e, '$.forms') = 'ARRAY' AND script IN ('Cyrl', 'Grek', 'Deva', 'Arab', 'Hebr', 'Jpan', 'Kore')),
+plain AS (SELECT id, i, f.form AS form, f.roman AS roman, list_has_any(list_transform(coalesce(f.tags, []), lambda t: lower(t)), ['romanization', 'romanisation', 'transliteration']) AS tagged FROM f
+  WHERE coalesce(lower(f.source), '') NOT IN ('conjugation', 'declension', 'inflection') AND NOT list_has_any(list_transform(coalesce(f.tags, []), lambda t: lower(t)), string_split('plural singular dual genitive dative accusative nominative instrumental locative vocative prepositional partitive ablative oblique ergative construct past present future participle gerund infinitive imperative perfective imperfective aorist subjunctive comparative superlative definite indefinite possessive diminutive feminine masculine neuter inflection-template error-unknown-tag table-tags class non-past indicative formal informal polite sequential conditional causative passive honorific plain', ' ')))
+SELECT x.id, x.script, coalesce(min_by(p.form, p.i) FILTER (WHERE p.tagged AND p.form <> ''), min_by(p.roman, p.i) FILTER (WHERE p.roman <> '')) AS romanization FROM x LEFT JOIN plain p ON p.id = x.id GROUP BY x.id, x.script""")
 def romanize_pick(spark: SparkSession, d: str) -> DataFrame:
-    """What the forms of an entry offer as a romanization."""
-    forms = F.from_json(F.get_json_object("raw_entry", "$.forms"), "array<struct<form string, roman string, tags array<string>>>")
-    f = table(spark, d, "lexemes").select("id", F.explode(forms).alias("f")).select("id", "f.*")
-    return f.groupBy("id").agg(F.count("*").alias("n_forms"), F.min(F.when(F.array_contains("tags", "romanization"), F.col("form"))).alias("tagged"), F.count("form").alias("n_named"))
+    """The Latin spelling that the entry of each lexeme in another script gives."""
+    g = F.broadcast(table(spark, d, "languages").filter("script <> 'Latn'").select(F.col("id").alias("language_id"), "script"))
+    return table(spark, d, "lexemes").join(g, "language_id").select("id", "script", romanize.romanization(F.col("raw_entry"), F.col("script")).alias("romanization"))
 
 
 @R.query(r"""WITH w AS (SELECT s.id AS sense_id, list_filter(list_transform(string_split_regex(s.definition, '[;,]'), lambda c: regexp_replace(regexp_replace(c, '\([^)]*\)', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')),
@@ -154,12 +156,34 @@ def canonical_key(spark: SparkSession, d: str) -> DataFrame:
     return unicode_keys.with_lemma_key(x.join(g, "language_id", "left"), "lemma", "code", "key").select("id", "key")
 
 
-@R.query()
+_LATIN = {"Cyrl": ("абвгдезийклмнопрстуфыэъь", "abvgdeziyklmnoprstufye", {"ё": "yo", "ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "щ": "shch", "ш": "sh", "ю": "yu", "я": "ya"}),
+          "Grek": ("αβγδεζηικλμνξοπρσςτυφω", "avgdeziiklmnxoprsstyfo", {"θ": "th", "χ": "ch", "ψ": "ps"})}
+
+
+def _latin(script: str) -> str:
+    """The lemma in Latin letters: letters of two and more first, then the marks off, then single letters."""
+    single, to, several = _LATIN[script]
+    c = "lemma"
+    own = {**({"й": "y"} if script == "Cyrl" else {}), **(several if script == "Cyrl" else {})}
+    for k, v in own.items():
+        c = f"replace(replace({c}, '{k}', '{v}'), '{k.upper()}', '{v.title()}')"
+    c = f"strip_accents({c})"
+    for k, v in several.items():
+        c = f"replace(replace({c}, '{k}', '{v}'), '{k.upper()}', '{v.title()}')"
+    upper = "".join(x.upper() for x in single if x != "ς")
+    upper_to = "".join(y.upper() for x, y in zip(single, to, strict=False) if x != "ς") + ""
+    return f"translate({c}, '{single.replace('ъ', '').replace('ь', '')}{upper.replace('Ъ', '').replace('Ь', '')}ъьЪЬ', '{to}{upper_to}')"
+
+
+@R.query(f"""WITH x AS (SELECT x.id, x.lemma, g.script FROM lexemes x JOIN languages g ON g.id = x.language_id WHERE g.script IN ('Cyrl', 'Grek')),
+l AS (SELECT id, lemma, CASE script WHEN 'Cyrl' THEN {_latin('Cyrl')} ELSE {_latin('Grek')} END AS r, CASE script WHEN 'Cyrl' THEN regexp_full_match(strip_accents(replace(replace(lower(lemma), 'й', ''), 'ё', '')), '[а-яё]*([^\p{{L}}][а-я]*)*') ELSE regexp_full_match(strip_accents(lower(lemma)), '[α-ω]*([^\p{{L}}][α-ω]*)*') END AS known FROM x)
+SELECT id, CASE WHEN known THEN nullif(trim(regexp_replace(r, '[\s\p{{Z}}]+', ' ', 'g')), '') END AS romanized FROM l""")
 def transliterate(spark: SparkSession, d: str) -> DataFrame:
-    """Latin letters of Russian and Greek words; null where a letter has none. Tests hold its table."""
-    x = table(spark, d, "lexemes").select("id", "language_id", "lemma").join(table(spark, d, "languages").filter("code IN ('ru', 'el')").select(F.col("id").alias("language_id"), "code"), "language_id")
-    words = x.select("lemma", "code").distinct().withColumn("romanized", unicode_keys.romanized("lemma", "code"))
-    return x.join(words, ["lemma", "code"]).select("id", "romanized")
+    """Cyrillic and Greek words in Latin letters, each distinct one once; null where a letter has none."""
+    g = F.broadcast(table(spark, d, "languages").filter("script IN ('Cyrl', 'Grek')").select(F.col("id").alias("language_id"), "script"))
+    x = table(spark, d, "lexemes").select("id", "language_id", "lemma").join(g, "language_id")
+    words = x.select("lemma", "script").distinct().withColumn("romanized", romanize.romanized("lemma", "script"))
+    return x.alias("x").join(words.alias("w"), F.expr("x.lemma <=> w.lemma AND x.script = w.script")).select("x.id", "w.romanized")
 
 
 @R.query()
