@@ -253,8 +253,8 @@ def bridge_filter(spark: SparkSession, d: str) -> DataFrame:
     return c.join(w, "slug", "left_semi").join(r, "slug", "left_semi").distinct()
 
 
-@R.query(rf"""WITH n AS (SELECT DISTINCT s.id AS sense_id, x.language_id, unnest(regexp_extract_all(lower(s.definition), '\p{{L}}{{4,}}')) AS t FROM senses s JOIN lexemes x ON x.id = s.lexeme_id WHERE x.part_of_speech = 'name' AND s.id % {EVERY // 10} = 0),
-c AS (SELECT DISTINCT s.id AS other_id, x.language_id, unnest(regexp_extract_all(lower(s.definition), '\p{{L}}{{4,}}')) AS t FROM senses s JOIN lexemes x ON x.id = s.lexeme_id WHERE x.part_of_speech = 'adv'),
+@R.query(rf"""WITH n AS (SELECT DISTINCT s.id AS sense_id, x.language_id, unnest(regexp_extract_all(lower(s.definition), '\p{{L}}{{4,}}')) AS t FROM senses s JOIN lexemes x ON x.id = s.lexeme_id WHERE x.part_of_speech = 'name'),
+c AS (SELECT DISTINCT s.id AS other_id, x.language_id, unnest(regexp_extract_all(lower(s.definition), '\p{{L}}{{4,}}')) AS t FROM senses s JOIN lexemes x ON x.id = s.lexeme_id WHERE x.part_of_speech <> 'name'),
 j AS (SELECT n.sense_id, c.other_id, count(*) AS n_shared FROM n JOIN c USING (language_id, t) GROUP BY ALL) SELECT sense_id, other_id, n_shared FROM j QUALIFY row_number() OVER (PARTITION BY sense_id ORDER BY n_shared DESC, other_id) = 1""")
 def best_overlap(spark: SparkSession, d: str) -> DataFrame:
     """For every name the sense of its language, not a name's, that shares most words with its definition."""
@@ -316,21 +316,41 @@ def _family(a: str, b: str) -> str:
     return f"least(length({a}), length({b})) >= {n} AND left({a}, {n}) = left({b}, {n})"
 
 
-def _kids(name: str, k: int, types: str) -> str:
-    c = expansion.collected(k)
-    return f"""{name}_e AS (SELECT {_slug('source_concept_slug')} AS src, {_slug('target_concept_slug')} AS dst, CASE {_slug('relationship_type')} WHEN 'synonym' THEN 0 WHEN 'near_synonym' THEN 1 ELSE 2 END AS tier, coalesce(weight, 0.0) AS score, id AS seq FROM concept_relationships WHERE {_slug('relationship_type')} IN ({types})),
-{name}_o AS (SELECT src, dst, tier, seq, round(score, 6) AS score FROM {name}_e WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY tier, seq) = 1),
-{name}_k AS (SELECT * FROM {name}_o QUALIFY row_number() OVER (PARTITION BY src ORDER BY tier, seq, dst) <= {c}),
-{name}_s AS (SELECT a.src, a.dst, round(a.score - 0.03 * (SELECT count(*) FROM {name}_k b WHERE b.src = a.src AND (b.score > a.score OR (b.score = a.score AND b.dst < a.dst)) AND {_family('a.dst', 'b.dst')}), 6) AS score FROM {name}_k a),
+def _kids(name: str, k: int, types: str, weighted: bool = False) -> str:
+    """The k best targets of each concept: all of them ranked by score, and filled up with the nearest concepts unless ``weighted`` takes the stored weights alone."""
+    c, scored = expansion.collected(k), "o.weight" if weighted else "greatest(0.0, coalesce(list_cosine_similarity(a.vector, b.vector), 0.0))"
+    fill = f"""SELECT * FROM {name}_k""" if weighted else f"""SELECT * FROM {name}_k UNION ALL SELECT src, dst, score FROM (SELECT n.src, n.dst, n.sim AS score, row_number() OVER (PARTITION BY n.src ORDER BY n.sim DESC, n.dst) AS p,
+    (SELECT count(*) FROM {name}_k h WHERE h.src = n.src) AS have FROM near n WHERE n.spot <= {min(max(50 * (c + 1), 100), 1000)} AND NOT EXISTS (SELECT 1 FROM {name}_k h WHERE h.src = n.src AND h.dst = n.dst)) WHERE p <= {c} - have"""
+    return f"""{name}_e AS (SELECT {_slug('source_concept_slug')} AS src, {_slug('target_concept_slug')} AS dst, CASE {_slug('relationship_type')} WHEN 'synonym' THEN 0 WHEN 'near_synonym' THEN 1 ELSE 2 END AS tier, coalesce(weight, 0.0) AS weight, id AS seq FROM concept_relationships WHERE {_slug('relationship_type')} IN ({types})),
+{name}_o AS (SELECT * FROM {name}_e WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY tier, seq, weight DESC) = 1),
+{name}_k AS (SELECT src, dst, score FROM (SELECT o.src, o.dst, o.tier, o.seq, round({scored}, 6) AS score FROM {name}_o o LEFT JOIN cvec a ON a.node = o.src LEFT JOIN cvec b ON b.node = o.dst) QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, tier, seq, dst) <= {c}),
+{name}_f AS ({fill}),
+{name}_s AS (SELECT a.src, a.dst, round(a.score - 0.03 * (SELECT count(*) FROM {name}_f b WHERE b.src = a.src AND (b.score > a.score OR (b.score = a.score AND b.dst < a.dst)) AND {_family('a.dst', 'b.dst')}), 6) AS score FROM {name}_f a),
 {name} AS (SELECT src, dst, score, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS place FROM {name}_s QUALIFY place <= {k})"""
 
 
+def _stem(c: str) -> str:
+    cases = " ".join(f"WHEN {c} LIKE '%{x}' AND length({c}) > {len(x) + 2} THEN left({c}, length({c}) - {len(x)})" for x in ("ing", "edly", "ed", "es", "s", "er", "est", "ly", "ness", "ment", "tion", "ion"))
+    return f"CASE {cases} ELSE {c} END"
+
+
+def same_stem_sql(a: str, b: str) -> str:
+    """Whether two words are forms of one, as vectors.same_stem has it."""
+    x, y = _stem(a), _stem(b)
+    n = f"greatest(5, least(length({x}), length({y})) - 1)"
+    return f"({a} = {b} OR {x} = {y} OR (least(length({x}), length({y})) >= 5 AND left({x}, {n}) = left({y}, {n})))"
+
+
 _ALL = "'synonym', 'near_synonym', 'associated'"
 _ROOTS = f"roots AS (SELECT DISTINCT {_slug('slug')} AS node FROM concepts WHERE id % {EVERY} = 0 AND {_slug('slug')} IS NOT NULL)"
-_CVEC = f"cvec AS (SELECT c.node, CAST(e.embedding AS DOUBLE[]) AS vector FROM (SELECT {_slug('slug')} AS node, min(id) AS id FROM concepts WHERE {_slug('slug')} IS NOT NULL GROUP BY 1) c JOIN embeddings e ON e.vec_id = c.id)"
+_CVEC = f"cvec AS (SELECT c.node, c.id, CAST(e.embedding AS DOUBLE[]) AS vector FROM (SELECT {_slug('slug')} AS node, min(id) AS id FROM concepts WHERE {_slug('slug')} IS NOT NULL GROUP BY 1) c JOIN embeddings e ON e.vec_id = c.id)"
+
+
+_NEAR = f"""near AS (SELECT src, dst, sim, spot FROM (SELECT a.node AS src, b.node AS dst, round(list_cosine_similarity(a.vector, b.vector), 6) + 0.0 AS sim, row_number() OVER (PARTITION BY a.node ORDER BY round(list_cosine_similarity(a.vector, b.vector), 6) DESC, b.id) AS spot
+  FROM cvec a JOIN cvec b ON a.id <> b.id) WHERE sim >= {round(fixed.KNN_FLOOR - 0.7, 6)} AND NOT {same_stem_sql('src', 'dst')})"""
 
 
-@R.query(f"WITH {_kids('kids', 5, _ALL)} SELECT src, dst, score, place FROM kids", longs=("place",))
+@R.query(f"WITH {_CVEC}, {_NEAR}, {_kids('kids', 5, _ALL)} SELECT src, dst, score, place FROM kids", longs=("place",))
 def expand_single(spark: SparkSession, d: str) -> DataFrame:
     """The five best targets of every concept by likeness, filled up with what is nearest, with the penalty for families."""
     return concept_children(spark, d, (5, tuple(t for t, _ in _TIERS)))[0]
@@ -344,7 +364,7 @@ b{n} AS (SELECT * FROM c{n} QUALIFY row_number() OVER (PARTITION BY root, child
 l{n} AS (SELECT root, {n} AS depth, child AS node, parent, score, list_append(above, CAST(row_number() OVER (PARTITION BY root, parent ORDER BY score DESC, child) AS INTEGER)) AS lineage FROM b{n})"""
 
 
-_TREES = f"""WITH {_ROOTS}, {_CVEC}, {_kids('kids', 3, _ALL)}, {_kids('deep', 3, "'synonym', 'near_synonym'")}, l0 AS (SELECT node AS root, 0 AS depth, node, CAST(NULL AS VARCHAR) AS parent, 1.0::DOUBLE AS score, CAST([] AS INTEGER[]) AS lineage FROM roots),
+_TREES = f"""WITH {_ROOTS}, {_CVEC}, {_NEAR}, {_kids('kids', 3, _ALL)}, {_kids('deep', 3, "'synonym', 'near_synonym'")}, l0 AS (SELECT node AS root, 0 AS depth, node, CAST(NULL AS VARCHAR) AS parent, 1.0::DOUBLE AS score, CAST([] AS INTEGER[]) AS lineage FROM roots),
 {_level(1, 'kids')}, {_level(2, 'deep')}, {_level(3, 'deep')}, trees AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)"""
 
 
@@ -386,14 +406,14 @@ def interleave(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy(F.col("depth") > 0, "turn", "lane", "node"))).select("root", "node", "place")
 
 
-@R.query(f"""WITH {_kids('wide', 5, _ALL)}, {_kids('narrow', 5, "'synonym'")} SELECT w.src, w.dst FROM wide w WHERE NOT EXISTS (SELECT 1 FROM narrow n WHERE n.src = w.src AND n.dst = w.dst)""")
+@R.query(f"""WITH {_CVEC}, {_kids('wide', 5, _ALL, True)}, {_kids('narrow', 5, "'synonym'", True)} SELECT w.src, w.dst FROM wide w WHERE NOT EXISTS (SELECT 1 FROM narrow n WHERE n.src = w.src AND n.dst = w.dst)""")
 def parked_edges(spark: SparkSession, d: str) -> DataFrame:
     """Edges that a restriction to synonyms would lose."""
     wide = expansion.children(concept_edges(spark, d), 5).select("src", "dst")
     return wide.join(expansion.children(concept_edges(spark, d, ("synonym",)), 5).select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-@R.query(f"""WITH {_kids('kids', 5, _ALL)}, n AS (SELECT src, count(*) AS n FROM kids GROUP BY src), t AS (SELECT r.src, r.dst, row_number() OVER (PARTITION BY r.src ORDER BY r.dst) AS p FROM
+@R.query(f"""WITH {_CVEC}, {_kids('kids', 5, _ALL, True)}, n AS (SELECT src, count(*) AS n FROM kids GROUP BY src), t AS (SELECT r.src, r.dst, row_number() OVER (PARTITION BY r.src ORDER BY r.dst) AS p FROM
   (SELECT DISTINCT {_slug('target_concept_slug')} AS src, {_slug('source_concept_slug')} AS dst FROM concept_relationships WHERE {_slug('relationship_type')} = 'narrower') r WHERE r.src <> r.dst AND NOT EXISTS (SELECT 1 FROM kids k WHERE k.src = r.src AND k.dst = r.dst) QUALIFY p <= 5)
 SELECT t.src, t.dst, t.p AS fill FROM t LEFT JOIN n ON n.src = t.src WHERE t.p <= 5 - coalesce(n.n, 0)""", longs=("fill",))
 def pivot_top_up(spark: SparkSession, d: str) -> DataFrame:
@@ -424,7 +444,7 @@ def root_ladder(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("query_id", "language_code").agg(F.min(F.struct("rung", "id")).alias("b")).select("query_id", "language_code", "b.rung", F.col("b.id").alias("root_id"))
 
 
-@R.query(f"""WITH {_kids('kids', 5, _ALL)}, have AS (SELECT DISTINCT {_slug('concept_slug')} AS slug, language_code FROM word_senses WHERE is_primary AND {_slug('concept_slug')} IS NOT NULL), {_ROOTS}, goals AS (SELECT code AS language_code FROM languages),
+@R.query(f"""WITH {_CVEC}, {_kids('kids', 5, _ALL, True)}, have AS (SELECT DISTINCT {_slug('concept_slug')} AS slug, language_code FROM word_senses WHERE is_primary AND {_slug('concept_slug')} IS NOT NULL), {_ROOTS}, goals AS (SELECT code AS language_code FROM languages),
 need AS (SELECT r.node, g.language_code FROM roots r, goals g WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.slug = r.node AND h.language_code = g.language_code))
 SELECT n.node, n.language_code, min_by(k.dst, k.place) AS anchor FROM need n JOIN kids k ON k.src = n.node JOIN have h ON h.slug = k.dst AND h.language_code = n.language_code WHERE k.score >= 0.3 GROUP BY ALL""")
 def pivot_rescue(spark: SparkSession, d: str) -> DataFrame:
