@@ -15,6 +15,26 @@ def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return upto.select(*keys, value, "n", (F.col("_upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """(keys, n, one column a point): quantiles between neighbouring values, exact for groups of any size; null values do not count.
+
+    Different values are counted and their counts summed up over ranges, so no
+    task holds a group.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    upto = running_totals(counts, keys, [value], F.col("_n"), "_upto").withColumn("_k", F.struct(F.lit(0), *keys))
+    total = counts.groupBy(*keys).agg(F.sum("_n").alias("n")).withColumn("_k", F.struct(F.lit(0), *keys)).select("_k", "n")
+    j = upto.join(total, "_k")
+    at = lambda pos: F.max(F.when((F.col("_upto") >= pos) & (F.col("_upto") - F.col("_n") < pos), F.col(value)))
+    bounds = []
+    for c, q in points.items():
+        h = (F.col("n") - 1) * F.lit(q)
+        bounds += [at(F.floor(h) + 1).alias(f"_lo_{c}"), at(F.ceil(h) + 1).alias(f"_hi_{c}")]
+    found = j.groupBy(*keys, "n").agg(*bounds)
+    between = lambda c, q: F.col(f"_lo_{c}") + (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * ((F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q)))
+    return found.select(*keys, "n", *[between(c, q).alias(c) for c, q in points.items()])
+
+
 def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """(keys, n_pos, n_neg, auc): the chance that a positive row scores above another, ties half; null where one kind is missing."""
     # keys in a struct are equal where both are null

@@ -221,8 +221,7 @@ def top_values(spark: SparkSession, d: str) -> DataFrame:
 @R.query("""SELECT event_type, quantile_cont(value, 0.05) AS p5, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY event_type""")
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Exact quantiles of values by kind of event."""
-    q = F.percentile("value", F.array(*map(F.lit, (0.05, 0.5, 0.95, 0.99))))
-    return table(spark, d, "events").groupBy("event_type").agg(q.alias("q")).select("event_type", *[F.col("q")[i].alias(n) for i, n in enumerate(("p5", "p50", "p95", "p99"))])
+    return measures.quantiles(table(spark, d, "events"), ["event_type"], "value", {"p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}).drop("n")
 
 
 @R.query("""WITH r AS (SELECT event_type, value, user_id % 2 = 0 AS pos FROM events WHERE value IS NOT NULL), k AS (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rk FROM r),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiweave.functions import fixed
 from lexiweave.functions.keys import trimmed
-from lexiweave.operators import vectors
+from lexiweave.operators import measures, vector_index, vectors
 from lexiweave.operators.lookup import top_per_key
 from lexiweave.plans.graphs import _nested, _nested_sql, same_stem_sql
 from lexiweave.plans.registry import Registry
@@ -178,19 +178,49 @@ def display_bonus(spark: SparkSession, d: str) -> DataFrame:
     return vectors.best_per_word(j.withColumn("effective", F.round(F.col("sim") + bonus, 6)), ["query_id"], [F.desc("effective"), F.asc("row_id")]).select("query_id", "row_id", "effective")
 
 
-@R.query(f"""{_VECTORS}, f AS (SELECT lexeme_id, min(id) AS id FROM sv GROUP BY 1), p AS (SELECT s.id, round(list_cosine_similarity(s.vector, h.vector), 6) AS sim FROM sv s JOIN f ON f.lexeme_id = s.lexeme_id JOIN sv h ON h.id = f.id WHERE s.id <> h.id),
-r AS (SELECT s.id, round(list_cosine_similarity(s.vector, o.vector), 6) AS sim FROM sv s JOIN sv o ON o.id = s.id + 1)
-SELECT 'same' AS kind, count(*) AS n, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.99), 6) AS p99 FROM p UNION ALL SELECT 'random', count(*), round(quantile_cont(sim, 0.1), 6), round(quantile_cont(sim, 0.5), 6), round(quantile_cont(sim, 0.99), 6) FROM r""")
-def calibration(spark: SparkSession, d: str) -> DataFrame:
-    """Similarities of a lexeme's senses with its first one, and of senses with unrelated ones: what floors are set by."""
+_CALIBRATED = f"""{_VECTORS}, f AS (SELECT lexeme_id, min(id) AS id FROM sv GROUP BY 1), p AS (SELECT s.id, round(list_cosine_similarity(s.vector, h.vector), 6) AS sim FROM sv s JOIN f ON f.lexeme_id = s.lexeme_id JOIN sv h ON h.id = f.id WHERE s.id <> h.id),
+r AS (SELECT s.id, round(list_cosine_similarity(s.vector, o.vector), 6) AS sim FROM sv s JOIN sv o ON o.id = s.id + 1)"""
+_KINDS = ("same", "random")
+
+
+def likenesses(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, sim): likenesses of a lexeme's senses to its first one, and of senses to unrelated ones."""
     sv = sense_vectors(spark, d).select("id", "lexeme_id", "vector")
     first = sv.groupBy("lexeme_id").agg(F.min(F.struct("id", "vector")).alias("h")).select("lexeme_id", F.col("h.id").alias("hid"), F.col("h.vector").alias("other"))
-    same = sv.join(first, "lexeme_id").filter("id <> hid").select("vector", "other")
-    rand = sv.join(sv.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other")), "id").select("vector", "other")
-    out = None
-    for kind, pairs in (("same", same), ("random", rand)):
-        sim = pairs.select(F.round(vectors.cosine(F.col("vector"), F.col("other")), 6).alias("sim"))
-        q = F.percentile("sim", F.array(*map(F.lit, (0.1, 0.5, 0.99))))
-        part = sim.agg(F.count("*").alias("n"), q.alias("q")).select(F.lit(kind).alias("kind"), "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p10", "p50", "p99"))])
-        out = part if out is None else out.unionByName(part)
-    return out
+    same = sv.join(first, "lexeme_id").filter("id <> hid").select(F.lit("same").alias("kind"), "vector", "other")
+    rand = sv.join(sv.select((F.col("id") - 1).alias("id"), F.col("vector").alias("other")), "id").select(F.lit("random").alias("kind"), "vector", "other")
+    return same.unionByName(rand).select("kind", F.round(vectors.cosine(F.col("vector"), F.col("other")), 6).alias("sim"))
+
+
+@R.query(f"""{_CALIBRATED}
+SELECT 'same' AS kind, count(*) AS n, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.99), 6) AS p99 FROM p UNION ALL SELECT 'random', count(*), round(quantile_cont(sim, 0.1), 6), round(quantile_cont(sim, 0.5), 6), round(quantile_cont(sim, 0.99), 6) FROM r""")
+def calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of both kinds of likenesses: what floors are set by. A kind without any has none."""
+    q = measures.quantiles(likenesses(spark, d), ["kind"], "sim", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    kinds = spark.createDataFrame([(k,) for k in _KINDS], "kind string")
+    return kinds.join(q, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")])
+
+
+@R.query(f"""{_CALIBRATED}, q AS (SELECT unnest([0.1, 0.5, 0.9]) AS point, unnest(quantile_cont(sim, [0.1, 0.5, 0.9])) AS bound FROM p)
+SELECT q.point, round(q.bound, 6) AS bound, round((SELECT avg((r.sim >= q.bound)::INTEGER) FROM r WHERE sim IS NOT NULL), 6) AS random_share FROM q WHERE q.bound IS NOT NULL""")
+def mass_above(spark: SparkSession, d: str) -> DataFrame:
+    """The share of unrelated senses that lie above a quantile of related ones."""
+    sims = likenesses(spark, d)
+    points = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    same = measures.quantiles(sims.filter("kind = 'same'"), ["kind"], "sim", points)
+    counts = sims.filter("kind = 'random' AND sim IS NOT NULL").groupBy("sim").agg(F.count("*").alias("n")).withColumn("kind", F.lit("same"))
+    shares = [F.round(F.sum(F.when(F.col("sim") >= F.col(c), F.col("n")).otherwise(0)) / F.sum("n"), 6).alias(f"s_{c}") for c in points]
+    one = same.join(counts.join(F.broadcast(same.drop("n")), "kind").groupBy("kind").agg(*shares), "kind", "left")  # a row at most
+    rows = F.array(*[F.struct(F.lit(q).alias("point"), F.round(c, 6).alias("bound"), F.col(f"s_{c}").alias("random_share")) for c, q in points.items()])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+@R.query()
+def knn_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the index finds of the 10 nearest senses of every query sense, against the exact search."""
+    sv = sense_vectors(spark, d).select("id", "vector")
+    q, k = sv.filter(F.col("id") % EVERY == 0), 10
+    true, index = vectors.nearest(q, sv, k), vector_index.build(sv, k)
+    found = vector_index.search(q, index, k).select("query_id", "row_id", F.lit(1).alias("hit"))
+    j = true.join(found, ["query_id", "row_id"], "left")
+    return j.agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"), F.lit(len(index.centres)).alias("n_lists"), F.lit(index.probes).alias("n_probed")).filter("n_true > 0")
