@@ -9,6 +9,7 @@ from lexiweave.durable import Scratch
 from lexiweave.functions import fixed
 from lexiweave.functions.keys import slug_key, trimmed
 from lexiweave.operators import edges, expansion, vectors
+from lexiweave.operators import roots as roots_of
 from lexiweave.operators.lookup import top_per_key
 from lexiweave.operators.vectors import cosine
 from lexiweave.plans.registry import Registry
@@ -425,23 +426,63 @@ def pivot_top_up(spark: SparkSession, d: str) -> DataFrame:
     return r.join(n, "src", "left").filter(F.col("fill") <= 5 - F.coalesce("n", F.lit(0))).select("src", "dst", "fill")
 
 
-@R.query(f"""WITH w AS (SELECT id, language_code, {_slug('concept_slug')} AS slug, external_synset_id AS ili, coalesce(sense_rank, 2147483647) AS rk, equivalence_type = 'direct_equivalent' AS direct FROM word_senses WHERE concept_slug IS NOT NULL OR external_synset_id IS NOT NULL),
-q AS (SELECT * FROM w WHERE language_code = 'en' AND id % {EVERY // 10} = 0), corr AS (SELECT slug, ili, language_code, min_by(id, (rk, id)) AS id FROM w WHERE direct AND slug IS NOT NULL AND ili IS NOT NULL GROUP BY 1, 2, 3),
-link AS (SELECT slug, language_code, min_by(id, (rk, id)) AS id FROM w WHERE direct AND slug IS NOT NULL GROUP BY 1, 2), ili AS (SELECT ili, language_code, min_by(id, (rk, id)) AS id FROM w WHERE ili IS NOT NULL GROUP BY 1, 2),
-cand AS (SELECT q.id AS query_id, c.language_code, 0 AS rung, c.id FROM q JOIN corr c ON c.slug = q.slug AND c.ili = q.ili UNION ALL SELECT q.id, c.language_code, 1, c.id FROM q JOIN link c ON c.slug = q.slug UNION ALL SELECT q.id, c.language_code, 2, c.id FROM q JOIN ili c ON c.ili = q.ili)
-SELECT query_id, language_code, min(rung) AS rung, min_by(id, rung) AS root_id FROM cand WHERE language_code <> 'en' GROUP BY query_id, language_code""")
+_LADDER = f"""WITH {{t}} AS (SELECT n.sense_id AS anchor_id, g.id AS language_id, lower({_trim("o ->> 'word'")}) AS target FROM ({_nested_sql('translations')}) n JOIN languages g ON g.code = o ->> 'code' WHERE n.sense_id % {EVERY} = 0 AND o ->> 'word' IS NOT NULL),
+vs AS (SELECT s.id AS sense_id, s.lexeme_id, s.sense_index, s.definition, x.lemma, lower(x.normalized_lemma) AS k, x.language_id, g.code AS language, CAST(e.embedding AS DOUBLE[]) AS vector FROM senses s JOIN lexemes x ON x.id = s.lexeme_id JOIN languages g ON g.id = x.language_id LEFT JOIN embeddings e ON e.vec_id = s.id WHERE s.visibility_status = 'visible'),
+q AS (SELECT sense_id AS anchor_id, lemma, k, vector FROM vs WHERE language = 'en' AND sense_id % {EVERY} = 0),
+syn AS (SELECT DISTINCT language_code, lower(lemma) AS k, synset_id AS ili FROM raw_entries WHERE synset_id IS NOT NULL AND lemma IS NOT NULL),
+mine AS (SELECT DISTINCT q.anchor_id, s.ili FROM q JOIN syn s ON s.language_code = 'en' AND s.k = q.k), own AS (SELECT DISTINCT v.sense_id, v.lexeme_id, s.ili FROM vs v JOIN syn s ON s.language_code = v.language AND s.k = v.k WHERE v.language <> 'en'),
+links AS (SELECT DISTINCT t.anchor_id, x.id AS lexeme_id, x.id = min(x.id) OVER (PARTITION BY t.anchor_id, t.language_id, t.target) AS original FROM t JOIN lexemes x ON x.language_id = t.language_id AND lower(x.normalized_lemma) = t.target JOIN q ON q.anchor_id = t.anchor_id),
+l1 AS (SELECT anchor_id, lexeme_id, bool_or(original) AS original FROM links GROUP BY ALL),
+c0 AS (SELECT l.*, v.sense_id, v.language, v.sense_index, v.lemma, v.definition, q.lemma AS word, round(greatest(0.0, coalesce(list_cosine_similarity(q.vector, v.vector), 0.0)), 6) AS sim FROM l1 l JOIN q USING (anchor_id) JOIN vs v USING (lexeme_id) WHERE v.language <> 'en'),
+c1 AS (SELECT *, list_distinct(regexp_extract_all(lower(coalesce(word, '')), '\\p{{L}}+')) AS own, list_distinct(regexp_extract_all(lower(coalesce(definition, '')), '\\p{{L}}+')) AS def FROM c0 QUALIFY row_number() OVER (PARTITION BY anchor_id, lexeme_id ORDER BY sim DESC, sense_id) <= 5),
+c2 AS (SELECT *, round(sim + CASE WHEN len(own) > 0 AND list_has_all(def, own) AND NOT list_has_any(def, ['vaguely', 'loosely', 'somewhat', 'broadly', 'roughly', 'especially', 'chiefly', 'particularly', 'generally']) THEN 0.02 ELSE 0 END, 6) AS effective FROM c1),
+c3 AS (SELECT c.*, (SELECT count(DISTINCT o.ili) FROM own o JOIN mine m ON m.ili = o.ili WHERE o.lexeme_id = c.lexeme_id AND m.anchor_id = c.anchor_id) AS n_shared FROM c2 c QUALIFY row_number() OVER (PARTITION BY anchor_id, lexeme_id ORDER BY effective DESC, sense_id) = 1),
+fl AS (SELECT unnest({{codes}}) AS language, unnest({{rescue}}) AS rescue, unnest({{fallback}}) AS fallback),
+linked AS (SELECT c.*, CASE WHEN sim >= coalesce(rescue, 0.0) THEN n_shared ELSE 0 END AS n FROM c3 c LEFT JOIN fl USING (language) QUALIFY row_number() OVER (PARTITION BY anchor_id, language ORDER BY n_shared = 0, CASE WHEN sim >= coalesce(rescue, 0.0) THEN n_shared ELSE 0 END DESC,
+  round(effective + CASE WHEN original THEN 0.01 ELSE 0 END, 6) DESC, coalesce(sense_index, 2147483647), lemma || chr(1114111), sense_id) = 1),
+p0 AS (SELECT m.anchor_id, o.sense_id, count(DISTINCT o.ili) AS n_shared FROM own o JOIN mine m ON m.ili = o.ili GROUP BY ALL),
+p1 AS (SELECT p.*, v.language, round(greatest(0.0, coalesce(list_cosine_similarity(q.vector, v.vector), 0.0)), 6) AS sim FROM p0 p JOIN q USING (anchor_id) JOIN vs v USING (sense_id) WHERE v.vector IS NOT NULL),
+pool AS (SELECT p.anchor_id, p.language, p.sense_id, p.sim, CASE WHEN sim >= coalesce(rescue, 0.0) THEN n_shared ELSE 0 END AS n FROM p1 p LEFT JOIN fl USING (language) QUALIFY row_number() OVER (PARTITION BY anchor_id, language ORDER BY CASE WHEN sim >= coalesce(rescue, 0.0) THEN n_shared ELSE 0 END DESC, sim DESC, sense_id) = 1),
+near AS (SELECT q.anchor_id, v.language, v.sense_id, round(list_cosine_similarity(q.vector, v.vector), 6) AS sim FROM q JOIN vs v ON v.vector IS NOT NULL AND q.vector IS NOT NULL AND v.language <> 'en' QUALIFY row_number() OVER (PARTITION BY q.anchor_id, v.language ORDER BY round(list_cosine_similarity(q.vector, v.vector), 6) DESC, v.sense_id) = 1),
+j AS (SELECT q.anchor_id, g.code AS language, l.sense_id AS ls, l.sim AS lsim, l.n AS ln, CASE WHEN l.n_shared > 0 THEN 'corroborated' ELSE 'primary' END AS lr, p.sense_id AS ps, p.sim AS psim, p.n AS pn, f.rescue, n.sense_id AS ns, n.sim AS nsim, n.sim >= f.fallback AS close, EXISTS (SELECT 1 FROM mine m WHERE m.anchor_id = q.anchor_id) AS has
+  FROM q JOIN languages g ON g.code <> 'en' LEFT JOIN linked l ON l.anchor_id = q.anchor_id AND l.language = g.code LEFT JOIN pool p ON p.anchor_id = q.anchor_id AND p.language = g.code LEFT JOIN fl f ON f.language = g.code LEFT JOIN near n ON n.anchor_id = q.anchor_id AND n.language = g.code),
+r AS (SELECT *, CASE WHEN ls IS NOT NULL AND has AND ln <= 1 AND ps IS NOT NULL AND pn >= 2 AND pn > ln AND psim >= coalesce(rescue, 0.0) THEN 'ili_override' WHEN ls IS NOT NULL THEN lr WHEN ps IS NOT NULL THEN 'ili' WHEN close THEN 'fallback' ELSE 'none' END AS rung FROM j),
+ladder AS (SELECT anchor_id, language, rung, CASE rung WHEN 'ili_override' THEN ps WHEN 'ili' THEN ps WHEN 'fallback' THEN ns WHEN 'none' THEN NULL ELSE ls END AS sense_id, CASE rung WHEN 'ili_override' THEN psim WHEN 'ili' THEN psim WHEN 'fallback' THEN nsim WHEN 'none' THEN NULL ELSE lsim END AS sim FROM r)"""
+_FLOOR_CODES = sorted({*fixed.RESCUE_FLOORS, *fixed.FALLBACK_FLOORS})
+_LADDER = _LADDER.replace("{t}", "t").replace("{codes}", str(_FLOOR_CODES)).replace("{rescue}", str([fixed.RESCUE_FLOORS.get(g) for g in _FLOOR_CODES])).replace("{fallback}", str([fixed.FALLBACK_FLOORS.get(g) for g in _FLOOR_CODES]))
+
+
+def ladder(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lexemes").select(F.col("id").alias("lexeme_id"), "language_id", "lemma", F.lower("normalized_lemma").alias("k"))
+    g = F.broadcast(table(spark, d, "languages").select(F.col("id").alias("language_id"), F.col("code").alias("language")))
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("sense_id"), F.col("embedding").alias("vector"))
+    s = table(spark, d, "senses").filter("visibility_status = 'visible'").select(F.col("id").alias("sense_id"), "lexeme_id", "sense_index", "definition")
+    scratch = Scratch(spark, "roots")
+    seen = scratch.write(s.join(x, "lexeme_id").join(g, "language_id").join(v, "sense_id", "left"), "senses")
+    anchors = scratch.write(seen.filter((F.col("language") == "en") & (F.col("sense_id") % EVERY == 0)).select(F.col("sense_id").alias("anchor_id"), "lemma", "k", "vector"), "anchors")
+    syn = table(spark, d, "raw_entries").filter("synset_id IS NOT NULL AND lemma IS NOT NULL").select(F.col("language_code").alias("language"), F.lower("lemma").alias("k"), F.col("synset_id").alias("ili")).distinct()
+    mine = anchors.join(syn.filter("language = 'en'"), "k").select("anchor_id", "ili")
+    other = seen.filter("language <> 'en'")
+    own = other.select("sense_id", "language", "k").join(syn, ["language", "k"]).select("sense_id", "ili")
+    t = _nested(spark, d, "translations").filter(F.col("sense_id") % EVERY == 0).join(g.withColumnRenamed("language", "code"), "code").select(F.col("sense_id").alias("anchor_id"), "language_id", F.lower(trimmed("word")).alias("k")).distinct()
+    j = t.join(anchors.select("anchor_id"), "anchor_id").join(x.select("lexeme_id", "language_id", "k"), ["language_id", "k"])
+    first = j.groupBy("anchor_id", "language_id", "k").agg(F.min("lexeme_id").alias("first"))
+    links = j.join(first, ["anchor_id", "language_id", "k"]).select("anchor_id", "lexeme_id", (F.col("lexeme_id") == F.col("first")).alias("original"))
+    goals = table(spark, d, "languages").filter("code <> 'en'").select(F.col("code").alias("language"), F.col("id").alias("number"))
+    return roots_of.select_roots(anchors, mine, scratch.write(links, "links"), other.select("sense_id", "lexeme_id", "language", "sense_index", "lemma", "definition", "vector"), scratch.write(own, "ilis"), goals)
+
+
+@R.query(f"{_LADDER} SELECT anchor_id, language, rung, sense_id, round(sim, 6) AS sim FROM ladder")
 def root_ladder(spark: SparkSession, d: str) -> DataFrame:
-    """The best evidence for a root in each language: link and shared synset, link, shared synset. Candidates are reduced to one a key and language before any query meets them."""
-    w = table(spark, d, "word_senses").select("id", "language_code", slug_key("concept_slug").alias("slug"), F.col("external_synset_id").alias("ili"), F.coalesce("sense_rank", F.lit(2**31 - 1)).alias("rk"), (F.col("equivalence_type") == "direct_equivalent").alias("direct"))
-    q = w.filter((F.col("language_code") == "en") & (F.col("id") % (EVERY // 10) == 0)).select(F.col("id").alias("query_id"), "slug", "ili")
-    rungs = (("slug", "ili"), ("slug",), ("ili",))
-    out = None
-    for n, keys in enumerate(rungs):
-        rows = w.filter(F.col("language_code") != "en").dropna(subset=list(keys))
-        best = edges.first_row(rows.filter("direct") if "slug" in keys else rows, [*keys, "language_code"], [F.col("rk")], "id")
-        c = q.join(best, list(keys)).select("query_id", "language_code", F.lit(n).alias("rung"), "id")
-        out = c if out is None else out.unionByName(c)
-    return out.groupBy("query_id", "language_code").agg(F.min(F.struct("rung", "id")).alias("b")).select("query_id", "language_code", "b.rung", F.col("b.id").alias("root_id"))
+    """The root of every hundredth English sense in each language, by the best evidence there is; "none" where there is none."""
+    return ladder(spark, d)
+
+
+@R.query(f"{_LADDER} SELECT language, rung, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY language), 6) AS share FROM ladder GROUP BY language, rung")
+def rung_census(spark: SparkSession, d: str) -> DataFrame:
+    """How often each rung decides, by language."""
+    n = ladder(spark, d).groupBy("language", "rung").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("language")), 6))
 
 
 @R.query(f"""WITH {_CVEC}, {_kids('kids', 5, _ALL, True)}, have AS (SELECT DISTINCT {_slug('concept_slug')} AS slug, language_code FROM word_senses WHERE is_primary AND {_slug('concept_slug')} IS NOT NULL), {_ROOTS}, goals AS (SELECT code AS language_code FROM languages),
