@@ -196,9 +196,11 @@ def likenesses(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'same' AS kind, count(*) AS n, round(quantile_cont(sim, 0.1), 6) AS p10, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.99), 6) AS p99 FROM p UNION ALL SELECT 'random', count(*), round(quantile_cont(sim, 0.1), 6), round(quantile_cont(sim, 0.5), 6), round(quantile_cont(sim, 0.99), 6) FROM r""")
 def calibration(spark: SparkSession, d: str) -> DataFrame:
     """Quantiles of both kinds of likenesses: what floors are set by. A kind without any has none."""
-    q = measures.quantiles(likenesses(spark, d), ["kind"], "sim", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    sims = likenesses(spark, d)
+    q = measures.quantiles(sims, ["kind"], "sim", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).drop("n")
+    n = sims.groupBy("kind").agg(F.count("*").alias("n"))  # those of vectors without length, too
     kinds = spark.createDataFrame([(k,) for k in _KINDS], "kind string")
-    return kinds.join(q, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")])
+    return kinds.join(n, "kind", "left").join(q, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"), *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p99")])
 
 
 @R.query(f"""{_CALIBRATED}, q AS (SELECT unnest([0.1, 0.5, 0.9]) AS point, unnest(quantile_cont(sim, [0.1, 0.5, 0.9])) AS bound FROM p)
@@ -223,4 +225,4 @@ def knn_index_recall(spark: SparkSession, d: str) -> DataFrame:
     true, index = vectors.nearest(q, sv, k), vector_index.build(sv, k)
     found = vector_index.search(q, index, k).select("query_id", "row_id", F.lit(1).alias("hit"))
     j = true.join(found, ["query_id", "row_id"], "left")
-    return j.agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"), F.lit(len(index.centres)).alias("n_lists"), F.lit(index.probes).alias("n_probed")).filter("n_true > 0")
+    return j.agg(F.count("*").alias("n_true"), F.count("hit").alias("n_found"), F.round(F.try_divide(F.count("hit"), F.count("*")), 4).alias("recall"), F.lit(len(index.centres)).alias("n_lists"), F.lit(index.probes).alias("n_probed")).filter("n_true > 0")
