@@ -1,9 +1,9 @@
 """Loading CSV records while setting apart the ones that fail, with the reason.
 
-Records are parsed in blocks by a columnar parser. A block in which any
-record's shape may be wrong is halved again and again until such records stand
-alone; values are checked over columns. Only the records set apart go through
-the slow strict scan that names the reason.
+Records are screened over columns and parsed in blocks by a columnar parser. A
+block that fails is halved again and again until the bad records stand alone;
+values are checked over columns. Only the records set apart go through the
+slow strict scan that names the reason.
 """
 
 from __future__ import annotations
@@ -106,48 +106,54 @@ def diagnose(record: str | None, rules: RecordRules) -> tuple[str | None, list[s
 
 
 class Blocks:
-    """The records of a batch, joined once, whose blocks are parsed where they lie."""
+    """The records of a batch that may be good, joined once, whose blocks are parsed where they lie.
+
+    A screen over the whole column leaves out records that the parser reads in
+    another way than the strict scan, those with quotes in the wrong places,
+    which it would let pass, and those without quotes that have another number
+    of commas.
+    """
 
     def __init__(self, records: pa.Array, rules: RecordRules):
-        self.records, self.rules = records, rules
+        self.rules = rules
         odd = pc.match_substring_regex(records, _PARSED_OTHERWISE)
-        # the parser is lenient with quotes in the middle of a field
-        fit = pc.and_(pc.invert(odd), pc.or_(pc.invert(pc.match_substring(records, '"')), pc.match_substring_regex(records, _WELL_QUOTED)))
-        self.unfit = np.concatenate([[0], np.cumsum(~np.asarray(fit.fill_null(False)))])
-        lines = pc.binary_join_element_wise(pc.fill_null(records.cast(pa.large_string()), ""), *(pa.scalar(x, pa.large_string()) for x in ("\n", "")))
-        self.offsets = np.frombuffer(lines.buffers()[1], np.int64)[: len(records) + 1] if len(records) else np.zeros(1, np.int64)
+        plain = pc.and_(pc.invert(pc.match_substring(records, '"')), pc.equal(pc.count_substring(records, ","), len(rules.columns) - 1))
+        fit = pc.and_(pc.invert(odd), pc.or_(plain, pc.and_(pc.match_substring(records, '"'), pc.match_substring_regex(records, _WELL_QUOTED))))
+        fit = np.asarray(fit.fill_null(False))
+        self.at, self.unfit = np.flatnonzero(fit), np.flatnonzero(~fit)
+        kept = records.take(pa.array(self.at)).cast(pa.large_string())
+        lines = pc.binary_join_element_wise(kept, *(pa.scalar(x, pa.large_string()) for x in ("\n", "")))
+        self.offsets = np.frombuffer(lines.buffers()[1], np.int64)[: len(kept) + 1] if len(kept) else np.zeros(1, np.int64)
         self.text = lines.buffers()[2]
         self.read = pacsv.ReadOptions(column_names=list(rules.columns), use_threads=False)
         self.parse = pacsv.ParseOptions(quote_char='"', double_quote=True, escape_char=False, newlines_in_values=True, ignore_empty_lines=False)
         self.convert = pacsv.ConvertOptions(column_types=dict.fromkeys(rules.columns, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False)
 
     def columns(self, a: int, b: int) -> pa.Table | None:
-        """The records a to b as columns, or None where the shape of any one of them may be bad."""
-        if self.unfit[b] > self.unfit[a]:
-            return None
+        """The records a to b as columns, or None where any one of them has another number of fields."""
+        size = int(self.offsets[b] - self.offsets[a])
+        self.read.block_size = min(size + 1, 2**31 - 1)  # the parser sets so much memory aside
         try:
-            size = int(self.offsets[b] - self.offsets[a])
-            lines = pa.BufferReader(self.text.slice(self.offsets[a], size))
-            self.read.block_size = min(size + 1, 2**31 - 1)  # the parser sets so much memory aside
-            t = pacsv.read_csv(lines, read_options=self.read, parse_options=self.parse, convert_options=self.convert)
+            t = pacsv.read_csv(pa.BufferReader(self.text.slice(self.offsets[a], size)), read_options=self.read, parse_options=self.parse, convert_options=self.convert)
         except pa.ArrowInvalid:
             return None
         return t if t.num_rows == b - a else None
 
     def isolate(self, block_rows: int) -> tuple[pa.Table | None, np.ndarray, list[int]]:
         """(columns, their records' numbers, the numbers of the others): failing blocks are halved down to single records."""
-        parts, at, alone, n = [], [], [], len(self.records)
+        parts, at, alone, n = [], [], [], len(self.at)
         todo = [(lo, min(lo + block_rows, n)) for lo in range(0, n, block_rows)]
         while todo:
             a, b = todo.pop()
             t = self.columns(a, b)
             if t is not None:
                 parts.append(t)
-                at.append(np.arange(a, b))
+                at.append(self.at[a:b])
             elif b - a == 1:
-                alone.append(a)
+                alone.append(int(self.at[a]))
             else:
                 todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+        alone += self.unfit.tolist()
         if not parts:
             return None, np.empty(0, np.int64), alone
         t, at = pa.concat_tables(parts).combine_chunks(), np.concatenate(at)
