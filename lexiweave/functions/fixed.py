@@ -52,6 +52,9 @@ RESCUE_FLOORS = {
 #: Most results of a tree by breadth and depth.
 MAX_RESULTS = {(1, 1): 2, (1, 2): 3, (1, 3): 4, (2, 1): 3, (2, 2): 7, (2, 3): 15, (3, 1): 4, (3, 2): 13, (3, 3): 40}
 
+#: Codes under which sources write a language.
+LANGUAGE_ALIASES = {"zh": ("zh", "cmn")}
+
 # ---- names: patterns, vocabularies and limits as they hold for readers of name glosses, all without regard to letter case; fixed values
 
 PLACE_WORDS = (

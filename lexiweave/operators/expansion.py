@@ -10,7 +10,7 @@ from lexiweave.operators.vectors import cosine, family
 from lexiweave.skew import hot_keys, skew_join
 
 #: Blend of a tree's scores; fixed values.
-ALPHA, DECAY, FAMILY_STEP, HOP_FAMILY_STEP = 0.35, 0.02, 0.03, 0.0
+ALPHA, DECAY, FAMILY_STEP = 0.35, 0.02, 0.03
 
 
 def collected(k: int) -> int:
@@ -90,9 +90,3 @@ def grow(roots: DataFrame, kids: DataFrame, deep_kids: DataFrame, origin: DataFr
         if level.isEmpty():
             break
     return tree
-
-
-def interleave(trees: DataFrame, root: str, language_order: str, within: str) -> DataFrame:
-    """The rows with their place: roots first, then the trees' rows in turn, one of each language at a time."""
-    turn = Window.partitionBy(root).orderBy(F.col(within) > 0, within, language_order)
-    return trees.withColumn("place", F.row_number().over(turn))

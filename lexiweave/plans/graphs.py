@@ -39,11 +39,11 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 _ENTRIES = "entries AS (SELECT row_id, synset_id, language_code, lower(lemma) AS word, part_of_speech FROM raw_entries WHERE lemma IS NOT NULL AND synset_id IS NOT NULL)"
 
 
-@R.query(f"""WITH {_ENTRIES} SELECT q.word, r.word AS other, count(DISTINCT q.synset_id) AS n_shared FROM entries q JOIN entries r ON q.synset_id = r.synset_id AND q.word <> r.word WHERE q.row_id % {EVERY // 10} = 0 GROUP BY ALL""")
+@R.query(f"""WITH {_ENTRIES} SELECT q.word, r.word AS other, count(DISTINCT q.synset_id) AS n_shared FROM entries q JOIN entries r ON q.synset_id = r.synset_id AND q.word <> r.word WHERE q.row_id % {EVERY} = 0 GROUP BY ALL""")
 def shared_ili(spark: SparkSession, d: str) -> DataFrame:
-    """Synsets that the words of every tenth entry share with other words."""
+    """Synsets that the words of every hundredth entry share with other words."""
     e = entries(spark, d)
-    return edges.shared_keys(e.filter(F.col("row_id") % (EVERY // 10) == 0), e, "word", "synset_id", e.count())
+    return edges.shared_keys(e.filter(F.col("row_id") % EVERY == 0), e, "word", "synset_id", e.count())
 
 
 @R.query(f"WITH {_ENTRIES}, h AS (SELECT synset_id, min(word) AS hub FROM entries GROUP BY 1) SELECT DISTINCT e.synset_id, h.hub, e.word FROM entries e JOIN h USING (synset_id) WHERE e.word <> h.hub")
@@ -220,12 +220,13 @@ def orphan_rescue(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query(f"""WITH n AS ({_nested_sql('translations')}) SELECT s.id AS sense_id, coalesce(o.selection_count, 0) AS n_selected, CAST(row_number() OVER (PARTITION BY s.source_id ORDER BY coalesce(o.selection_count, 0) > 0 DESC, coalesce(o.selection_count, 0) DESC, s.id) AS INTEGER) AS place
 FROM senses s LEFT JOIN sense_options o ON o.sense_id = s.id WHERE s.visibility_status = 'visible' AND NOT EXISTS (SELECT 1 FROM n WHERE n.sense_id = s.id) AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id = s.id)
-AND NOT EXISTS (SELECT 1 FROM concepts c WHERE c.id = s.id AND c.status = 'retired') QUALIFY place <= 100""")
+AND NOT EXISTS (SELECT 1 FROM lexemes x WHERE x.id = s.lexeme_id AND x.import_status <> 'active') QUALIFY place <= 100""")
 def thin_population(spark: SparkSession, d: str) -> DataFrame:
-    """Senses with neither translation nor vector nor retired concept, the most wanted 100 of each source first."""
-    s = table(spark, d, "senses").filter("visibility_status = 'visible'").select(F.col("id").alias("sense_id"), "source_id")
-    for out in (_nested(spark, d, "translations").select("sense_id"), table(spark, d, "embeddings").select(F.col("vec_id").alias("sense_id")), table(spark, d, "concepts").filter("status = 'retired'").select(F.col("id").alias("sense_id"))):
-        s = s.join(out, "sense_id", "left_anti")
+    """Senses with neither translation nor vector, of words whose import is active, the most wanted 100 of each source first: a top-k report."""
+    s = table(spark, d, "senses").filter("visibility_status = 'visible'").select(F.col("id").alias("sense_id"), "source_id", "lexeme_id")
+    retired = table(spark, d, "lexemes").filter("import_status <> 'active'").select(F.col("id").alias("lexeme_id"))
+    vectored = table(spark, d, "embeddings").select(F.col("vec_id").alias("sense_id"))
+    s = s.join(_nested(spark, d, "translations").select("sense_id"), "sense_id", "left_anti").join(vectored, "sense_id", "left_anti").join(retired, "lexeme_id", "left_anti")
     s = s.join(table(spark, d, "sense_options").select("sense_id", "selection_count"), "sense_id", "left").withColumn("n_selected", F.coalesce("selection_count", F.lit(0)))
     return top_per_key(s, ["source_id"], [F.desc(F.col("n_selected") > 0), F.desc("n_selected"), F.asc("sense_id")], 100, "place").select("sense_id", "n_selected", "place")
 
@@ -396,7 +397,7 @@ def multi_hop(spark: SparkSession, d: str) -> DataFrame:
 def tree_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Size, depth and best score of each tree, and that none exceeds the most results its width and depth allow."""
     t = trees(spark, d)
-    return t.groupBy("root").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("depth"), F.max(F.when(F.col("depth") > 0, F.col("score"))).alias("best"), (F.count("*") <= 40).alias("within_limit"))
+    return t.groupBy("root").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("depth"), F.max(F.when(F.col("depth") > 0, F.col("score"))).alias("best"), (F.count("*") <= fixed.MAX_RESULTS[3, 3]).alias("within_limit"))
 
 
 @R.query(f"{_TREES}, r AS (SELECT root, node, depth, left(node, 3) AS lane, row_number() OVER (PARTITION BY root, left(node, 3) ORDER BY depth, score DESC, node) AS turn FROM trees) SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY depth > 0, turn, lane, node) AS place FROM r", longs=("place",))

@@ -123,23 +123,24 @@ def _stem_sql(c: str) -> str:
 
 
 @R.query(f"""WITH w AS (SELECT DISTINCT lower(lemma) AS word, left(lower(lemma), 5) AS head FROM lexemes WHERE length(lemma) >= 5), s AS (SELECT *, {_stem_sql('word')} AS stem FROM w),
-q AS (SELECT DISTINCT lower(lemma) AS word FROM lexemes WHERE length(lemma) >= 5 AND id % {EVERY // 10} = 0)
+q AS (SELECT DISTINCT lower(lemma) AS word FROM lexemes WHERE length(lemma) >= 5 AND id % {EVERY} = 0)
 SELECT a.word AS word, b.word AS variant FROM s a JOIN q ON q.word = a.word JOIN s b ON a.head = b.head AND a.word <> b.word
 WHERE a.stem = b.stem OR (least(length(a.stem), length(b.stem)) >= 5 AND left(a.stem, greatest(5, least(length(a.stem), length(b.stem)) - 1)) = left(b.stem, greatest(5, least(length(a.stem), length(b.stem)) - 1)))""")
 def morph_reject(spark: SparkSession, d: str) -> DataFrame:
-    """Words of five letters or more that are forms of the word of every tenth lexeme, among those that begin alike."""
+    """Words of five letters or more that are forms of the word of every hundredth lexeme, among those that begin alike."""
     x = table(spark, d, "lexemes").filter(F.length("lemma") >= 5).select(F.lower("lemma").alias("word"), F.left(F.lower("lemma"), F.lit(5)).alias("head"), "id")
-    q = x.filter(F.col("id") % (EVERY // 10) == 0).select("word", "head").distinct()
+    q = x.filter(F.col("id") % EVERY == 0).select("word", "head").distinct()
     w = x.select(F.col("word").alias("variant"), "head").distinct()
     return salted_join(w, q, "head", hot_keys(w, "head", x.count()), "variant").filter("word <> variant").filter(vectors.same_stem(F.col("word"), F.col("variant"))).select("word", "variant")
 
 
-@R.query(f"""{_VECTORS}, {_pairs()}, out AS (SELECT DISTINCT id AS row_id FROM word_senses WHERE equivalence_type IN ('archaic', 'near_equivalent'))
-SELECT n.query_id, n.row_id FROM {_top(30)} n WHERE NOT EXISTS (SELECT 1 FROM out x WHERE x.row_id = n.row_id)""")
+@R.query(f"""{_VECTORS}, {_pairs()}, opposites AS (SELECT n.sense_id AS query_id, lower(regexp_replace(o ->> 'word', '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS word FROM ({_nested_sql('antonyms')}) n)
+SELECT n.query_id, n.row_id FROM {_top(30)} n JOIN sv c ON c.id = n.row_id WHERE NOT EXISTS (SELECT 1 FROM opposites x WHERE x.query_id = n.query_id AND x.word = c.word)""")
 def antonym_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours without those of an excluded set; word senses of two kinds stand in for antonyms."""
-    out = table(spark, d, "word_senses").filter("equivalence_type IN ('archaic', 'near_equivalent')").select(F.col("id").alias("row_id"))
-    return _search(spark, d, 30)[1].join(out, "row_id", "left_anti").select("query_id", "row_id")
+    """Neighbours without those whose word the query's sense names as its opposite."""
+    sv, near = _search(spark, d, 30)
+    out = _nested(spark, d, "antonyms").select(F.col("sense_id").alias("query_id"), F.lower(trimmed("word")).alias("word"))
+    return near.join(sv.select(F.col("id").alias("row_id"), "word"), "row_id").join(out, ["query_id", "word"], "left_anti").select("query_id", "row_id")
 
 
 @R.query("""SELECT id, lemma, length(lemma) AS n_chars, length(regexp_replace(lemma, '[-\\s'']', '', 'g')) AS n_letters FROM lexemes WHERE length(lemma) BETWEEN 4 AND 9 AND length(regexp_replace(lemma, '[-\\s'']', '', 'g')) >= 4""", longs=("n_chars", "n_letters"))

@@ -136,16 +136,16 @@ def unihan_clause(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R.query(f"""{_TIERS}, e AS (SELECT tier, language_code, count(*) AS n, count(*) FILTER (WHERE regexp_full_match(lem, '[\\p{{Latin}}\\p{{Cyrillic}}\\p{{Greek}}]')) AS n_single, count(*) FILTER (WHERE sole_alt) AS n_sole,
-  count(*) FILTER (WHERE tier = 'C' AND (defn <> '' AND len(tags) >= 0)) AS n_worthy FROM tiers GROUP BY ALL) SELECT *, CASE WHEN language_code IN ('ja', 'ko') THEN 'cjk' ELSE language_code END AS language_group FROM e""")
+  count(*) FILTER (WHERE tier = 'C' AND (defn <> '' AND len(tags) >= 0)) AS n_worthy FROM tiers GROUP BY ALL) SELECT *, CASE WHEN language_code = 'cmn' THEN 'zh' ELSE language_code END AS language_group FROM e""")
 def tier_extras(spark: SparkSession, d: str) -> DataFrame:
-    """Single letters, sole triggers and senses worth a name by language, with an alias for a group of languages."""
+    """Single letters, sole triggers and senses worth a name by language, codes of one language under its first."""
     c = taxonomy.classify(sense_rows(spark, d))
     lem = F.regexp_replace(F.coalesce("lemma", F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     defn = F.regexp_replace(F.coalesce("definition", F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     out = c.groupBy("tier", "language_code").agg(
         F.count("*").alias("n"), F.count_if(lem.rlike(r"^[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]$")).alias("n_single"), F.count_if("sole_alt").alias("n_sole"), F.count_if((F.col("tier") == "C") & (defn != "")).alias("n_worthy")
     )
-    return out.withColumn("language_group", F.when(F.col("language_code").isin("ja", "ko"), "cjk").otherwise(F.col("language_code")))
+    return out.withColumn("language_group", F.coalesce(*[F.when(F.col("language_code").isin(*codes), g) for g, codes in fixed.LANGUAGE_ALIASES.items()], F.col("language_code")))
 
 
 @R.query()

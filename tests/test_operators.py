@@ -36,6 +36,15 @@ def test_keys(spark):
     assert [r.k for r in df.orderBy("i").select(unicode_keys.lemma_key("v", "g").alias("k")).collect()] == [c[2] for c in cases]
 
 
+def test_text_measures(spark):
+    cases = [("starfish", "fishing", 4), ("abc", "xyz", 0), ("", "a", 0), (None, "a", None), ("ab" * 300, "ba" * 300, 599)]
+    df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, a string, b string")
+    assert [r.n for r in df.orderBy("i").select(unicode_keys.longest_common_substring("a", "b").alias("n")).collect()] == [c[2] for c in cases]
+    texts = [(" Ｆｏx\u00a0", "fox"), ("STRASSE ß", "strasse ss"), (None, None), ("", "")]
+    df = spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.k for r in df.orderBy("i").select(unicode_keys.normalize_text("t").alias("k")).collect()] == [t[1] for t in texts]
+
+
 def test_display_split(spark):
     cases = [(["a", "b"], "b", "a"), (["of places", "of places: a town"], "of places: a town", ""), ([" ", None, "x"], "x", ""), (None, None, ""), (["1", "2", "3", "4", "5"], "5", "2 > 3 > 4")]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, g array<string>")
