@@ -287,6 +287,32 @@ def concept_vectors(spark: SparkSession, d: str) -> DataFrame:
     return c.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), "id").select("id", "node", "vector")
 
 
+def _nearest_concepts(v: DataFrame, most: int, need: int, scratch: Scratch) -> DataFrame:
+    """(src, dst, sim, at): of the ``most`` concepts nearest to each, those above the floor that are no forms of its slug, ``need`` of them at least where there are so many.
+
+    A children's list leaves out at most half of ``need``. Four times ``need``
+    are looked at first; a concept for which they do not suffice is searched
+    again with ``most``.
+    """
+    floor = round(fixed.KNN_FLOOR - 0.7, 6)
+    name = lambda i, n: v.select(F.col("id").alias(i), F.col("node").alias(n))
+
+    def ranked(queries: DataFrame, k: int) -> DataFrame:
+        found = vectors.nearest(queries.select("id", "vector"), v.select("id", "vector"), k).join(name("query_id", "src"), "query_id").join(name("row_id", "dst"), "row_id")
+        found = top_per_key(found, ["src"], [F.desc("sim"), F.asc("row_id")], k, "at")
+        return found.withColumn("ok", (F.col("sim") >= floor) & ~vectors.same_stem(F.col("src"), F.col("dst"))).select("src", "dst", "sim", "at", "ok")
+
+    few = min(most, 4 * need)
+    found = scratch.write(ranked(v, few), "nearest")
+    if few < most:
+        per = found.groupBy("src").agg(F.count("*").alias("n"), F.min("sim").alias("last"), F.count_if("ok").alias("n_ok"))
+        again = scratch.write(per.filter((F.col("n") >= few) & (F.col("last") >= floor) & (F.col("n_ok") < need)).select(F.col("src").alias("node")), "again")
+        if not again.isEmpty():
+            more = ranked(v.join(again, "node", "left_semi"), most)
+            found = found.join(again.withColumnRenamed("node", "src"), "src", "left_anti").unionByName(more)
+    return found.filter("ok").drop("ok")
+
+
 def concept_children(spark: SparkSession, d: str, *choices: tuple[int, tuple[str, ...]]) -> list[DataFrame]:
     """For each (k, types) the k best children of every concept: edges of the types by likeness, then what is nearest by vector.
 
@@ -297,10 +323,7 @@ def concept_children(spark: SparkSession, d: str, *choices: tuple[int, tuple[str
     scratch, v = Scratch(spark, "children"), concept_vectors(spark, d)
     v = scratch.write(v, "vectors")
     most = max(vectors.fetched(expansion.collected(k) + 1, "en") for k, _ in choices)
-    name = lambda i, n: v.select(F.col("id").alias(i), F.col("node").alias(n))
-    found = vectors.nearest(v.select("id", "vector"), v.select("id", "vector"), most).join(name("query_id", "src"), "query_id").join(name("row_id", "dst"), "row_id")
-    found = top_per_key(found, ["src"], [F.desc("sim"), F.asc("row_id")], most, "at")
-    found = scratch.write(found.filter(F.col("sim") >= round(fixed.KNN_FLOOR - 0.7, 6)).filter(~vectors.same_stem(F.col("src"), F.col("dst"))).select("src", "dst", "sim", "at"), "near")
+    found = scratch.write(_nearest_concepts(v, most, 2 * max(expansion.collected(k) for k, _ in choices), scratch), "near")
     n = table(spark, d, "concept_relationships").count()
     near = lambda k: found.filter(F.col("at") <= vectors.fetched(expansion.collected(k) + 1, "en"))
     every = concept_edges(spark, d, tuple({t: 0 for _, types in choices for t in types}))
