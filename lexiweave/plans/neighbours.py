@@ -58,7 +58,7 @@ def _list(xs: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-_RERANK = f"""{_VECTORS}, {_pairs()}, opposites AS (SELECT n.sense_id AS query_id, lower(regexp_replace(o ->> 'word', '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')) AS word FROM ({_nested_sql('antonyms')}) n),
+_RERANK = f"""{_VECTORS}, {_pairs()}, opposites AS (SELECT n.sense_id AS query_id, lower(regexp_replace(o ->> 'word', '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS word FROM ({_nested_sql('antonyms')}) n),
 near AS (SELECT n.query_id, n.row_id, n.sim, c.word, coalesce(c.definition, '') AS definition, c.n_selected FROM {_top(500)} n JOIN sv c ON c.id = n.row_id JOIN sv q ON q.id = n.query_id
   WHERE n.place <= CASE WHEN q.language = 'en' THEN 500 ELSE 200 END AND NOT coalesce({same_stem_sql('q.word', 'c.word')}, false) AND NOT EXISTS (SELECT 1 FROM opposites a WHERE a.query_id = n.query_id AND a.word = c.word)),
 words AS (SELECT * FROM near WHERE length(word) BETWEEN 3 AND 18 QUALIFY row_number() OVER (PARTITION BY query_id, word ORDER BY n_selected DESC, sim DESC, row_id) = 1),
