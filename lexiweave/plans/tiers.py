@@ -176,7 +176,7 @@ def _latin(script: str) -> str:
 
 
 @R.query(f"""WITH x AS (SELECT x.id, x.lemma, g.script FROM lexemes x JOIN languages g ON g.id = x.language_id WHERE g.script IN ('Cyrl', 'Grek')),
-l AS (SELECT id, lemma, CASE script WHEN 'Cyrl' THEN {_latin('Cyrl')} ELSE {_latin('Grek')} END AS r, CASE script WHEN 'Cyrl' THEN regexp_full_match(strip_accents(replace(replace(lower(lemma), 'й', ''), 'ё', '')), '[а-яё]*([^\p{{L}}][а-я]*)*') ELSE regexp_full_match(strip_accents(lower(lemma)), '[α-ω]*([^\p{{L}}][α-ω]*)*') END AS known FROM x)
+l AS (SELECT id, lemma, CASE script WHEN 'Cyrl' THEN {_latin('Cyrl')} ELSE {_latin('Grek')} END AS r, CASE script WHEN 'Cyrl' THEN regexp_full_match(strip_accents(replace(replace(lower(lemma), 'й', ''), 'ё', '')), '[а-яё]*([^\\p{{L}}][а-я]*)*') ELSE regexp_full_match(strip_accents(lower(lemma)), '[α-ω]*([^\\p{{L}}][α-ω]*)*') END AS known FROM x)
 SELECT id, CASE WHEN known THEN nullif(trim(regexp_replace(r, '[\\s\\p{{Z}}]+', ' ', 'g')), '') END AS romanized FROM l""")
 def transliterate(spark: SparkSession, d: str) -> DataFrame:
     """Cyrillic and Greek words in Latin letters, each distinct one once; null where a letter has none."""
